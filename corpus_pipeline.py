@@ -4,31 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import linededup, mixing, quality
+from tallyforge.llm import linededup, minhash, mixing, packing, quality
+from tallyforge.llm.staging import col, fresh_name, fresh_path
+from tallyforge.llm.tokens import default_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the default quality policy."""
+    """The documents that the default quality policy keeps; a null text is rejected for its few words."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its lines that many documents share."""
-    return linededup.dedup_lines(docs).select(*docs.columns)
+    """Every document, without the lines that many documents share."""
+    counts = (fresh_name(docs, "n_lines"), fresh_name(docs, "n_dropped"))
+    return linededup.dedup_lines(docs, counts=counts).select(*map(col, docs.columns))
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document in the mix."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return minhash.keep_representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes of a document, in shuffled shards."""
     return mixing.materialise(mixing.mix(docs), docs.columns)
 
 
-STAGES: list = [("quality rules", quality_rules), ("line dedup", line_dedup), ("mixing", mixing_stage)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token piece of the mix with its sequence and offset."""
+    return packing.pack(docs, default_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL has no byte-level BPE, so the pipeline is tested stage by stage against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents; every result between is written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, name.replace(" ", "-"))
+        done = stage(spark, docs, sf_dir)
+        done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -137,19 +137,20 @@ def dedup_lines(
     fanout: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """The documents with their frequent lines gone, and the columns n_lines and n_dropped.
+    """The documents with their frequent lines gone, and the columns n_lines and n_dropped (``counts``).
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents loses all its
     lines except those of the largest doc_id that holds it. The text of a document that loses
     nothing is unchanged, except that null becomes empty (one empty line).
 
     Rows that share a doc_id are one document where documents are counted. A null doc_id is one
-    document, smaller than all others. An empty table gives no rows. Columns named n_lines and
-    n_dropped give way to the results; all others pass through.
+    document, smaller than all others. An empty table gives no rows. Columns that are named
+    like ``counts`` give way to the results; all others pass through.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c not in counts]
     did = F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID))
     staged = fresh_path(spark, "line-keys")
     slim = docs.select(did.alias("did"), col(text_col).cast("string").alias("text"))
@@ -174,4 +175,4 @@ def dedup_lines(
     n = len(fields)
     out = T.StructType([*fields, T.StructField(f"c{n}", T.LongType()), T.StructField(f"c{n + 1}", T.LongType())])
     done = flat.mapInArrow(_rewrite(schema, at, min_chars), out)
-    return done.toDF(*names, "n_lines", "n_dropped")
+    return done.toDF(*names, *counts)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, sharding, urlfilter
+from . import linededup, minhash, mixing, packing, quality, sharding, suffix, topk, urlfilter, wavelet
+from .tokens import default_path
 
 #: The rules that the URL contract names.
 URL_RULES = (
@@ -38,11 +39,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.ledger(_table(spark, sf_dir, "documents")))
     base = F.lit(quality.BASE.mask).cast("long")
@@ -52,6 +65,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(spark, wavelet.write_shards(_table(spark, sf_dir, "documents"), default_path()))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), default_path())
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urlfilter.judge_urls(pages, urlfilter.rules_frame(spark, URL_RULES))
@@ -61,8 +87,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_ids": op7_token_ids,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -99,6 +130,15 @@ SELECT e.doc_id, e.size, e.source_size, e.target,
 FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.block = b.block LEFT JOIN p ON e.source IS NOT DISTINCT FROM p.source
 """
 
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 #: The lines of every row of t(rid, doc_id, text) with their keys.
 _LINES = f"""
 l AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
@@ -151,6 +191,7 @@ SELECT v.page_id, v.host, v.path, x.rule, coalesce(x.verdict, 'allow') AS verdic
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": _OP2,
+    "op3_exact_top_k": _OP3,
     "op4_line_dedup": _OP4,
     "op6_quality_rules": _OP6,
     "op10_url_filters": _OP10,
