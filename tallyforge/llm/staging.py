@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution drops its shuffle files when it has ended, not before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, label: str, **options) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    schema = df.schema
-    df.write.partitionBy(*partition_by).parquet(path)
+    spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, label)
+    with tidy_shuffles(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

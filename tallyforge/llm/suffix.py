@@ -8,8 +8,10 @@ to find those that share a prefix of 200 bytes with a neighbour, and most suffix
     two equal 200-byte strings some shift below 133 lands both on samples, 68 equal bytes remain.
 2.  Sort and name. The 68-byte tuples of all samples are dealt by fingerprint range, sorted and
     named; a name held once is discarded with all suffixes that lean on it.
-3.  Recurse. The suffixes before samples with shared names are named once more, at 200 bytes.
-4.  Compare adjacent. In the sorted names a suffix equal to its neighbour is repeated.
+3.  Recurse. The samples left are sorted and named at 332 bytes: a shared name settles the 133 suffixes
+    that start at it. All holders of a name but the first then have nothing to add as evidence.
+4.  Merge and compare adjacent. The other suffixes that lean on a sample left are named at 200 bytes;
+    in the sorted names a suffix equal to its neighbour is repeated.
 
 Texts travel as compressed blocks, names as packed arrays with one row for each block and fingerprint
 range, and answers as bits in the order of the suffixes, so no suffix is a row of its own. Names
@@ -19,7 +21,6 @@ Equal texts are collapsed first; a text with a copy is removed whole when it has
 
 from __future__ import annotations
 
-import gc
 from functools import lru_cache
 
 import numpy as np
@@ -27,10 +28,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import col, fresh_path
+from .staging import col, stage
 
 #: A perfect difference set, every difference mod 133 exactly once.
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
@@ -130,18 +131,32 @@ def _pack_names(names: np.ndarray, n_ranges: int, n_bytes: int):
         yield r, low[cuts[r] : cuts[r + 1]].tobytes()
 
 
-def _in_order(names: np.ndarray, n_ranges: int, answers: dict[int, bytes]) -> np.ndarray:
-    """The answers of all ranges, put back in the order of the names."""
+def _in_order(names: np.ndarray, n_ranges: int, answers: dict[int, bytes], planes: int = 1) -> list[np.ndarray]:
+    """The planes of answer bits of all ranges, put back in the order of the names."""
     which = (((names >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(which, kind="stable")
-    counts = np.bincount(which, minlength=n_ranges) if len(which) else np.zeros(n_ranges, np.int64)
-    bits = [np.unpackbits(np.frombuffer(answers[r], "u1"), count=int(counts[r])) for r in np.flatnonzero(counts).tolist()]
-    out = np.zeros(len(names), bool)
-    if bits:
-        out[order] = np.concatenate(bits).view(bool)
+    counts = np.bincount(which, minlength=n_ranges)
+    out = []
+    for plane in range(planes):
+        bits = np.zeros(len(names), bool)
+        parts = []
+        for r in np.flatnonzero(counts).tolist():
+            size = len(answers[r]) // planes
+            parts.append(np.unpackbits(np.frombuffer(answers[r], "u1", size, plane * size), count=int(counts[r])))
+        if parts:
+            bits[order] = np.concatenate(parts).view(bool)
+        out.append(bits)
     return out
 
 
+def _under(places: np.ndarray, length: int, total: int) -> np.ndarray:
+    """Which of ``total`` places lie in a stretch of ``length`` from one of the places."""
+    marks = np.zeros(total + length + 1, np.int32)
+    np.add.at(marks, places, 1)
+    np.add.at(marks, places + length, -1)
+    return np.cumsum(marks, dtype=np.int32)[:total] > 0
+
+
 _SLIM = "rid long, doc_id long, d1 long, d2 long, n_bytes long"
 _BLOCK = "block long, doc_ids array<long>, lengths array<long>, evidence array<boolean>, body binary"
 _OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -200,12 +215,12 @@ def _answers(row, name):
 
 
 def _named(level: int, n_ranges: int, width: int, n_bytes: int):
-    """Level 1: the names of all samples. Level 2: those of the candidate starts, after level 1's answers."""
+    """The names that a level sends to be sorted, given the answers of the levels before it."""
 
     def run(batches):
         for row in _rows_of(batches):
             text, lengths = _open(row)
-            places, names = _level(row, text, lengths, level, n_ranges, width)
+            names = _level(row, text, lengths, level, n_ranges, width)[1]
             ranges, blobs = [], []
             for r, blob in _pack_names(names, n_ranges, n_bytes):
                 ranges.append(r)
@@ -220,31 +235,48 @@ def _named(level: int, n_ranges: int, width: int, n_bytes: int):
 
 
 def _level(row, text, lengths, level, n_ranges, width):
-    tuple_bytes = width - PERIOD + 1
-    places = sample_places(lengths, width, tuple_bytes)
-    names = fingerprints(text, places, tuple_bytes)
+    """(places, names) of level 1 to 3; at level 4 (all repeated starts, None)."""
+    tuple_bytes, wide, total = width - PERIOD + 1, width + PERIOD - 1, len(text)
+    samples = sample_places(lengths, width, tuple_bytes)
+    names = fingerprints(text, samples, tuple_bytes)
     if level == 1:
-        return places, names
-    places = candidate_starts(places, _in_order(names, n_ranges, _answers(row, "first")), lengths, width)
-    return places, fingerprints(text, places, width)
-
-
-def _resolve(n_bytes: int):
-    """Sorts the names of a range; the answer bit of a name says that another suffix has it too."""
+        return samples, names
+    (shared,) = _in_order(names, n_ranges, _answers(row, "answers1"))
+    left = samples[shared]
+    ends = np.cumsum(lengths)
+    left = left[ends[np.searchsorted(ends, left, side="right")] - left >= wide]
+    names = fingerprints(text, left, wide)
+    if level == 2:
+        return left, names
+    settled, later = _in_order(names, n_ranges, _answers(row, "answers2"), 2)
+    starts = candidate_starts(samples, shared, lengths, width)
+    sent = starts[~_under(left[later], PERIOD, total)[starts]]
+    names = fingerprints(text, sent, width)
+    if level == 3:
+        return sent, names
+    repeated = _under(left[settled], PERIOD, total)
+    repeated[sent[_in_order(names, n_ranges, _answers(row, "answers3"))[0]]] = True
+    return np.flatnonzero(repeated), None
+
+
+def _resolve(n_bytes: int, planes: int):
+    """Sorts the names of a range. A name's first answer bit says that another suffix has it too, the
+    second that an earlier one has."""
 
     def answer(key, blocks, blobs):
         counts = [len(b) // n_bytes for b in blobs]
         wide = np.zeros((sum(counts), 8), "u1")
         wide[:, :n_bytes] = np.frombuffer(b"".join(blobs), "u1").reshape(-1, n_bytes)
         names = wide.view("<u8").reshape(-1)
-        order = np.argsort(names)
+        order = np.argsort(names, kind="stable")
         ranked = names[order]
         equal = ranked[1:] == ranked[:-1]
-        shared = np.zeros(len(names), bool)
-        shared[order[1:][equal]] = True
+        later = np.zeros(len(names), bool)
+        later[order[1:][equal]] = True
+        shared = later.copy()
         shared[order[:-1][equal]] = True
         at = np.cumsum([0, *counts])
-        bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)]
+        bits = [b"".join(np.packbits(p[a:b]).tobytes() for p in (shared, later)[:planes]) for a, b in zip(at, at[1:], strict=False)]
         columns = [pa.array(blocks, pa.int64()), pa.array([key] * len(blocks), pa.int32()), pa.array(bits, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["block", "range", "bits"])
 
@@ -268,8 +300,7 @@ def _cut(n_ranges: int, width: int):
     def run(batches):
         for row in _rows_of(batches):
             text, lengths = _open(row)
-            places, names = _level(row, text, lengths, 2, n_ranges, width)
-            starts = places[_in_order(names, n_ranges, _answers(row, "second"))]
+            starts, _ = _level(row, text, lengths, 4, n_ranges, width)
             ids, sizes, found, kept, at, raw = [], [], [], [], 0, text.tobytes()
             for did, n, proof, spans in zip(row["doc_ids"], row["lengths"], row["evidence"], covered_spans(starts, lengths, width), strict=True):
                 if not proof:
@@ -288,18 +319,6 @@ def _cut(n_ranges: int, width: int):
     return run
 
 
-def _settle(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of stages whose results are already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _written(df: DataFrame, label: str, **options) -> DataFrame:
-    spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def remove_repeats(
     docs: DataFrame,
     *,
@@ -318,11 +337,10 @@ def remove_repeats(
     """
     if width < PERIOD + 8:
         raise ValueError(f"a width of {width}; at least {PERIOD + 8} is needed")
-    spark = docs.sparkSession
     slim = docs.select(
         F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
     )
-    digests = _written(slim.mapInArrow(_digest, _SLIM), "digests")
+    digests = stage(slim.mapInArrow(_digest, _SLIM), "digests")
     same = digests.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1")
     same = same.select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "first").checkpoint()
     copies = digests.join(same, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
@@ -330,7 +348,7 @@ def remove_repeats(
     # A text with copies stands for them as evidence, under one row; short texts are settled at once.
     roles = slim.join(copies.select("c_rid", "evidence"), F.col("rid") == F.col("c_rid"), "left")
     options = {"compression": "none", "parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
-    blocks = _written(
+    blocks = stage(
         roles.filter("evidence IS NULL OR evidence")
         .select("doc_id", "text", F.coalesce("evidence", F.lit(False)).alias("evidence"))
         .mapInArrow(_blocks(block_bytes), _BLOCK),
@@ -339,20 +357,18 @@ def remove_repeats(
     )
     total = digests.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_ranges = max(48, -(-total // range_bytes))
-    _settle(spark)
-    answered, names_bytes = blocks, {1: 5, 2: 8}
-    for level, label in ((1, "first"), (2, "second")):
-        names = answered.mapInArrow(_named(level, n_ranges, width, names_bytes[level]), "range int, block long, names binary")
+    answered = blocks
+    for level, n_bytes, planes in ((1, 5, 1), (2, 8, 2), (3, 8, 1)):  # level 1 only rules out, so 5 bytes do
+        names = answered.mapInArrow(_named(level, n_ranges, width, n_bytes), "range int, block long, names binary")
         answers = (
             names.repartition(n_ranges, "range")
             .sortWithinPartitions("range", "block")
-            .mapInArrow(_resolve(names_bytes[level]), "block long, range int, bits binary")
+            .mapInArrow(_resolve(n_bytes, planes), "block long, range int, bits binary")
         )
-        replies = _written(answers, f"answers-{level}").groupBy(F.col("block").alias(f"b{level}")).agg(
-            F.collect_list(F.struct("range", "bits")).alias(label)  # a bit for each suffix of a block
+        replies = stage(answers, f"answers-{level}").groupBy(F.col("block").alias(f"b{level}")).agg(
+            F.collect_list(F.struct("range", "bits")).alias(f"answers{level}")  # a few bits for each suffix of a block
         )
         answered = answered.join(replies, F.col("block") == F.col(f"b{level}"), "left").drop(f"b{level}")
-        _settle(spark)
     cut = answered.mapInArrow(_cut(n_ranges, width), _OUT)
     texts = slim.join(copies.filter(f"n_bytes < {width}").select("c_rid"), F.col("rid") == F.col("c_rid"), "left_semi")
     short = texts.select(
