@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import col
+from .staging import col, stage
 
 N_BINS, ROWS = 128, 4
-_WORDS: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd multipliers of the words of a shingle.
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, 33)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,22 +40,17 @@ def shingles(words: list[bytes], k: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; all words as one shingle when fewer."""
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    known = _WORDS
-    try:
-        codes = list(map(known.__getitem__, words))
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = list(map(known.__getitem__, words))
-    code = np.array(codes, np.uint64)
-    n = max(1, len(code) - k + 1)
-    h = np.full(n, min(len(code), k), np.uint64)
-    for j in range(min(len(code), k)):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + n])
-    return np.unique(h)
+    code = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+    width = min(len(code), k)
+    n = len(code) - width + 1
+    h = np.full(n, width, np.uint64)
+    for j in range(width):
+        h += code[j : j + n] * _FACTORS[j]
+    h = _mix(h)
+    h.sort()
+    new = np.ones(n, bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def _donors(n_bins: int) -> np.ndarray:
@@ -169,15 +165,18 @@ def near_duplicates(
     """
     slim = docs.select(col(id_col).cast("long").alias("did"), col(text_col).cast("string").alias("text"))
     sketched = slim.mapInArrow(_sketch(k, n_bins, rows), "did long, n_shingles long, w1 long, w2 long, bands array<long>")
-    sketched = sketched.checkpoint()
+    sketched = stage(sketched, "sketches")
     known = sketched.filter("w1 IS NOT NULL AND did IS NOT NULL")
-    same = known.groupBy("w1", "w2").agg(F.min(F.struct("did", "n_shingles", "bands")).alias("m")).checkpoint()
+    same = stage(known.groupBy("w1", "w2").agg(F.min(F.struct("did", "n_shingles", "bands")).alias("m")), "distinct-words")
     keyed = same.select(F.col("m.did").alias("node"), F.col("m.n_shingles").alias("size"), F.explode("m.bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")).checkpoint()
-    keyed = keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size").checkpoint()
-    groups = _groups(keyed, slim, k, percent).checkpoint()
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "shared-keys")
+    keyed = stage(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size"), "buckets")
+    groups = _groups(keyed, slim, k, percent)
     reps = same.select(F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("m.did").alias("rep"))
-    reps = reps.join(groups, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")).checkpoint()
+    reps = stage(
+        reps.join(groups, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")),
+        "representatives",
+    )
     return sketched.join(reps, (F.col("w1") == F.col("s1")) & (F.col("w2") == F.col("s2")), "left").select(
         F.col("did").alias("doc_id"), "n_shingles", F.coalesce(F.when(F.col("did").isNotNull(), F.col("component")), F.col("did")).alias("component_id")
     )
@@ -186,51 +185,61 @@ def near_duplicates(
 def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes with a confirmed link.
 
-    Round 0 joins every bucket to its smallest node. Later rounds look at buckets that still hold more
+    Round 0 joins every bucket to its smallest node. Later rounds keep the buckets that still hold more
     than one component: each component sends one member, at first the one with the most links and then
     others by hash, and the star joins these. It ends after two rounds in a row without a new link.
     """
     spark = keyed.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
-    tested, groups, quiet, number = found, None, 0, 0
-    while quiet < 2:
-        if groups is None:
-            members = keyed.withColumn("component", F.col("node")).withColumn("first", F.col("node"))
-        else:
-            named = keyed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            if number == 1:
-                links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-                members = named.join(links, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
-            else:
-                members = named.withColumn("first", F.xxhash64("node", "key", F.lit(number)))
-        sent = members.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")).checkpoint()
+    nodes = keyed.select(F.col("node").alias("n")).distinct()
+    texts = stage(slim.join(nodes, F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
+    tested = found = spark.createDataFrame([], "a long, b long")
+    groups = spark.createDataFrame([], "node long, component long")
+    sent, open_buckets = keyed.withColumn("m", F.struct(F.col("node").alias("first"), "node", "size")), keyed
+    quiet, number = 0, 0
+    while True:
         centre = sent.groupBy("key").agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
-        centre = centre.select(F.col("key").alias("k"), "c").checkpoint()
+        centre = stage(centre.select(F.col("key").alias("k"), "c"), "centres")
         pairs = (
             sent.join(centre, F.col("key") == F.col("k"))
             .filter("m.node <> c.node")
             .filter(f"100 * least(m.size, c.size) >= {percent} * greatest(m.size, c.size)")
             .select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b"))
             .distinct()
-            .join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-            .checkpoint()
         )
-        needed = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-        texts = slim.join(needed, F.col("did") == F.col("n"), "left_semi")
+        before = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+        pairs = stage(pairs.join(before, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
         with_b = pairs.join(texts.select(F.col("did").alias("b"), F.col("text").alias("y")), "b")
         with_both = with_b.join(texts.select(F.col("did").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        new = with_both.mapInArrow(_confirm(k, percent, 100), "a long, b long").distinct().checkpoint()
+        new = stage(with_both.mapInArrow(_confirm(k, percent, 100), "a long, b long").distinct(), "links")
+        some = new.limit(1).count() > 0
+        quiet = 0 if some else quiet + 1
+        number += 1
         tested = tested.union(pairs)
-        n_new, number = new.count(), number + 1
-        quiet = quiet + 1 if not n_new else 0
-        if n_new:
+        if some:
             found = found.union(new)
-            groups = components(found).checkpoint()
-        if groups is None:
-            break
-    if groups is None:
-        return spark.createDataFrame([], "node long, component long")
-    return groups
+            groups = stage(_merge(groups, new), "components")
+        elif number == 1 or quiet == 2:
+            return groups
+        named = open_buckets.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        several = stage(several.select(F.col("key").alias("k")), "open-keys")
+        open_buckets = stage(named.join(several, F.col("key") == F.col("k")).select("key", "node", "size", "component"), "open-buckets")
+        if number == 1:
+            links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+            members = open_buckets.join(links, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
+        else:
+            members = open_buckets.withColumn("first", F.xxhash64("node", "key", F.lit(number)))
+        sent = stage(members.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")), "sent")
+
+
+def _merge(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups after further links: components of the linked groups, handed on to their nodes."""
+    old = groups.select(F.col("node").alias("g_node"), F.col("component").alias("g_component"))
+    for side in ("a", "b"):
+        links = links.join(old, F.col(side) == F.col("g_node"), "left").withColumn(side, F.coalesce("g_component", side)).select("a", "b")
+    merged = components(links).select(F.col("node").alias("c_node"), F.col("component").alias("c_component"))
+    kept = groups.join(merged, F.col("component") == F.col("c_node"), "left").select("node", F.coalesce("c_component", "component").alias("component"))
+    return kept.union(merged.select("c_node", "c_component")).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
