@@ -97,14 +97,15 @@ def _cut(path: str, end_id: int, capacity: int):
         coder, part, seen = encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
-            for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = memoryview((coder.encode(text.as_py() or "") if text.is_valid else b"") + end)
-                n, at = len(raw) // 4, 0
+            for did, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1)), strict=True):
+                n, at = len(ids) + 1, 0
                 piece, length = 0, (n - 1) % capacity + 1
                 while at < n:
                     nth = seen.get(length, 0)
                     seen[length] = nth + 1
-                    rows.append((did, piece, at, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), part, nth))
+                    crc = zlib.crc32(ids[at : at + length])
+                    crc = zlib.crc32(end, crc) if at + length == n else crc
+                    rows.append((did, piece, at, length, crc, part, nth))
                     at, piece, length = at + length, piece + 1, capacity
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

@@ -2,30 +2,45 @@
 
 A byte-level tokenizer splits text before it merges, and always splits between a visible character
 and a single space or line break that a visible character follows. Units between such places
-therefore encode alike wherever they stand, and most units of a corpus repeat. Texts with any other
-white space, and tokenizer files of another kind, are encoded whole.
+therefore encode alike wherever they stand, and most units of a corpus repeat. A batch of texts is
+split and its distinct units are found by Arrow; only units not seen before go through the tokenizer.
+Texts with any other white space, and tokenizer files of another kind, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
+import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space (in any reading of \s) other than single inner spaces and line breaks.
-_ODD = re.compile(
-    r"[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
-    r"|  |\n\n| \n|\n |\A[ \n]|[ \n]\Z|\A\Z"
+#: White space (in any reading of \\s) other than single inner spaces and line breaks; RE2 syntax.
+_ODD = (
+    r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+    r"|  |\n\n| \n|\n |\A[ \n]|[ \n]\z"
 )
-#: Units kept at most by a worker; the cache starts anew beyond it.
-CACHE_UNITS = 400_000
+#: Units kept by a worker: beyond half of it the older half goes, but for units seen again meanwhile.
+CACHE_UNITS = 800_000
+#: Bytes of text whose units are looked up together, and units whose ids are gathered together.
+SLICE_BYTES, GATHER = 32 << 20, 1 << 19
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 as itself, every other byte as the next letter from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible_bytes()
 
 
 class Encoder:
-    """Encodes texts into little-endian unsigned 32-bit ids."""
+    """Encodes texts into unsigned 32-bit ids."""
 
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,49 +49,115 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kind = spec.get("pre_tokenizer") or {}
-        self._plain = not (
+        self._tokenizer = Tokenizer.from_file(path)
+        line = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._plain = len(line) != 1 or not (
             kind.get("type") == "ByteLevel"
             and kind.get("use_regex")
             and not kind.get("add_prefix_space")
             and not spec.get("normalizer")
             and not spec.get("post_processor")
         )
-        self._tokenizer = Tokenizer.from_file(path)
-        self._units: dict[str, bytes] = {}
-        self._limit = cache_units
-        line = self._tokenizer.encode("\n", add_special_tokens=False).ids
-        self._plain |= len(line) != 1
-        self._line = line[0] if line else -1
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self._line = line[0] if line else 0
+        # A unit is a piece without its leading space, or with its leading line break.
+        self._merge, self._stops = self._tokenizer.model.tokenize, {}
+        self._seed = {"\n": np.array(line[:1], "<u4").tobytes()}
+        self._new, self._old, self._half = dict(self._seed), {}, cache_units // 2
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _word(self, u: str) -> bytes | None:
+        """A unit of Latin letters and final stops: two pieces at most for the merges, no splitting needed."""
+        core = u.rstrip(".,;:!?")
+        if not core.isalpha() or not (core.isascii() or max(core) < "\u0250"):
+            return None
+        letters = core if core.isascii() else core.encode().decode("latin-1").translate(_VISIBLE)
+        ids = [t.id for t in self._merge("\u0120" + letters)]
+        code = struct.pack(f"<{len(ids)}I", *ids)
+        if len(core) == len(u):
+            return code
+        stops = u[len(core) :]
+        if stops not in self._stops:
+            self._stops[stops] = self._whole(stops).tobytes()
+        return code + self._stops[stops]
 
     def _learn(self, units: list[str]) -> None:
-        """A unit is a piece without its leading space, or with its leading line break."""
+        rest = []
+        for u in units:
+            code = self._word(u)
+            if code is None:
+                rest.append(u)
+            else:
+                self._new[u] = code
+        for at in range(0, len(rest), 50):  # long texts cost the library more a unit
+            self._learn_joined(rest[at : at + 50])
+
+    def _learn_joined(self, units: list[str]) -> None:
         joined = "\n" + "\n".join(u[1:] if u[0] == "\n" else " " + u for u in units)
-        ids = np.array(self._tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        ids = self._whole(joined)
         at = np.append(np.flatnonzero(ids == self._line), len(ids))
         if len(at) != len(units) + 1:
             for u in units:
-                self._units[u] = self._whole(u if u[0] == "\n" else " " + u)
+                self._new[u] = self._whole(u if u[0] == "\n" else " " + u).tobytes()
             return
         raw, at = ids.tobytes(), (at * 4).tolist()
         for u, a, b in zip(units, at, at[1:], strict=False):
-            self._units[u] = raw[a:b] if u[0] == "\n" else raw[a + 4 : b]
-
-    def encode(self, text: str) -> bytes:
-        if self._plain or _ODD.search(text) is not None:
-            return self._whole(text)
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\n" + pieces[0]
-        try:
-            return b"".join(map(self._units.__getitem__, pieces))[4:]
-        except KeyError:
-            if len(self._units) > self._limit:
-                self._units.clear()
-            known = self._units
-            self._learn([u for u in dict.fromkeys(pieces) if u not in known])
-            return b"".join(map(known.__getitem__, pieces))[4:]
+            self._new[u] = raw[a:b] if u[0] == "\n" else raw[a + 4 : b]
+
+    def _codes(self, units: list[str]) -> list[bytes]:
+        if len(self._new) > self._half:
+            self._old, self._new = self._new, dict(self._seed)
+        new, old, unknown = self._new, self._old, []
+        for u in units:
+            if u not in new:
+                if u in old:
+                    new[u] = old[u]
+                else:
+                    unknown.append(u)
+        if unknown:
+            self._learn(unknown)
+        return list(map(new.__getitem__, units))
+
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts without odd white space."""
+        lined = pc.replace_substring(texts, "\n", " \n")
+        pieces = pc.split_pattern(pc.binary_join_element_wise("\n", lined, ""), " ")
+        units = pieces.flatten().dictionary_encode()
+        codes = self._codes(units.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+        pool, firsts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        which = units.indices.to_numpy()
+        ends = np.cumsum(sizes[which])
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        for at in range(0, len(which), GATHER):
+            part = which[at : at + GATHER]
+            counts, stop = sizes[part], ends[at : at + GATHER]
+            start = int(stop[0] - counts[0])
+            places = np.repeat(firsts[part] - (stop - counts), counts)
+            places += np.arange(start, start + len(places))
+            np.take(pool, places, out=ids[start : start + len(places)])
+        cuts = np.append(0, ends)[np.asarray(pieces.offsets)].tolist()
+        return [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self._plain:
+            return [self._whole(t) for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, _ODD)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        rest = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy()[rest]) if len(rest) else np.empty(0, np.int64)
+        at = 0
+        while at < len(rest):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            for i, ids in zip(rest[at:upto].tolist(), self._slice(texts.take(pa.array(rest[at:upto]))), strict=True):
+                out[i] = ids
+            at = upto
+        return out
 
 
 @lru_cache(maxsize=2)

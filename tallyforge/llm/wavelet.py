@@ -72,7 +72,7 @@ class WaveletShard:
                 before += int(np.count_nonzero(bit[b * 8 * BLOCK : (b + 1) * 8 * BLOCK]))
             zeros.append(n - before)
             if level + 1 < levels:
-                value = np.concatenate([value[~bit], value[bit]])
+                value = np.concatenate([np.compress(~bit, value), np.compress(bit, value)])
         docs = packer.compress(
             np.array(lengths, "<u8").tobytes()
             + np.array([d is not None for d in doc_ids], "u1").tobytes()
@@ -157,8 +157,8 @@ class WaveletShard:
             )
             bit = np.unpackbits(np.frombuffer(raw, "u1"), count=self.n).view(bool)
             zeros, out = int(self.zeros[level]), np.empty(self.n, dtype)
-            out[~bit] = value[:zeros]
-            out[bit] = value[zeros:] | dtype(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = value[:zeros]
+            out[np.flatnonzero(bit)] = value[zeros:] | dtype(1 << (self.levels - 1 - level))
             value = out
         return value
 
@@ -172,28 +172,28 @@ _FILE = "part int, chunk int, n_docs long, n_tokens long, blob binary"
 
 
 def _write(path: str, end_id: int, chunk_tokens: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         coder, part, chunk = encoder(path), TaskContext.get().partitionId(), 0
-        ids, raw, size = [], [], 0
+        ids, raw, lengths, size = [], [], [], 0
 
         def shard():
-            tokens = np.frombuffer(b"".join(raw), "<u4")
-            blob = WaveletShard.build(tokens, ids, [len(r) // 4 for r in raw])
+            tokens = np.concatenate(raw)
+            blob = WaveletShard.build(tokens, ids, lengths)
             columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32())]
             columns += [pa.array([len(ids)], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([blob], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "n_docs", "n_tokens", "blob"])
 
         for batch in batches:
-            for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                code = coder.encode(text.as_py() or "") + end if text.is_valid else end
+            for did, code in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1)), strict=True):
                 ids.append(did)
-                raw.append(code)
-                size += len(code) // 4
+                raw += [code, end]
+                lengths.append(len(code) + 1)
+                size += len(code) + 1
                 if size >= chunk_tokens:
                     yield shard()
-                    ids, raw, size, chunk = [], [], 0, chunk + 1
+                    ids, raw, lengths, size, chunk = [], [], [], 0, chunk + 1
         if ids:
             yield shard()
 
