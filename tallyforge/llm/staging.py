@@ -31,21 +31,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, an execution drops its shuffle files when it has ended, not before."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution drops its shuffle files when it has ended, and Arrow batches stay small."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stage(df: DataFrame, label: str, **options) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage."""
     spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, label)
-    with tidy_shuffles(spark):
+    with frugal(spark):
         df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 

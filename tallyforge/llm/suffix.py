@@ -36,7 +36,7 @@ from .staging import col, stage
 #: A perfect difference set, every difference mod 133 exactly once.
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: Bytes of text in a block, and of text for each range of fingerprints.
-BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -101,7 +101,7 @@ def candidate_starts(samples: np.ndarray, shared: np.ndarray, lengths: np.ndarra
     marks = np.zeros(total + 1, np.int32)
     np.add.at(marks, lo[ok], 1)
     np.add.at(marks, hi[ok] + 1, -1)
-    return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+    return np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int32) > 0)
 
 
 def covered_spans(starts: np.ndarray, lengths: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
