@@ -2,5 +2,33 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; doubles are rounded to six places, as the SQL does."""
+
+    def keep(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = build(spark, sf_dir)
+            return df.select(*(F.round(F.col(f"`{n}`"), 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return keep
+
+
+def load() -> None:
+    from . import joins_q, judgements_q, stats_q  # noqa: F401
+
+
+load()
