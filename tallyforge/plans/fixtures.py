@@ -82,7 +82,7 @@ def report_texts(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     text = F.concat(
-        F.lit("As of "), F.date_format(d, "d MMMM yyyy"), F.lit(", at least "), F.format_number(k % 9000 + 1000, 0), F.lit(" people were affected in "), F.col("n_name"),
+        F.lit("As of "), F.date_format(d, "d MMMM yyyy"), F.lit(", at least "), F.format_number(k % 9000 + 1000, 0), F.lit(" people were affected in "), F.translate("n_name", "0123456789", "ABCDEFGHIJ"),
         F.lit(", according to OCHA. Figures are preliminary and may change; "), (k % 97).cast("string"), F.lit("% of homes were destroyed.\n"),
         (F.col("o_custkey") % 50).cast("string"), F.lit(" persons died, reported by the Ministry of Health. Some 1."), (k % 9 + 1).cast("string"), F.lit(" million were displaced since the last report."),
     )
@@ -92,6 +92,6 @@ def report_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 TEXTS = """texts AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, n_name AS event, CASE WHEN o_orderpriority < '3' THEN 'human' ELSE 'machine' END AS kind,
   'As of ' || day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) || ', at least ' || (o_orderkey % 9000 + 1000) // 1000 || ',' || lpad(((o_orderkey % 9000 + 1000) % 1000)::VARCHAR, 3, '0')
-  || ' people were affected in ' || n_name || ', according to OCHA. Figures are preliminary and may change; ' || o_orderkey % 97 || '% of homes were destroyed.' || chr(10)
+  || ' people were affected in ' || translate(n_name, '0123456789', 'ABCDEFGHIJ') || ', according to OCHA. Figures are preliminary and may change; ' || o_orderkey % 97 || '% of homes were destroyed.' || chr(10)
   || o_custkey % 50 || ' persons died, reported by the Ministry of Health. Some 1.' || (o_orderkey % 9 + 1) || ' million were displaced since the last report.' AS text
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""

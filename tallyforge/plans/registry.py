@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import joins_q, judgements_q, stats_q  # noqa: F401
+    from . import joins_q, judgements_q, scalars_q, stats_q, text_q  # noqa: F401
 
 
 load()
