@@ -242,10 +242,18 @@ def _groups(text: Column, pattern: str, order: tuple[int, int, int], prefix: str
     return F.when(F.regexp_extract(text, pattern, 0) != "", F.concat(F.lit(prefix), got[0], F.lit("-"), got[1], F.lit("-"), got[2]))
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def date_from_filename(name) -> Column:
     """A date in a file name by ordered patterns; an implausible YYYYMMDD gives null at once."""
     stem = F.regexp_replace(F.element_at(F.split(c(name), "/"), -1), r"(?<=.)\.[^.]*$", "")
-    spaced = F.regexp_replace(stem, r"[_\-]+", " ")
+    return _bound(stem, lambda st: _bound(F.regexp_replace(st, r"[_\-]+", " "), lambda sp: _stem_date(st, sp)))
+
+
+def _stem_date(stem: Column, spaced: Column) -> Column:
     month = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
     eight = _groups(stem, r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", (1, 2, 3))
     dmy = rf"(?i)(\d{{1,2}})\s*{month}[a-z]*\s*(20\d{{2}})"
@@ -253,9 +261,9 @@ def date_from_filename(name) -> Column:
     number = F.create_map(*(x for i, m in enumerate(_MONTH_NAMES, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))))
 
     def worded(pattern, day, mon, year):
-        hit = F.regexp_extract(spaced, pattern, 0) != ""
-        return F.when(hit, F.concat(F.regexp_extract(spaced, pattern, year), F.lit("-"), F.try_element_at(number, F.lower(F.regexp_extract(spaced, pattern, mon))),
-                                    F.lit("-"), F.lpad(F.regexp_extract(spaced, pattern, day), 2, "0")))
+        part = lambda k: F.regexp_extract(spaced, pattern, k)
+        found = F.concat_ws("-", part(year), F.try_element_at(number, F.lower(part(mon))), F.lpad(part(day), 2, "0"))
+        return F.when(part(0) != "", found)
 
     loose = r"(?<![\d])(\d{2})(\d{2})(\d{2})(?![\d\w])"
     ymd, dmy6 = _plausible(_groups(stem, loose, (1, 2, 3), "20")), _plausible(_groups(stem, loose, (3, 2, 1), "20"))

@@ -78,8 +78,10 @@ def block_text(node: _Node, skip=NOISE) -> str:
         if isinstance(item, str):
             out.append(item)
         elif item.tag not in skip:
-            block = item.tag in BLOCKS
-            if block:
+            if item.tag == "br":
+                out.append("\n")
+                continue
+            if item.tag in BLOCKS:
                 out.append("\n")
                 stack.append("\n")
             stack.extend(reversed(item.children))

@@ -50,7 +50,7 @@ def cached(transport: Transport, store: dict | None = None) -> Transport:
 
 
 def paged_source(name: str, schema: str, transport: Transport, *, page_size: int = 100, max_total: int = 1000):
-    """A DataSource class for spark.dataSource.register()."""
+    """A DataSource class for spark.dataSource.register(); schema is a flat "name type, ..." list."""
 
     class Reader(DataSourceReader):
         def __init__(self):
@@ -68,9 +68,7 @@ def paged_source(name: str, schema: str, transport: Transport, *, page_size: int
             return [Page(at, min(page_size, max_total - at)) for at in range(0, max_total, page_size)]
 
         def read(self, partition):
-            from pyspark.sql.types import StructType
-
-            columns = StructType.fromDDL(schema).names
+            columns = [c.split()[0] for c in schema.split(",")]
             for row in transport(self.query, *partition.value):
                 yield tuple(row.get(c) for c in columns)
 

@@ -68,8 +68,8 @@ def metric_reports(spark: SparkSession, path: str, kind: str = "human") -> DataF
 
 
 def metric_report_lines(spark: SparkSession, path: str, kind: str = "human") -> DataFrame:
-    """Reports from JSON lines; a missing id is <stem>-<line>, counted in file order (a file is one partition here)."""
-    text = spark.read.option("wholetext", True).text(path)
+    """Reports from JSON lines; a missing id is <stem>-<line>, counted in file order; a file is read whole."""
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(_stem(F.col("_metadata.file_name")).alias("stem"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
     rows = lines.select("stem", "i", F.from_json("line", schemas.REPORT).alias("r")).select("stem", "i", "r.*").filter(F.trim("text") != "")
     return rows.select(F.coalesce("id", F.concat_ws("-", "stem", "i")).alias("id"), event_key("event").alias("event"), F.lit(kind).alias("kind"), F.coalesce("date", "day").alias("date"), "text")
