@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, *, max_rounds: int = 60, files: int = 12) -> DataFrame:
     """(node, component) for every node of edges(a, b): the component is its smallest node.
 
     Alternates two contractions until nothing changes: every node hands its larger neighbours to its
@@ -17,17 +17,17 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     logarithm of the longest path. Every round is written in the shared folder.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    links = stage(links, "links")
+    links = stage(links, "links", files=files)
     before = None
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v"), F.col("u")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.col("n")).alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.filter("u <> v").distinct(), "large-star")
+        large = stage(large.filter("u <> v").distinct(), "large-star", files=files)
         least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("n"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        links = stage(small.filter("u <> v").distinct(), "small-star")
+        links = stage(small.filter("u <> v").distinct(), "small-star", files=files)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import col, drop_path, fresh_path
+from .staging import col, drop_path, files_for, fresh_path, frugal, lean, stage
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _KEY = "batch int, did long, h1 long, h2 long"
 _ENTRY = "h1 long, h2 long, n_docs long, max_doc long"
+#: Lines to drop (16 bytes each) up to which they are broadcast; beyond, documents are shuffled to them.
+BROADCAST_LINES = 1_000_000
 #: The place of a null doc_id in the order of documents: before all others.
 NULL_ID = -(1 << 63)
 
@@ -57,8 +59,8 @@ def _keys(n_batches: int, min_chars: int):
 class LineRuns:
     """The runs of a growing corpus, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, *, min_docs: int = 5, fanout: int = 4):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    def __init__(self, spark: SparkSession, *, min_docs: int = 5, fanout: int = 4, files: int = 12):
+        self.spark, self.min_docs, self.fanout, self.files = spark, min_docs, fanout, files
         self.levels: list[list[str]] = []
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -68,7 +70,8 @@ class LineRuns:
 
     def _write(self, entries: DataFrame, level: int) -> None:
         path = fresh_path(self.spark, f"run-l{level}")
-        entries.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
+        with frugal(self.spark):
+            entries.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2").coalesce(self.files).write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -154,9 +157,10 @@ def dedup_lines(
     did = F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID))
     staged = fresh_path(spark, "line-keys")
     slim = docs.select(did.alias("did"), col(text_col).cast("string").alias("text"))
-    slim.mapInArrow(_keys(n_batches, min_chars), _KEY).write.partitionBy("batch").parquet(staged)
+    with frugal(spark):
+        slim.mapInArrow(lean(_keys(n_batches, min_chars)), _KEY).write.partitionBy("batch").parquet(staged)
     keys = spark.read.schema(_KEY).parquet(staged)
-    runs = LineRuns(spark, min_docs=min_docs, fanout=fanout)
+    runs = LineRuns(spark, min_docs=min_docs, fanout=fanout, files=files_for(keys.count(), 4_000_000))
     for batch in range(n_batches):
         runs.add(keys.filter(F.col("batch") == batch).select("did", "h1", "h2"))
     drops = (
@@ -165,6 +169,10 @@ def dedup_lines(
         .groupBy(F.col("did").alias("__did"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))  # at most the lines of a document
     )
+    drops = stage(drops, "line-drops", files=files_for(keys.count(), 1_000_000))
+    dropped = drops.agg(F.coalesce(F.sum(F.size("__drops")), F.lit(0))).first()[0]
+    if dropped <= BROADCAST_LINES:
+        drops = F.broadcast(drops)
     wide = docs.select(did.alias("__key"), F.struct(*map(col, names)).alias("__row"))
     joined = wide.join(drops, F.col("__key") == F.col("__did"), "left")
     schema = docs.select(*map(col, names)).schema
@@ -174,5 +182,5 @@ def dedup_lines(
     fields[at] = T.StructField(f"c{at}", T.StringType())
     n = len(fields)
     out = T.StructType([*fields, T.StructField(f"c{n}", T.LongType()), T.StructField(f"c{n + 1}", T.LongType())])
-    done = flat.mapInArrow(_rewrite(schema, at, min_chars), out)
+    done = flat.mapInArrow(lean(_rewrite(schema, at, min_chars)), out)
     return done.toDF(*names, *counts)

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import col, stage
+from .staging import col, files_for, if_small, lean, stage
 
 N_BINS, ROWS = 128, 4
+#: Ids up to which a list of them is broadcast to filter texts; beyond, the texts are shuffled to it.
+BROADCAST_IDS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd multipliers of the words of a shingle.
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, 33)]
@@ -164,25 +166,27 @@ def near_duplicates(
     meet in the component of the id. Rows with a null id keep a null component. An empty table gives no rows.
     """
     slim = docs.select(col(id_col).cast("long").alias("did"), col(text_col).cast("string").alias("text"))
-    sketched = slim.mapInArrow(_sketch(k, n_bins, rows), "did long, n_shingles long, w1 long, w2 long, bands array<long>")
+    sketched = slim.mapInArrow(lean(_sketch(k, n_bins, rows)), "did long, n_shingles long, w1 long, w2 long, bands array<long>")
     sketched = stage(sketched, "sketches")
+    files = files_for(sketched.count(), 100_000)
     known = sketched.filter("w1 IS NOT NULL AND did IS NOT NULL")
-    same = stage(known.groupBy("w1", "w2").agg(F.min(F.struct("did", "n_shingles", "bands")).alias("m")), "distinct-words")
+    same = stage(known.groupBy("w1", "w2").agg(F.min(F.struct("did", "n_shingles", "bands")).alias("m")), "distinct-words", files=files)
     keyed = same.select(F.col("m.did").alias("node"), F.col("m.n_shingles").alias("size"), F.explode("m.bands").alias("key"))
-    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "shared-keys")
-    keyed = stage(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size"), "buckets")
-    groups = _groups(keyed, slim, k, percent)
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "shared-keys", files=files)
+    keyed = stage(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size"), "buckets", files=files)
+    groups = _groups(keyed, slim, k, percent, files)
     reps = same.select(F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("m.did").alias("rep"))
     reps = stage(
         reps.join(groups, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")),
         "representatives",
+        files=files,
     )
     return sketched.join(reps, (F.col("w1") == F.col("s1")) & (F.col("w2") == F.col("s2")), "left").select(
         F.col("did").alias("doc_id"), "n_shingles", F.coalesce(F.when(F.col("did").isNotNull(), F.col("component")), F.col("did")).alias("component_id")
     )
 
 
-def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int) -> DataFrame:
+def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int, files: int) -> DataFrame:
     """(node, component) of the nodes with a confirmed link.
 
     Round 0 joins every bucket to its smallest node. Later rounds keep the buckets that still hold more
@@ -190,15 +194,15 @@ def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int) -> DataFram
     others by hash, and the star joins these. It ends after two rounds in a row without a new link.
     """
     spark = keyed.sparkSession
-    nodes = keyed.select(F.col("node").alias("n")).distinct()
-    texts = stage(slim.join(nodes, F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
+    nodes = stage(keyed.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
+    texts = stage(slim.join(if_small(nodes, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
     tested = found = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
     sent, open_buckets = keyed.withColumn("m", F.struct(F.col("node").alias("first"), "node", "size")), keyed
     quiet, number = 0, 0
     while True:
         centre = sent.groupBy("key").agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
-        centre = stage(centre.select(F.col("key").alias("k"), "c"), "centres")
+        centre = stage(centre.select(F.col("key").alias("k"), "c"), "centres", files=files)
         pairs = (
             sent.join(centre, F.col("key") == F.col("k"))
             .filter("m.node <> c.node")
@@ -207,37 +211,39 @@ def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int) -> DataFram
             .distinct()
         )
         before = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        pairs = stage(pairs.join(before, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs")
-        with_b = pairs.join(texts.select(F.col("did").alias("b"), F.col("text").alias("y")), "b")
-        with_both = with_b.join(texts.select(F.col("did").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        new = stage(with_both.mapInArrow(_confirm(k, percent, 100), "a long, b long").distinct(), "links")
+        pairs = stage(pairs.join(before, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs", files=files)
+        wanted = stage(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct(), "pair-nodes", files=files)
+        paired = texts.join(if_small(wanted, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi")
+        with_b = pairs.join(paired.select(F.col("did").alias("b"), F.col("text").alias("y")), "b")
+        with_both = with_b.join(paired.select(F.col("did").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+        new = stage(with_both.mapInArrow(lean(_confirm(k, percent, 100)), "a long, b long").distinct(), "links", files=files)
         some = new.limit(1).count() > 0
         quiet = 0 if some else quiet + 1
         number += 1
         tested = tested.union(pairs)
         if some:
             found = found.union(new)
-            groups = stage(_merge(groups, new), "components")
+            groups = stage(_merge(groups, new, files), "components", files=files)
         elif number == 1 or quiet == 2:
             return groups
         named = open_buckets.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        several = stage(several.select(F.col("key").alias("k")), "open-keys")
-        open_buckets = stage(named.join(several, F.col("key") == F.col("k")).select("key", "node", "size", "component"), "open-buckets")
+        several = stage(several.select(F.col("key").alias("k")), "open-keys", files=files)
+        open_buckets = stage(named.join(several, F.col("key") == F.col("k")).select("key", "node", "size", "component"), "open-buckets", files=files)
         if number == 1:
             links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
             members = open_buckets.join(links, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
         else:
             members = open_buckets.withColumn("first", F.xxhash64("node", "key", F.lit(number)))
-        sent = stage(members.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")), "sent")
+        sent = stage(members.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")), "sent", files=files)
 
 
-def _merge(groups: DataFrame, links: DataFrame) -> DataFrame:
+def _merge(groups: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """The groups after further links: components of the linked groups, handed on to their nodes."""
     old = groups.select(F.col("node").alias("g_node"), F.col("component").alias("g_component"))
     for side in ("a", "b"):
         links = links.join(old, F.col(side) == F.col("g_node"), "left").withColumn(side, F.coalesce("g_component", side)).select("a", "b")
-    merged = components(links).select(F.col("node").alias("c_node"), F.col("component").alias("c_component"))
+    merged = components(links, files=files).select(F.col("node").alias("c_node"), F.col("component").alias("c_component"))
     kept = groups.join(merged, F.col("component") == F.col("c_node"), "left").select("node", F.coalesce("c_component", "component").alias("component"))
     return kept.union(merged.select("c_node", "c_component")).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -245,5 +251,5 @@ def _merge(groups: DataFrame, links: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that are their component's smallest id, with their own columns."""
     judged = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, col(id_col) == F.col("__gone"), "left_anti")
+    gone = stage(judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies", files=12)
+    return docs.join(if_small(gone, BROADCAST_IDS), col(id_col) == F.col("__gone"), "left_anti")

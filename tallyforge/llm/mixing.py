@@ -6,8 +6,8 @@ A binary tree over the output shards splits the quotas: a node hands the left ha
 draw without replacement from its blocks, counted by source, and the right half the rest. At the
 leaves each shard owns a range of every source's permuted blocks, and rows shuffle inside the shard.
 
-Only built-in functions are used. Documents meet the block table in one join; the tables of
-sources, blocks and quotas are small: at most ``MAX_BLOCKS`` blocks and one for each source.
+Only built-in functions are used. Documents meet the block table in one join; the block table has
+at most ``MAX_BLOCKS`` rows and one more for each source, and is broadcast where its counted rows are few.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import WS_CLASS, col
+from .staging import WS_CLASS, col, stage
 
 #: Words of a block in small corpora, and the number of blocks that bounds the block table in large ones.
 BLOCK_WORDS, MAX_BLOCKS = 65_536, 65_536
@@ -23,6 +23,8 @@ BLOCK_WORDS, MAX_BLOCKS = 65_536, 65_536
 MAX_REPEATS = 3
 #: Sources beyond this number share quota bundles; a draw from a bundle's pool is still hypergeometric.
 MAX_BUNDLES = 1024
+#: Rows of the block table up to which it is broadcast (about 100 bytes each); beyond, documents are shuffled to it.
+BROADCAST_ROWS = 200_000
 SEED = "mix-1"
 
 _WORD = WS_CLASS.replace("[", "[^", 1) + "+"
@@ -96,20 +98,21 @@ def plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, weights=(1, 2, 3),
     """
     size = F.greatest(F.lit(block_words), F.ceil(F.col("all_size") / MAX_BLOCKS))
     sources = targets(sized, weights).withColumn("n_blocks", F.greatest(F.ceil(F.col("source_size") / size), F.lit(1)).cast("long"))
-    sources = sources.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))).checkpoint()
+    sources = stage(sources.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))), "mix-sources", files=4)
     same = F.col("source").eqNullSafe(F.col("b_source"))
     hashed = sized.select(F.col("source").alias("b_source"), "size", "h").join(sources.select("source", "n_blocks"), same)
     hashed = hashed.select("b_source", F.pmod("h", "n_blocks").alias("block"), "size", "h")
     blocks = hashed.groupBy("b_source", "block").agg(F.sum("size").alias("block_size"))
     order = Window.partitionBy("b_source").orderBy("b_hash", "block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = (
+    blocks = stage(
         blocks.join(sources, same)
         .withColumn("b_hash", _hash60(F.lit(seed), F.lit("block"), _name(F.col("b_source")), F.col("block").cast("string")))
         .withColumn("after", F.sum("block_size").over(order))
         .withColumn("before", F.col("after") - F.col("block_size"))
         .withColumn("extra", F.expr("CASE WHEN passes >= 3 THEN 0 WHEN after <= rest THEN 2 WHEN before < rest THEN 1 ELSE 0 END"))
-        .drop("source")
-        .checkpoint()
+        .drop("source"),
+        "mix-blocks",
+        files=4,
     )
     # The cut block of each source: documents in hash order while the middle of each is within the rest.
     cut = blocks.filter("extra = 1").select(
@@ -197,7 +200,7 @@ def shard_quotas(blocks: DataFrame, n_shards: int) -> DataFrame:
                 )
             ).alias("half"),
         ).select("half.lo", "half.hi", "names", "half.qs")
-        nodes = nodes.filter("hi - lo <= 1").unionByName(halves).checkpoint()
+        nodes = stage(nodes.filter("hi - lo <= 1").unionByName(halves), "mix-nodes", files=4)
     leaves = nodes.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("names", "qs")).alias("x")).select(
         "shard", F.col("x.names").alias("bundle"), F.col("x.qs").alias("q")
     )
@@ -227,15 +230,17 @@ def mix(
     depends on ids, texts and the seed alone, so reruns and other file layouts agree.
     """
     sized = _sized(docs, id_col, text_col, source_col, seed)
-    blocks = plan(sized, block_words=block_words, weights=weights, seed=seed).checkpoint()
-    copies = (
+    slim = stage(sized.select("source", "size", "h"), "mix-sizes")
+    blocks = stage(plan(slim, block_words=block_words, weights=weights, seed=seed), "mix-plan", files=4)
+    copies = stage(
         blocks.withColumn("copy", F.explode(F.expr("sequence(0, cast(take + CASE WHEN extra > 0 THEN 1 ELSE 0 END as int))")))
         .filter("copy < take + CASE WHEN extra > 0 THEN 1 ELSE 0 END")
         .withColumn("bundle", F.pmod("rank", F.lit(MAX_BUNDLES)))
         .withColumn("c_hash", _hash60(F.lit(seed), F.lit("copy"), _name(F.col("b_source")), F.col("block").cast("string"), F.col("copy").cast("string")))
         .withColumn("at", F.row_number().over(Window.partitionBy("bundle").orderBy("c_hash", "b_hash", "copy")) - 1)
-        .select("b_source", "block", "copy", "bundle", "at")
-        .checkpoint()
+        .select("b_source", "block", "copy", "bundle", "at"),
+        "mix-copies",
+        files=4,
     )
     ranges = shard_quotas(copies, n_shards).withColumnRenamed("bundle", "r_bundle")
     placed = (
@@ -246,7 +251,10 @@ def mix(
     table = blocks.join(placed, F.col("b_source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left").select(
         "b_source", "block", "source_size", "target", "take", "extra", "cut", "copies"
     )
+    table = stage(table, "mix-table", files=4)
     counts = blocks.select(F.col("b_source").alias("n_source"), "n_blocks").distinct()
+    if table.count() <= BROADCAST_ROWS:
+        table, counts = F.broadcast(table), F.broadcast(counts)
     return (
         sized.join(counts, F.col("source").eqNullSafe(F.col("n_source")))
         .withColumn("my_block", F.pmod("h", "n_blocks"))
@@ -269,11 +277,18 @@ def mix(
 
 
 def materialise(mixed: DataFrame, columns: list[str], n_shards: int = 16) -> DataFrame:
-    """The mix as rows of ``columns``: a row for each copy, shards kept together, shuffled inside."""
+    """The mix as rows of ``columns``: a row for each copy, shards kept together, shuffled inside.
+
+    A shard is cut by place into as many partitions as the session's shuffle partitions allow it, so a
+    task's size does not depend on the number of shards. Partitions are named outright: no sampling.
+    """
+    parts = max(1, int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards)
     flat = mixed.select("row", F.explode("copies").alias("c"))
     probe = flat.select("c.shard", "c.place", *(F.col("row")[c].alias(f"v{i}") for i, c in enumerate(columns)))
+    # place is a uniform signed 64-bit integer; its top 31 bits, from 0, scaled to the parts.
+    sub = F.shiftright(((F.shiftrightunsigned("place", 33)).bitwiseXOR(F.lit(1 << 30).cast("long"))) * parts, 31)
     return (
-        probe.repartitionByRange(n_shards, "shard", "place")
+        probe.repartitionById(n_shards * parts, (F.col("shard") * parts + sub).cast("int"))
         .sortWithinPartitions("shard", "place")
         .select(*(F.col(f"v{i}").alias(c) for i, c in enumerate(columns)))
     )

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import col
+from .staging import col, lean, stage
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -152,10 +152,9 @@ def pack(
     id are packed each on its own, null ids stay null, other columns are not read, and an empty table
     gives no rows.
     """
-    spark = docs.sparkSession
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    pieces = slim.mapInArrow(_cut(tokenizer, end_id, capacity), _PIECES).checkpoint()
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n")).checkpoint()
+    pieces = stage(slim.mapInArrow(lean(_cut(tokenizer, end_id, capacity)), _PIECES), "pieces")
+    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
     rows, first, used = [], 0, {}
     for pattern, times in best_two_fit(histogram, capacity):

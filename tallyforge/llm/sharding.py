@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import col
+from .staging import col, stage
 
 _RUNNING = "doc_id long, size long, text_crc32 long, part int, local_bytes long, local_rows long"
 
@@ -59,12 +59,12 @@ def shard_by_bytes(
         F.crc32(text).alias("text_crc32"),
         F.monotonically_increasing_id().alias("tie"),
     )
-    ordered = (
+    ordered = stage(
         keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("tie"))
         .select("doc_id", "size", "text_crc32")
-        .mapInArrow(_running, _RUNNING)
-        .checkpoint()
+        .mapInArrow(_running, _RUNNING),
+        "byte-line",
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 @contextmanager
 def frugal(spark: SparkSession) -> Iterator[None]:
     """Within it, an execution drops its shuffle files when it has ended, and Arrow batches stay small."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    wanted = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    }
     before = {key: spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -44,14 +50,46 @@ def frugal(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def stage(df: DataFrame, label: str, **options) -> DataFrame:
-    """Write a table into the shared folder and read it back, which cuts the lineage."""
+def stage(df: DataFrame, label: str, *, files: int | None = None, **options) -> DataFrame:
+    """Write a table into the shared folder and read it back, which cuts the lineage.
+
+    ``files`` bounds the number of files of a table that is known to be small for it.
+    """
     spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, label)
     with frugal(spark):
-        df.write.options(**options).parquet(path)
+        (df if files is None else df.coalesce(files)).write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def if_small(df: DataFrame, limit: int) -> DataFrame:
+    """A staged table marked for broadcast when its counted rows are within the limit; else as it is,
+    and the join that it goes to shuffles both sides."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def files_for(rows: int, rows_a_file: int, least: int = 12) -> int:
+    """A number of files that grows with the rows."""
+    return max(least, -(-rows // rows_a_file))
+
+
+def lean(run):
+    """A function over Arrow batches that gives its unused memory back when a task ends.
+
+    Python workers outlive their tasks, and what they keep counts against the executor.
+    """
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return held
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a staged folder through Hadoop's file system, wherever it lies."""
     jvm = spark.sparkContext._jvm

@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import col, stage
+from .staging import col, files_for, if_small, lean, stage
 
 #: A perfect difference set, every difference mod 133 exactly once.
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: Bytes of text in a block, and of text for each range of fingerprints.
 BLOCK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
-_STEP = 1 << 20
+#: Rows with a copy up to which their list is broadcast; beyond, the texts are shuffled to it.
+BROADCAST_COPIES = 1_000_000
+_STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -340,18 +342,21 @@ def remove_repeats(
     slim = docs.select(
         F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
     )
-    digests = stage(slim.mapInArrow(_digest, _SLIM), "digests")
+    digests = stage(slim.mapInArrow(lean(_digest), _SLIM), "digests")
     same = digests.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1")
-    same = same.select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "first").checkpoint()
+    files = files_for(digests.count(), 200_000)
+    same = stage(same.select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "first"), "same-texts", files=files)
     copies = digests.join(same, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
-    copies = copies.select(F.col("rid").alias("c_rid"), (F.col("rid") == F.col("first")).alias("evidence"), "n_bytes").checkpoint()
+    copies = copies.select(F.col("rid").alias("c_rid"), (F.col("rid") == F.col("first")).alias("evidence"), "n_bytes")
+    copies = stage(copies, "copies", files=files)
+    listed = if_small(copies, BROADCAST_COPIES)
     # A text with copies stands for them as evidence, under one row; short texts are settled at once.
-    roles = slim.join(copies.select("c_rid", "evidence"), F.col("rid") == F.col("c_rid"), "left")
+    roles = slim.join(listed.select("c_rid", "evidence"), F.col("rid") == F.col("c_rid"), "left")
     options = {"compression": "none", "parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
     blocks = stage(
         roles.filter("evidence IS NULL OR evidence")
         .select("doc_id", "text", F.coalesce("evidence", F.lit(False)).alias("evidence"))
-        .mapInArrow(_blocks(block_bytes), _BLOCK),
+        .mapInArrow(lean(_blocks(block_bytes)), _BLOCK),
         "blocks",
         **options,
     )
@@ -359,25 +364,25 @@ def remove_repeats(
     n_ranges = max(48, -(-total // range_bytes))
     answered = blocks
     for level, n_bytes, planes in ((1, 5, 1), (2, 8, 2), (3, 8, 1)):  # level 1 only rules out, so 5 bytes do
-        names = answered.mapInArrow(_named(level, n_ranges, width, n_bytes), "range int, block long, names binary")
+        names = answered.mapInArrow(lean(_named(level, n_ranges, width, n_bytes)), "range int, block long, names binary")
         answers = (
             names.repartition(n_ranges, "range")
             .sortWithinPartitions("range", "block")
-            .mapInArrow(_resolve(n_bytes, planes), "block long, range int, bits binary")
+            .mapInArrow(lean(_resolve(n_bytes, planes)), "block long, range int, bits binary")
         )
-        replies = stage(answers, f"answers-{level}").groupBy(F.col("block").alias(f"b{level}")).agg(
+        replies = stage(answers, f"answers-{level}", files=files_for(total, 256 << 20)).groupBy(F.col("block").alias(f"b{level}")).agg(
             F.collect_list(F.struct("range", "bits")).alias(f"answers{level}")  # a few bits for each suffix of a block
         )
         answered = answered.join(replies, F.col("block") == F.col(f"b{level}"), "left").drop(f"b{level}")
-    cut = answered.mapInArrow(_cut(n_ranges, width), _OUT)
-    texts = slim.join(copies.filter(f"n_bytes < {width}").select("c_rid"), F.col("rid") == F.col("c_rid"), "left_semi")
+    cut = answered.mapInArrow(lean(_cut(n_ranges, width)), _OUT)
+    texts = slim.join(listed.filter(f"n_bytes < {width}").select("c_rid"), F.col("rid") == F.col("c_rid"), "left_semi")
     short = texts.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"),
     )
-    whole = digests.join(copies.filter(f"n_bytes >= {width}").select("c_rid"), F.col("rid") == F.col("c_rid"), "left_semi").select(
+    whole = digests.join(listed.filter(f"n_bytes >= {width}").select("c_rid"), F.col("rid") == F.col("c_rid"), "left_semi").select(
         "doc_id",
         "n_bytes",
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"),

@@ -121,13 +121,14 @@ class Encoder:
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of texts without odd white space."""
-        lined = pc.replace_substring(texts, "\n", " \n")
-        pieces = pc.split_pattern(pc.binary_join_element_wise("\n", lined, ""), " ")
-        units = pieces.flatten().dictionary_encode()
-        codes = self._codes(units.dictionary.to_pylist())
+        pieces = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        offsets, units = np.asarray(pieces.offsets), pieces.flatten().dictionary_encode()
+        del pieces
+        which, codes = units.indices.to_numpy(), self._codes(units.dictionary.to_pylist())
+        del units
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
         pool, firsts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
-        which = units.indices.to_numpy()
+        del codes
         ends = np.cumsum(sizes[which])
         ids = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
         for at in range(0, len(which), GATHER):
@@ -137,7 +138,7 @@ class Encoder:
             places = np.repeat(firsts[part] - (stop - counts), counts)
             places += np.arange(start, start + len(places))
             np.take(pool, places, out=ids[start : start + len(places)])
-        cuts = np.append(0, ends)[np.asarray(pieces.offsets)].tolist()
+        cuts = np.append(0, ends)[offsets].tolist()
         return [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:

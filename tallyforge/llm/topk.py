@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import col
+from .staging import col, stage
 
 #: Rows of a block of queries or candidates at most; a cell of the grid holds one of each.
 BLOCK = 1 << 16
@@ -138,7 +138,8 @@ def top_k(
     coded = vectors.select(col(id_col).cast("long").alias("i"), col(vec_col).alias("v")).mapInArrow(
         _encode(scale), "vec_id long, dim int, v binary"
     )
-    rows = coded.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select("vec_id", "m.dim", "m.v").checkpoint()
+    rows = coded.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("m")).select("vec_id", "m.dim", "m.v")
+    rows = stage(rows, "vectors")
     is_query = F.col("vec_id") % every == 0
     total, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
     cores = spark.sparkContext.defaultParallelism

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import col, fresh_path
+from .staging import col, fresh_path, lean
 from .tokens import encoder
 
 _MAGIC = b"TFWM"
@@ -222,7 +222,7 @@ def write_shards(
     ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "tie"
     )
-    shards = ordered.select("doc_id", "text").mapInArrow(_write(tokenizer, end_id, chunk_tokens), _FILE)
+    shards = ordered.select("doc_id", "text").mapInArrow(lean(_write(tokenizer, end_id, chunk_tokens)), _FILE)
     options = {"parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
     shards.write.options(**options).option("compression", "none").parquet(path)
     return path
@@ -250,7 +250,7 @@ def read_shards(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files alone."""
     files = spark.read.schema(_FILE).parquet(path)
     docs = files.select("part", "chunk", "blob").mapInArrow(
-        _read, "part int, chunk int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+        lean(_read), "part int, chunk int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     )
     sizes = files.select("part", "chunk", "n_tokens")
     in_part = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
