@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .staging import col, drop_path, files_for, fresh_path, frugal, lean, stage
 
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -153,6 +154,7 @@ def dedup_lines(
     like ``counts`` give way to the results; all others pass through.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     names = [c for c in docs.columns if c not in counts]
     did = F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID))
     staged = fresh_path(spark, "line-keys")

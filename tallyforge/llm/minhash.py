@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .components import components
 from .staging import col, files_for, if_small, lean, stage
 
@@ -165,6 +166,7 @@ def near_duplicates(
     their own id. Rows that share an id are one node where their words are equal, and otherwise
     meet in the component of the id. Rows with a null id keep a null component. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     slim = docs.select(col(id_col).cast("long").alias("did"), col(text_col).cast("string").alias("text"))
     sketched = slim.mapInArrow(lean(_sketch(k, n_bins, rows)), "did long, n_shingles long, w1 long, w2 long, bands array<long>")
     sketched = stage(sketched, "sketches")

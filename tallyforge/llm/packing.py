@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .staging import col, lean, stage
 from .tokens import encoder
 
@@ -152,6 +153,7 @@ def pack(
     id are packed each on its own, null ids stay null, other columns are not read, and an empty table
     gives no rows.
     """
+    ship_package(docs.sparkSession)
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     pieces = stage(slim.mapInArrow(lean(_cut(tokenizer, end_id, capacity)), _PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .staging import col, stage
 
 _RUNNING = "doc_id long, size long, text_crc32 long, part int, local_bytes long, local_rows long"
@@ -52,6 +53,7 @@ def shard_by_bytes(
     keep their input order, an empty table gives no rows, and other columns are not read.
     Returns doc_id, size, text_crc32, shard, slot (place in the shard, from 0), start (global byte).
     """
+    ship_package(docs.sparkSession)
     text = F.coalesce(col(text_col), F.lit(""))
     keyed = docs.select(
         col(id_col).cast("long").alias("doc_id"),

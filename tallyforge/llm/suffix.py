@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .staging import col, files_for, if_small, lean, stage
 
 #: A perfect difference set, every difference mod 133 exactly once.
@@ -339,6 +340,7 @@ def remove_repeats(
     """
     if width < PERIOD + 8:
         raise ValueError(f"a width of {width}; at least {PERIOD + 8} is needed")
+    ship_package(docs.sparkSession)
     slim = docs.select(
         F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
     )

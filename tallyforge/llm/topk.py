@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .staging import col, stage
 
 #: Rows of a block of queries or candidates at most; a cell of the grid holds one of each.
@@ -135,6 +136,7 @@ def top_k(
     with fewer than k others gets them all. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     coded = vectors.select(col(id_col).cast("long").alias("i"), col(vec_col).alias("v")).mapInArrow(
         _encode(scale), "vec_id long, dim int, v binary"
     )

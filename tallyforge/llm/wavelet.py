@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .staging import col, fresh_path, lean
 from .tokens import encoder
 
@@ -217,6 +218,7 @@ def write_shards(
     alone, rows that share an id keep their input order, other columns are not read, and an empty
     table writes no shard. Spark's committer writes the files, so a lost executor leaves none in half.
     """
+    ship_package(docs.sparkSession)
     path = path or fresh_path(docs.sparkSession, "token-shards")
     slim = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
     ordered = slim.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(
@@ -248,6 +250,7 @@ def _read(batches):
 
 def read_shards(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files alone."""
+    ship_package(spark)
     files = spark.read.schema(_FILE).parquet(path)
     docs = files.select("part", "chunk", "blob").mapInArrow(
         lean(_read), "part int, chunk int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
