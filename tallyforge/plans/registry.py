@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -16,6 +18,7 @@ def query(name: str, sql: str | None = None):
 
     def keep(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             df = build(spark, sf_dir)
             return df.select(*(F.round(F.col(f"`{n}`"), 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
 

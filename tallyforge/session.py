@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +36,16 @@ def build_session(app: str = "tallyforge", master: str | None = None, **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the input tables, as Spark's own reader sees it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, wherever the driver was started; once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyforge_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tallyforge-package-")  # the driver serves the file while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(package, f"{folder}/source/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/source"))
+    context._tallyforge_shipped = True
