@@ -44,7 +44,8 @@ def spearman(rows: DataFrame, x: str, y: str, by=()) -> DataFrame:
     pairs = average_rank(average_rank(clean_pairs(rows, x, y, by), "x", "rx", by), "y", "ry", by)
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")
     stats = pairs.groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop("rx", "ry") / F.nullif(spread, F.lit(0.0))).alias("rho"))
-    stats = stats.withColumn("rho", F.when(F.col("n") >= 3, F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0))))
+    defined = (F.col("n") >= 3) & F.col("rho").isNotNull()  # greatest and least would skip a null
+    stats = stats.withColumn("rho", F.when(defined, F.greatest(F.least("rho", F.lit(1.0)), F.lit(-1.0))))
     return stats.withColumn("p_value", _t_p(F.col("rho"), F.col("n")))
 
 
