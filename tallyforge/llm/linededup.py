@@ -157,11 +157,8 @@ def dedup_lines(
     ship_package(spark)
     names = [c for c in docs.columns if c not in counts]
     did = F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID))
-    staged = fresh_path(spark, "line-keys")
     slim = docs.select(did.alias("did"), col(text_col).cast("string").alias("text"))
-    with frugal(spark):
-        slim.mapInArrow(lean(_keys(n_batches, min_chars)), _KEY).write.partitionBy("batch").parquet(staged)
-    keys = spark.read.schema(_KEY).parquet(staged)
+    keys = stage(slim.mapInArrow(lean(_keys(n_batches, min_chars)), _KEY), "line-keys")
     runs = LineRuns(spark, min_docs=min_docs, fanout=fanout, files=files_for(keys.count(), 4_000_000))
     for batch in range(n_batches):
         runs.add(keys.filter(F.col("batch") == batch).select("did", "h1", "h2"))
