@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
@@ -36,6 +38,44 @@ class RateLimit:
         self._next = max(now, self._next) + self.interval
 
 
+def valid_app_name(value: str | None) -> str | None:
+    """A registered application name: letters, digits, dots, dashes; None for blanks and placeholders."""
+    name = (value or "").strip()
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{2,63}", name) or name.lower() in ("appname", "your-appname", "changeme"):
+        return None
+    return name
+
+
+def retry_after(value: str | None, now: float | None = None) -> float | None:
+    """Seconds to wait from a Retry-After header: a number or an HTTP date; None when it is neither."""
+    if not value:
+        return None
+    try:
+        return max(0.0, float(value))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - (time.time() if now is None else now))
+    except (TypeError, ValueError):
+        return None
+
+
+def with_retries(transport: Transport, attempts: int = 3, sleep=time.sleep) -> Transport:
+    """Repeats a call that raises ConnectionError or TimeoutError, waiting 1, 2, 4, ... seconds."""
+
+    def page(query: dict, offset: int, limit: int) -> list[dict]:
+        for attempt in range(attempts):
+            try:
+                return transport(query, offset, limit)
+            except (ConnectionError, TimeoutError):
+                if attempt + 1 == attempts:
+                    raise
+                sleep(2.0**attempt)
+        return []
+
+    return page
+
+
 def cached(transport: Transport, store: dict | None = None) -> Transport:
     """Answers a repeated query from a store keyed by its hash."""
     store = {} if store is None else store

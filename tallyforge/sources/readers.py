@@ -202,6 +202,25 @@ def first_present(columns, candidates) -> str:
     raise ValueError(f"none of {list(candidates)} in {list(columns)}")
 
 
+def resolve_metrics(requested, known) -> list[str]:
+    """The requested metric names in order, all known ones when none is asked for; unknown names raise."""
+    names = list(dict.fromkeys(m.strip().lower() for m in requested or () if m.strip()))
+    unknown = [m for m in names if m not in known]
+    if unknown:
+        raise ValueError(f"unknown metrics: {unknown}; known: {list(known)}")
+    return names or list(known)
+
+
+def ensure_manifest(path: str) -> bool:
+    """An empty manifest with its header where there is none; whether one was made."""
+    target = Path(path)
+    if target.exists():
+        return False
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(",".join(schemas.MANIFEST_COLUMNS) + "\n", encoding="utf-8")
+    return True
+
+
 def load_config(path: str | None = None) -> dict:
     """A YAML or JSON config, or nothing."""
     if path is None or not Path(path).exists():
