@@ -60,7 +60,7 @@ def _keys(n_batches: int, min_chars: int):
 class LineRuns:
     """The runs of a growing corpus, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, *, min_docs: int = 5, fanout: int = 4, files: int = 12):
+    def __init__(self, spark: SparkSession, *, min_docs: int = 5, fanout: int = 4, files: int = 4):
         self.spark, self.min_docs, self.fanout, self.files = spark, min_docs, fanout, files
         self.levels: list[list[str]] = []
 

@@ -4,8 +4,8 @@ A document's shingles are hashed once; the range of hashes is cut into bins and
 least hash. An empty bin takes the value of the bin that a universal hash of (bin, attempt) picks first
 among the full ones. Bands of bins are bucket keys. Texts with equal words are one node; in a bucket
 of nodes a star joins each to the bucket's centre, so a bucket gives fewer pairs than members. Every pair
-is confirmed on the full shingle sets. Buckets that still hold several components get further
-stars between these, and connected components give the groups.
+is confirmed on the full shingle sets. Buckets of two bands then get stars between the components they
+still hold, until nothing new is found, and connected components give the groups.
 """
 
 from __future__ import annotations
@@ -173,10 +173,8 @@ def near_duplicates(
     files = files_for(sketched.count(), 100_000)
     known = sketched.filter("w1 IS NOT NULL AND did IS NOT NULL")
     same = stage(known.groupBy("w1", "w2").agg(F.min(F.struct("did", "n_shingles", "bands")).alias("m")), "distinct-words", files=files)
-    keyed = same.select(F.col("m.did").alias("node"), F.col("m.n_shingles").alias("size"), F.explode("m.bands").alias("key"))
-    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "shared-keys", files=files)
-    keyed = stage(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node", "size"), "buckets", files=files)
-    groups = _groups(keyed, slim, k, percent, files)
+    nodes = same.select(F.col("m.did").alias("node"), F.col("m.n_shingles").alias("size"), F.col("m.bands").alias("bands"))
+    groups = _groups(nodes, slim, k, percent, files)
     reps = same.select(F.col("w1").alias("s1"), F.col("w2").alias("s2"), F.col("m.did").alias("rep"))
     reps = stage(
         reps.join(groups, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")),
@@ -188,26 +186,30 @@ def near_duplicates(
     )
 
 
-def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int, files: int) -> DataFrame:
+def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int) -> DataFrame:
     """(node, component) of the nodes with a confirmed link.
 
-    Round 0 joins every bucket to its smallest node. Later rounds keep the buckets that still hold more
-    than one component: each component sends one member, at first the one with the most links and then
-    others by hash, and the star joins these. It ends after two rounds in a row without a new link.
+    Round 0 joins every bucket of one band to its smallest node. Round t looks at buckets of two bands,
+    i and i + t, among the rows whose first band was shared: nodes that are alike share many such pairs
+    of bands, others hardly any, so these buckets hold little but what belongs together. Each component
+    sends one member to a bucket, at first the one with the most links and then others by hash, and
+    the star joins these. It ends after two rounds in a row without a new link.
     """
-    spark = keyed.sparkSession
-    nodes = stage(keyed.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
-    texts = stage(slim.join(if_small(nodes, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
-    tested = found = spark.createDataFrame([], "a long, b long")
+    spark = nodes.sparkSession
+    found = tested = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
-    sent, open_buckets = keyed.withColumn("m", F.struct(F.col("node").alias("first"), "node", "size")), keyed
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    centre = keyed.groupBy("key").agg(F.min(F.struct(F.col("node").alias("first"), "node", "size")).alias("c"), F.count("*").alias("n"))
+    centre = stage(centre.filter("n > 1").select(F.col("key").alias("k"), "c"), "centres", files=files)
+    keyed = stage(keyed.join(centre, F.col("key") == F.col("k")).select("key", "band", "node", "size", "c"), "buckets", files=files)
+    members = stage(keyed.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
+    texts = stage(slim.join(if_small(members, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
+    bands = nodes.join(members, F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("b_node"), "bands")
+    joined = keyed.select(F.struct("node", "size").alias("m"), "c")
     quiet, number = 0, 0
     while True:
-        centre = sent.groupBy("key").agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
-        centre = stage(centre.select(F.col("key").alias("k"), "c"), "centres", files=files)
         pairs = (
-            sent.join(centre, F.col("key") == F.col("k"))
-            .filter("m.node <> c.node")
+            joined.filter("m.node <> c.node")
             .filter(f"100 * least(m.size, c.size) >= {percent} * greatest(m.size, c.size)")
             .select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b"))
             .distinct()
@@ -218,7 +220,7 @@ def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         paired = texts.join(if_small(wanted, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi")
         with_b = pairs.join(paired.select(F.col("did").alias("b"), F.col("text").alias("y")), "b")
         with_both = with_b.join(paired.select(F.col("did").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        new = stage(with_both.mapInArrow(lean(_confirm(k, percent, 100)), "a long, b long").distinct(), "links", files=files)
+        new = stage(with_both.mapInArrow(lean(_confirm(k, percent, 100)), "a long, b long").distinct(), "links", files=3 * files)
         some = new.limit(1).count() > 0
         quiet = 0 if some else quiet + 1
         number += 1
@@ -228,16 +230,18 @@ def _groups(keyed: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
             groups = stage(_merge(groups, new, files), "components", files=files)
         elif number == 1 or quiet == 2:
             return groups
-        named = open_buckets.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        several = stage(several.select(F.col("key").alias("k")), "open-keys", files=files)
-        open_buckets = stage(named.join(several, F.col("key") == F.col("k")).select("key", "node", "size", "component"), "open-buckets", files=files)
+        second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
+        rows = keyed.join(bands, F.col("node") == F.col("b_node")).select(F.xxhash64("key", second).alias("key"), "node", "size")
+        rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if number == 1:
             links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-            members = open_buckets.join(links, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
+            rows = rows.join(links, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
         else:
-            members = open_buckets.withColumn("first", F.xxhash64("node", "key", F.lit(number)))
-        sent = stage(members.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")), "sent", files=files)
+            rows = rows.withColumn("first", F.xxhash64("node", "key", F.lit(number)))
+        sent = stage(rows.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")), "sent", files=files)
+        centre = sent.groupBy("key").agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
+        centre = stage(centre.select(F.col("key").alias("k"), "c"), "centres", files=files)
+        joined = sent.join(centre, F.col("key") == F.col("k"))
 
 
 def _merge(groups: DataFrame, links: DataFrame, files: int) -> DataFrame:

@@ -189,10 +189,53 @@ x AS (SELECT v.rid, max_by(action, length(r_host || r_path)) AS verdict, max_by(
 SELECT v.page_id, v.host, v.path, x.rule, coalesce(x.verdict, 'allow') AS verdict FROM v LEFT JOIN x ON v.rid = x.rid
 """
 
+#: crc32 by the byte table that its polynomial gives; sizes cut at equal targets by the middle byte.
+_OP1 = """
+WITH tab AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) AS v
+  FROM (SELECT unnest(range(256)) AS n))),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(b, lambda a, x: xor(t[xor(a & 255, x) + 1], a >> 8), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM b, tab),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, sum(size) OVER ()::BIGINT AS total FROM c),
+s AS (SELECT *, ((before * 2 + size) * 24 // (total * 2))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+#: All windows of 200 bytes, by hash; starts of repeated ones cover spans, the gaps between are kept.
+_OP5 = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(greatest(length(h) // 2 - 199, 0))) AS i FROM t)),
+r AS (SELECT rid, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+m AS (SELECT rid, i, coalesce(i > lag(i) OVER o + 200, true)::INT AS first FROM r WINDOW o AS (PARTITION BY rid ORDER BY i)),
+n AS (SELECT rid, i, sum(first) OVER (PARTITION BY rid ORDER BY i) AS span FROM m),
+g AS (SELECT rid, span, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY rid, span),
+q AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail FROM g GROUP BY rid),
+k AS (SELECT g.rid, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM g) g JOIN t ON t.rid = g.rid GROUP BY g.rid)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN q.rid IS NULL THEN h ELSE coalesce(kept, '') || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM t LEFT JOIN q ON q.rid = t.rid LEFT JOIN k ON k.rid = t.rid
+"""
+
+#: Exact links between all pairs that share a shingle, and what each document reaches; ids are unique here.
+_OP9 = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^{_WS}]+') AS w FROM documents),
+e AS (SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM reach r JOIN d ON d.a = r.b),
+m AS (SELECT a, least(a, min(b)) AS least_id FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least_id, t.doc_id) AS component_id, t.doc_id = coalesce(m.least_id, t.doc_id) AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN m ON m.a = t.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": _OP1,
     "op2_mixing": _OP2,
     "op3_exact_top_k": _OP3,
     "op4_line_dedup": _OP4,
+    "op5_suffix_dedup": _OP5,
+    "op9_minhash_dedup": _OP9,
     "op6_quality_rules": _OP6,
     "op10_url_filters": _OP10,
 }

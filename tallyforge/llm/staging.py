@@ -67,8 +67,8 @@ def if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def files_for(rows: int, rows_a_file: int, least: int = 12) -> int:
-    """A number of files that grows with the rows."""
+def files_for(rows: int, rows_a_file: int, least: int = 4) -> int:
+    """A number of files that grows with the rows; few files are quicker to create and to list."""
     return max(least, -(-rows // rows_a_file))
 
 
