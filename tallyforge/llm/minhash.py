@@ -21,6 +21,8 @@ from .components import components
 from .staging import col, files_for, if_small, lean, stage
 
 N_BINS, ROWS = 128, 4
+#: Members up to which a bucket of one band gets further stars as a whole; larger ones are split by a second band.
+SMALL_BUCKET, QUIET = 16, 3
 #: Ids up to which a list of them is broadcast to filter texts; beyond, the texts are shuffled to it.
 BROADCAST_IDS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -193,15 +195,15 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
     i and i + t, among the rows whose first band was shared: nodes that are alike share many such pairs
     of bands, others hardly any, so these buckets hold little but what belongs together. Each component
     sends one member to a bucket, at first the one with the most links and then others by hash, and
-    the star joins these. It ends after two rounds in a row without a new link.
+    the star joins these. It ends after QUIET rounds in a row without a new link.
     """
     spark = nodes.sparkSession
     found = tested = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
     keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     centre = keyed.groupBy("key").agg(F.min(F.struct(F.col("node").alias("first"), "node", "size")).alias("c"), F.count("*").alias("n"))
-    centre = stage(centre.filter("n > 1").select(F.col("key").alias("k"), "c"), "centres", files=files)
-    keyed = stage(keyed.join(centre, F.col("key") == F.col("k")).select("key", "band", "node", "size", "c"), "buckets", files=files)
+    centre = stage(centre.filter("n > 1").select(F.col("key").alias("k"), "c", "n"), "centres", files=files)
+    keyed = stage(keyed.join(centre, F.col("key") == F.col("k")).select("key", "band", "node", "size", "c", "n"), "buckets", files=files)
     members = stage(keyed.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
     texts = stage(slim.join(if_small(members, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
     bands = nodes.join(members, F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("b_node"), "bands")
@@ -228,10 +230,12 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         if some:
             found = found.union(new)
             groups = stage(_merge(groups, new, files), "components", files=files)
-        elif number == 1 or quiet == 2:
+        elif number == 1 or quiet == QUIET:
             return groups
         second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
-        rows = keyed.join(bands, F.col("node") == F.col("b_node")).select(F.xxhash64("key", second).alias("key"), "node", "size")
+        # A bucket of two is settled; a small one goes on whole, too, with another centre each round.
+        keys = F.array_compact(F.array(F.xxhash64("key", second), F.when(F.col("n").between(3, SMALL_BUCKET), F.col("key"))))
+        rows = keyed.filter("n > 2").join(bands, F.col("node") == F.col("b_node")).select(F.explode(keys).alias("key"), "node", "size")
         rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if number == 1:
             links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
