@@ -5,7 +5,8 @@ least hash. An empty bin takes the value of the bin that a universal hash of (bi
 among the full ones. Bands of bins are bucket keys. Texts with equal words are one node; in a bucket
 of nodes a star joins each to the bucket's centre, so a bucket gives fewer pairs than members. Every pair
 is confirmed on the full shingle sets. Buckets of two bands then get stars between the components they
-still hold, until nothing new is found, and connected components give the groups.
+still hold. At the end every bucket that still holds several components is searched whole: all pairs of
+members of different components are confirmed, in blocks. Connected components give the groups.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .staging import col, files_for, if_small, lean, stage
 N_BINS, ROWS = 128, 4
 #: Members up to which a bucket of one band gets further stars as a whole; larger ones are split by a second band.
 SMALL_BUCKET, QUIET = 16, 3
+#: Members of a block when the pairs of a bucket are searched whole.
+BLOCK = 128
 #: Ids up to which a list of them is broadcast to filter texts; beyond, the texts are shuffled to it.
 BROADCAST_IDS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -151,6 +154,66 @@ def _confirm(k: int, numerator: int, denominator: int):
     return run
 
 
+def _cells(batches):
+    """The rows of each cell (key, i, j); rows come sorted by cell, and a cell may run over batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(name).to_numpy() for name in ("key", "i", "j")])
+        cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if last is not None and (cell[:, start] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = cell[:, start]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _search(k: int, percent: int):
+    """The links that join the components of a cell. A pair is tested in the first bucket that it shares;
+    one that links of the cell already connect is not tested."""
+
+    def links(cell: pa.Table) -> list[tuple[int, int]]:
+        cell = cell.sort_by("size").combine_chunks()
+        key, node, size, block, component = (cell.column(c).to_numpy() for c in ("key", "node", "size", "block", "component"))
+        bands = np.array(cell.column("bands").to_pylist(), np.int64)
+        text, sets, out = cell.column("text").cast(pa.binary()), {}, []
+        within = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+        # Components by their place among those of the cell, joined as links are found.
+        group = np.unique(component, return_inverse=True)[1]
+
+        def full(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = shingles(words_of(text[at].as_py()), k)
+            return sets[at]
+
+        for x in range(len(node)):
+            end = np.searchsorted(-100 * size[x] + percent * size, 0, "right")
+            later = np.arange(x + 1, max(x + 1, end))
+            later = later[(group[later] != group[x]) & (within | (block[later] != block[x]))]
+            same = bands[later] == bands[x]
+            first = bands[x][same.argmax(axis=1)]
+            for y in later[same.any(axis=1) & (first == key[0])].tolist():
+                if group[x] == group[y]:
+                    continue
+                one, other = full(x), full(y)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * both >= percent * (len(one) + len(other) - both):
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+                    group[group == group[y]] = group[x]
+        return out
+
+    def run(batches):
+        for cell in _cells(batches):
+            if out := links(cell):
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -195,7 +258,7 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
     i and i + t, among the rows whose first band was shared: nodes that are alike share many such pairs
     of bands, others hardly any, so these buckets hold little but what belongs together. Each component
     sends one member to a bucket, at first the one with the most links and then others by hash, and
-    the star joins these. It ends after QUIET rounds in a row without a new link.
+    the star joins these. After QUIET rounds in a row without a new link _finish tests all pairs that are left.
     """
     spark = nodes.sparkSession
     found = tested = spark.createDataFrame([], "a long, b long")
@@ -230,8 +293,10 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         if some:
             found = found.union(new)
             groups = stage(_merge(groups, new, files), "components", files=files)
-        elif number == 1 or quiet == QUIET:
+        elif number == 1:
             return groups
+        elif quiet == QUIET:
+            return _finish(keyed, bands, texts, groups, k, percent, files)
         second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
         # A bucket of two is settled; a small one goes on whole, too, with another centre each round.
         keys = F.array_compact(F.array(F.xxhash64("key", second), F.when(F.col("n").between(3, SMALL_BUCKET), F.col("key"))))
@@ -248,6 +313,31 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         joined = sent.join(centre, F.col("key") == F.col("k"))
 
 
+def _finish(keyed: DataFrame, bands: DataFrame, texts: DataFrame, groups: DataFrame, k: int, percent: int, files: int) -> DataFrame:
+    """The groups after a search of every bucket that holds several components, whatever its size.
+
+    Members of a bucket's largest component are compared with the others only, and the others with each other,
+    too. Both are cut into blocks by hash, and a cell holds two blocks (or one, against itself), so no task
+    needs a whole bucket. Pairs of one component need no test, and each other pair is tested.
+    """
+    rows = keyed.filter("n > 2").select("key", "node", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stage(rows, "searched", files=files)
+    held = rows.groupBy("key", "component").agg(F.count("*").alias("members"))
+    held = held.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("most"), F.sum("members").alias("all"), F.count("*").alias("parts"))
+    held = held.filter("parts > 1").select("k", F.col("most.component").alias("major"), F.ceil((F.col("all") - F.col("most.members")) / BLOCK).alias("low"), F.ceil(F.col("most.members") / BLOCK).alias("high"))
+    held = stage(held, "open-buckets", files=files)
+    rows = rows.join(held, F.col("key") == F.col("k"))
+    small = F.col("component") != F.col("major")
+    at = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(small, F.pmod(at, "low")).otherwise(F.col("low") + F.pmod(at, "high")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(small, F.col("low") + F.col("high")).otherwise(F.col("low")) - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "component")
+    rows = rows.join(bands, F.col("node") == F.col("b_node")).join(texts, F.col("node") == F.col("did"))
+    cells = rows.select("key", "i", "j", "block", "node", "size", "component", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    new = stage(cells.mapInArrow(lean(_search(k, percent)), "a long, b long").distinct(), "links", files=files)
+    return stage(_merge(groups, new, files), "components", files=files) if new.limit(1).count() else groups
+
+
 def _merge(groups: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """The groups after further links: components of the linked groups, handed on to their nodes."""
     old = groups.select(F.col("node").alias("g_node"), F.col("component").alias("g_component"))
