@@ -293,8 +293,6 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         if some:
             found = found.union(new)
             groups = stage(_merge(groups, new, files), "components", files=files)
-        elif number == 1:
-            return groups
         elif quiet == QUIET:
             return _finish(keyed, bands, texts, groups, k, percent, files)
         second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
