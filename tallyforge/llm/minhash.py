@@ -22,8 +22,6 @@ from .components import components
 from .staging import col, files_for, if_small, lean, stage
 
 N_BINS, ROWS = 128, 4
-#: Members up to which a bucket of one band gets further stars as a whole; larger ones are split by a second band.
-SMALL_BUCKET, QUIET = 16, 3
 #: Members of a block when the pairs of a bucket are searched whole.
 BLOCK = 128
 #: Ids up to which a list of them is broadcast to filter texts; beyond, the texts are shuffled to it.
@@ -258,7 +256,7 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
     i and i + t, among the rows whose first band was shared: nodes that are alike share many such pairs
     of bands, others hardly any, so these buckets hold little but what belongs together. Each component
     sends one member to a bucket, at first the one with the most links and then others by hash, and
-    the star joins these. After QUIET rounds in a row without a new link _finish tests all pairs that are left.
+    the star joins these. After a round without a new link _finish tests all pairs that are left.
     """
     spark = nodes.sparkSession
     found = tested = spark.createDataFrame([], "a long, b long")
@@ -271,7 +269,7 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
     texts = stage(slim.join(if_small(members, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
     bands = nodes.join(members, F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("b_node"), "bands")
     joined = keyed.select(F.struct("node", "size").alias("m"), "c")
-    quiet, number = 0, 0
+    number = 0
     while True:
         pairs = (
             joined.filter("m.node <> c.node")
@@ -286,19 +284,15 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         with_b = pairs.join(paired.select(F.col("did").alias("b"), F.col("text").alias("y")), "b")
         with_both = with_b.join(paired.select(F.col("did").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
         new = stage(with_both.mapInArrow(lean(_confirm(k, percent, 100)), "a long, b long").distinct(), "links", files=3 * files)
-        some = new.limit(1).count() > 0
-        quiet = 0 if some else quiet + 1
+        if not new.limit(1).count():
+            return _finish(keyed, bands, texts, groups, k, percent, files)
         number += 1
         tested = tested.union(pairs)
-        if some:
-            found = found.union(new)
-            groups = stage(_merge(groups, new, files), "components", files=files)
-        elif quiet == QUIET:
-            return _finish(keyed, bands, texts, groups, k, percent, files)
+        found = found.union(new)
+        groups = stage(_merge(groups, new, files), "components", files=files)
         second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
-        # A bucket of two is settled; a small one goes on whole, too, with another centre each round.
-        keys = F.array_compact(F.array(F.xxhash64("key", second), F.when(F.col("n").between(3, SMALL_BUCKET), F.col("key"))))
-        rows = keyed.filter("n > 2").join(bands, F.col("node") == F.col("b_node")).select(F.explode(keys).alias("key"), "node", "size")
+        # A bucket of two is settled.
+        rows = keyed.filter("n > 2").join(bands, F.col("node") == F.col("b_node")).select(F.xxhash64("key", second).alias("key"), "node", "size")
         rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if number == 1:
             links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
