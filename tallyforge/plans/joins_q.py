@@ -94,6 +94,19 @@ def _(spark, sf):
     return N.top_similar(d.filter("id % 10 = 0"), d.filter("id % 10 = 1"), ("lang",)).select("id", "candidate", "similarity", "rank")
 
 
+@query("d13_top_similar_all", f"""WITH {_TERMS}, x AS (SELECT l.id, l.lang, r.id AS candidate, CASE WHEN len(l.terms) > 0 AND len(r.terms) > 0 THEN len(list_intersect(l.terms, r.terms)) / (len(l.terms) + len(r.terms) - len(list_intersect(l.terms, r.terms))) ELSE 0.0 END AS s
+  FROM t l JOIN t r USING (lang) WHERE l.id % 10 = 0 AND r.id <> l.id)
+SELECT id, candidate, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, candidate)::INT AS rank FROM x QUALIFY rank <= 3""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    from ..functions.textops import audit_terms
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", audit_terms(F.col("text")).alias("terms"))
+    best = N.top_similar(d.filter("id % 10 = 0"), d, ("lang",), k=4).filter("id <> candidate")  # one of the four may be the document itself
+    return best.select("id", "candidate", "similarity", F.row_number().over(Window.partitionBy("id").orderBy("rank")).alias("rank")).filter("rank <= 3")
+
+
 @query("d16_bulk_lookup", "SELECT page_id, n_name FROM (SELECT page_id, (page_id % 40)::INT AS k FROM pages) LEFT JOIN nation ON k = n_nationkey")
 def _(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
