@@ -165,6 +165,11 @@ def _(spark, sf):
     return K.tfidf(d)
 
 
+@query("k01_tfidf_all", _TFIDF.replace(" WHERE lang = 'en'", ""))
+def _(spark, sf):
+    return K.tfidf(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("k03_cosine_distances", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) AS ab,
 sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))) AS n FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, a, b, round(1 - ab / n, 6) AS distance FROM p""")
 def _(spark, sf):
