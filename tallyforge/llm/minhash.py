@@ -5,7 +5,7 @@ least hash. An empty bin takes the value of the bin that a universal hash of (bi
 among the full ones. Bands of bins are bucket keys. Texts with equal words are one node; in a bucket
 of nodes a star joins each to the bucket's centre, so a bucket gives fewer pairs than members. Every pair
 is confirmed on the full shingle sets. Buckets of two bands then get stars between the components they
-still hold. At the end every bucket that still holds several components is searched whole: all pairs of
+still hold; buckets that hold one component are settled and leave. At the end every bucket that still holds several components is searched whole: all pairs of
 members of different components are confirmed, in blocks. Connected components give the groups.
 """
 
@@ -22,6 +22,10 @@ from .components import components
 from .staging import col, files_for, if_small, lean, stage
 
 N_BINS, ROWS = 128, 4
+#: Rounds of stars in buckets of two bands at most; the search of open buckets after them is exact in any case.
+STAR_ROUNDS = 2
+#: Members of a star that one task confirms.
+STAR_TEXTS = 256
 #: Members of a block when the pairs of a bucket are searched whole.
 BLOCK = 128
 #: Ids up to which a list of them is broadcast to filter texts; beyond, the texts are shuffled to it.
@@ -130,24 +134,33 @@ def _sketch(k: int, n_bins: int, rows: int):
     return run
 
 
-def _confirm(k: int, numerator: int, denominator: int):
-    """Keeps the pairs with denominator * intersection >= numerator * union, on full sets."""
+def _alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |intersection| >= percent * |union| of two sorted distinct sets."""
+    every = np.concatenate([one, other])
+    every.sort(kind="stable")
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
+    return 100 * both >= percent * (len(every) - both)
+
+
+def _confirm(k: int, percent: int):
+    """The links among the pairs of a star. Rows come sorted by (a, salt, member): the centre's text first, once,
+    and then a row for each member b."""
 
     def run(batches):
-        last: tuple[bytes, np.ndarray] | None = None
+        star, centres = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").cast(pa.binary()).to_pylist(), batch.column("y").cast(pa.binary()).to_pylist(), strict=True):
-                if last is None or last[0] != x:
-                    last = (x, shingles(words_of(x), k))
-                one, other = last[1], shingles(words_of(y), k)
-                if min(len(one), len(other)) * denominator < numerator * max(len(one), len(other)):
-                    keep.append(False)
-                    continue
-                both = len(one) + len(other) - len(np.unique(np.concatenate([one, other])))
-                keep.append(denominator * both >= numerator * (len(one) + len(other) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            a, salt, member, b = (batch.column(i).to_numpy() for i in range(4))
+            text, out = batch.column(4).cast(pa.binary()), []
+            for row in range(batch.num_rows):
+                if star != (a[row], salt[row]):
+                    star, centres = (a[row], salt[row]), []
+                own = shingles(words_of(text[row].as_py()), k)
+                if not member[row]:
+                    centres.append(own)
+                elif any(_alike(c, own, percent) for c in centres):
+                    out.append((min(a[row], b[row]), max(a[row], b[row])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -197,9 +210,7 @@ def _search(k: int, percent: int):
             for y in later[same.any(axis=1) & (first == key[0])].tolist():
                 if group[x] == group[y]:
                     continue
-                one, other = full(x), full(y)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                if 100 * both >= percent * (len(one) + len(other) - both):
+                if _alike(full(x), full(y), percent):
                     out.append((min(node[x], node[y]), max(node[x], node[y])))
                     group[group == group[y]] = group[x]
         return out
@@ -252,78 +263,105 @@ def near_duplicates(
 def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int) -> DataFrame:
     """(node, component) of the nodes with a confirmed link.
 
-    Round 0 joins every bucket of one band to its smallest node. Round t looks at buckets of two bands,
-    i and i + t, among the rows whose first band was shared: nodes that are alike share many such pairs
-    of bands, others hardly any, so these buckets hold little but what belongs together. Each component
-    sends one member to a bucket, at first the one with the most links and then others by hash, and
-    the star joins these. After a round without a new link _finish tests all pairs that are left.
+    Round 0 joins every bucket of one band to its smallest node. Then only nodes of open buckets (those that
+    hold several components) go on. Round t looks at buckets of two bands, i and i + t: nodes that are alike
+    share many such pairs of bands, others hardly any. Each component sends one member to a bucket, at first
+    the one with the most links and then others by hash, and the star joins these. These rounds only save
+    work; _finish tests every pair that is left, so the end does not depend on them.
     """
     spark = nodes.sparkSession
-    found = tested = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
-    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
-    centre = keyed.groupBy("key").agg(F.min(F.struct(F.col("node").alias("first"), "node", "size")).alias("c"), F.count("*").alias("n"))
-    centre = stage(centre.filter("n > 1").select(F.col("key").alias("k"), "c", "n"), "centres", files=files)
-    keyed = stage(keyed.join(centre, F.col("key") == F.col("k")).select("key", "band", "node", "size", "c", "n"), "buckets", files=files)
-    members = stage(keyed.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
+    keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
+    centre = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n"))
+    centre = centre.filter("n > 1").select(F.col("key").alias("k"), "c", "n")
+    stars = keyed.join(centre, F.col("key") == F.col("k")).groupBy("node", "size", F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"))
+    stars = stage(stars.agg(F.max("n").alias("n")), "stars", files=files)
+    members = stage(stars.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
     texts = stage(slim.join(if_small(members, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
-    bands = nodes.join(members, F.col("node") == F.col("n"), "left_semi").select(F.col("node").alias("b_node"), "bands")
-    joined = keyed.select(F.struct("node", "size").alias("m"), "c")
-    number = 0
-    while True:
-        pairs = (
-            joined.filter("m.node <> c.node")
-            .filter(f"100 * least(m.size, c.size) >= {percent} * greatest(m.size, c.size)")
-            .select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b"))
-            .distinct()
-        )
-        before = tested.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-        pairs = stage(pairs.join(before, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "pairs", files=files)
-        wanted = stage(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct(), "pair-nodes", files=files)
-        paired = texts.join(if_small(wanted, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi")
-        with_b = pairs.join(paired.select(F.col("did").alias("b"), F.col("text").alias("y")), "b")
-        with_both = with_b.join(paired.select(F.col("did").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        new = stage(with_both.mapInArrow(lean(_confirm(k, percent, 100)), "a long, b long").distinct(), "links", files=3 * files)
+    rest = stage(nodes.join(if_small(members, BROADCAST_IDS), F.col("node") == F.col("n"), "left_semi"), "bucket-bands", files=files)
+    tested = None
+    for number in range(STAR_ROUNDS + 1):
+        if number:
+            stars = _two_band_stars(rest, groups, links, number)
+        pairs = stars.filter(f"node <> centre AND 100 * least(size, c_size) >= {percent} * greatest(size, c_size)")
+        pairs = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"), F.greatest(F.lit(1), F.col("n") / STAR_TEXTS).cast("int").alias("salts"))
+        if tested is not None:  # in either order
+            before = tested.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
+            pairs = pairs.join(before, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
+        pairs = stage(pairs, "pairs", files=files)
+        new = stage(_confirmed(pairs, texts, k, percent), "links", files=2 * files)
         if not new.limit(1).count():
-            return _finish(keyed, bands, texts, groups, k, percent, files)
-        number += 1
-        tested = tested.union(pairs)
-        found = found.union(new)
+            if number:
+                break
+            links = new
+            continue
         groups = stage(_merge(groups, new, files), "components", files=files)
-        second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
-        # A bucket of two is settled.
-        rows = keyed.filter("n > 2").join(bands, F.col("node") == F.col("b_node")).select(F.xxhash64("key", second).alias("key"), "node", "size")
-        rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if number == 1:
-            links = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-            rows = rows.join(links, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
-        else:
-            rows = rows.withColumn("first", F.xxhash64("node", "key", F.lit(number)))
-        sent = stage(rows.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m")), "sent", files=files)
-        centre = sent.groupBy("key").agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
-        centre = stage(centre.select(F.col("key").alias("k"), "c"), "centres", files=files)
-        joined = sent.join(centre, F.col("key") == F.col("k"))
-
-
-def _finish(keyed: DataFrame, bands: DataFrame, texts: DataFrame, groups: DataFrame, k: int, percent: int, files: int) -> DataFrame:
+        links = new if number == 0 else links.union(new)
+        tested = pairs if tested is None else tested.union(pairs)
+        rest = stage(_open_nodes(rest, groups, files), "open-nodes", files=files)
+    return _finish(rest, texts, groups, k, percent, files)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a centre, b member) that are links. A centre with many members is cut by salt, and each part
+    gets the centre's text once."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    member = salted.join(texts.select(F.col("did").alias("b_did"), "text"), F.col("b") == F.col("b_did")).select("a", "salt", F.lit(1).alias("member"), "b", "text")
+    centre = salted.select("a", "salt").distinct().join(texts.select(F.col("did").alias("a_did"), "text"), F.col("a") == F.col("a_did"))
+    rows = member.union(centre.select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), "text"))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    return rows.mapInArrow(lean(_confirm(k, percent)), "a long, b long").distinct()
+
+
+def _two_band_stars(rest: DataFrame, groups: DataFrame, links: DataFrame, number: int) -> DataFrame:
+    """(node, size, centre, c_size, n): one member of each component in every bucket of two bands."""
+    rows = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if number == 1:
+        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+        rows = rows.join(degree, "node", "left").withColumn("first", -F.coalesce("links", F.lit(0)))
+    else:
+        rows = rows.withColumn("first", F.xxhash64("node", F.lit(number)))
+    second = F.element_at("bands", (F.pmod(F.col("band") + number, F.size("bands")) + 1).cast("int"))
+    rows = rows.select("node", "size", "component", "first", "bands", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("key", second))
+    sent = rows.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m"))
+    centre = sent.groupBy(F.col("key").alias("k")).agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
+    stars = sent.join(centre, F.col("key") == F.col("k")).groupBy(F.col("m.node").alias("node"), F.col("m.size").alias("size"), F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"))
+    return stars.agg(F.max("n").alias("n"))
+
+
+def _open_buckets(rest: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node, size, component) of all buckets, and of each open bucket its largest component and
+    the numbers of blocks of the members outside and inside it."""
+    rows = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.select(F.explode("bands").alias("key"), "node", "size", "component")
+    held = rows.groupBy("key", "component").agg(F.count("*").alias("members"))
+    held = held.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("most"), F.sum("members").alias("all"), F.count("*").alias("parts"))
+    return rows, held.filter("parts > 1").select("k", F.col("most.component").alias("major"), F.ceil((F.col("all") - F.col("most.members")) / BLOCK).alias("low"), F.ceil(F.col("most.members") / BLOCK).alias("high"))
+
+
+def _open_nodes(rest: DataFrame, groups: DataFrame, files: int) -> DataFrame:
+    """The nodes of ``rest`` that are in an open bucket."""
+    rows, held = _open_buckets(rest, groups)
+    wanted = stage(rows.join(held, F.col("key") == F.col("k")).select(F.col("node").alias("n")).distinct(), "open", files=files)
+    return rest.join(if_small(wanted, BROADCAST_IDS), F.col("node") == F.col("n"), "left_semi")
+
+
+def _finish(rest: DataFrame, texts: DataFrame, groups: DataFrame, k: int, percent: int, files: int) -> DataFrame:
     """The groups after a search of every bucket that holds several components, whatever its size.
 
     Members of a bucket's largest component are compared with the others only, and the others with each other,
     too. Both are cut into blocks by hash, and a cell holds two blocks (or one, against itself), so no task
     needs a whole bucket. Pairs of one component need no test, and each other pair is tested.
     """
-    rows = keyed.filter("n > 2").select("key", "node", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = stage(rows, "searched", files=files)
-    held = rows.groupBy("key", "component").agg(F.count("*").alias("members"))
-    held = held.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("most"), F.sum("members").alias("all"), F.count("*").alias("parts"))
-    held = held.filter("parts > 1").select("k", F.col("most.component").alias("major"), F.ceil((F.col("all") - F.col("most.members")) / BLOCK).alias("low"), F.ceil(F.col("most.members") / BLOCK).alias("high"))
-    held = stage(held, "open-buckets", files=files)
+    rows, held = _open_buckets(rest, groups)
     rows = rows.join(held, F.col("key") == F.col("k"))
     small = F.col("component") != F.col("major")
     at = F.xxhash64("node")
     rows = rows.withColumn("block", F.when(small, F.pmod(at, "low")).otherwise(F.col("low") + F.pmod(at, "high")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(small, F.col("low") + F.col("high")).otherwise(F.col("low")) - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "component")
+    rows = stage(rows, "searched", files=files)
+    bands = rest.select(F.col("node").alias("b_node"), "bands")
     rows = rows.join(bands, F.col("node") == F.col("b_node")).join(texts, F.col("node") == F.col("did"))
     cells = rows.select("key", "i", "j", "block", "node", "size", "component", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     new = stage(cells.mapInArrow(lean(_search(k, percent)), "a long, b long").distinct(), "links", files=files)
