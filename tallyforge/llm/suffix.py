@@ -7,25 +7,30 @@ to find those that share a prefix of 200 bytes with a neighbour, and most suffix
 1.  Sample. The cover has period 133 (12 residues, every difference mod 133 once) instead of 3. For any
     two equal 200-byte strings some shift below 133 lands both on samples, 68 equal bytes remain.
 2.  Sort and name. The 68-byte tuples of all samples are dealt by fingerprint range, sorted and
-    named; a name held once is discarded with all suffixes that lean on it.
+    named; a name held once is discarded with all suffixes that lean on it. This level only rules out.
 3.  Recurse. The samples left are sorted and named at 332 bytes: a shared name settles the 133 suffixes
     that start at it. All holders of a name but the first then have nothing to add as evidence.
 4.  Merge and compare adjacent. The other suffixes that lean on a sample left are named at 200 bytes;
     in the sorted names a suffix equal to its neighbour is repeated.
 
+Inside a block equal strings are one class, confirmed byte by byte, and a block sends a class once,
+however often it holds it. Between blocks the names of steps 3 and 4 are 96-bit BLAKE2b digests of the
+bytes under a key drawn for the run, so neither chance nor a prepared text makes two strings equal.
+
 Texts travel as compressed blocks, names as packed arrays with one row for each block and fingerprint
-range, and answers as bits in the order of the suffixes, so no suffix is a row of its own. Names
+range, and answers as bits in the order of the classes, so no suffix is a row of its own. Names
 are ordered by fingerprint, not alphabetically: only equality to a fixed depth is asked for.
 Equal texts are collapsed first; a text with a copy is removed whole when it has 200 bytes.
 """
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,6 +45,8 @@ PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 BLOCK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 #: Rows with a copy up to which their list is broadcast; beyond, the texts are shuffled to it.
 BROADCAST_COPIES = 1_000_000
+#: Bytes of a name that only rules out, and of one that decides.
+HINT_BYTES, NAME_BYTES = 5, 12
 _STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -124,31 +131,66 @@ def covered_spans(starts: np.ndarray, lengths: np.ndarray, width: int) -> list[l
     return spans
 
 
-def _pack_names(names: np.ndarray, n_ranges: int, n_bytes: int):
-    """(range, packed low bytes) in the order of the names."""
+def _differ(text: np.ndarray, one: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+    """Which pairs of places begin different strings of ``length`` bytes."""
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    parts = [(windows[one[i : i + 4096]] != windows[other[i : i + 4096]]).any(axis=1) for i in range(0, len(one), 4096)]
+    return np.concatenate(parts) if parts else np.empty(0, bool)
+
+
+class Classes:
+    """The distinct strings of ``length`` bytes at sorted places of a block, in the order of their fingerprints.
+
+    ``names`` are the fingerprints of the classes, ``of`` the class of every place, ``first`` its first place.
+    With ``exact``, strings of one fingerprint are held against each other byte by byte.
+    """
+
+    def __init__(self, text: np.ndarray, places: np.ndarray, length: int, exact: bool = True):
+        marks = fingerprints(text, places, length)
+        order = np.argsort(marks, kind="stable")
+        ranked = marks[order]
+        new = np.ones(len(places), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        again = np.flatnonzero(~new)
+        if exact and len(again):
+            odd = again[_differ(text, places[order[again - 1]], places[order[again]], length)]
+            heads = np.append(np.flatnonzero(new), len(places))
+            for g in np.unique(np.searchsorted(heads, odd, side="right") - 1).tolist():
+                a, b = heads[g], heads[g + 1]  # one fingerprint, several strings
+                strings = {i: text[places[i] : places[i] + length].tobytes() for i in order[a:b].tolist()}
+                order[a:b] = sorted(strings, key=lambda i: (strings[i], i))
+                new[a + 1 : b] = [strings[x] != strings[y] for x, y in zip(order[a : b - 1].tolist(), order[a + 1 : b].tolist(), strict=True)]
+        self.names, self.first = ranked[new], order[new]
+        self.of = np.empty(len(places), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def answered(self, elsewhere: np.ndarray) -> np.ndarray:
+        """The places whose string is anywhere else, given the classes that another block has."""
+        return (elsewhere | (np.bincount(self.of, minlength=len(self.names)) > 1))[self.of]
+
+    def followers(self, earlier: np.ndarray) -> np.ndarray:
+        """The places whose string is in an earlier block or at an earlier place."""
+        out = np.ones(len(self.of), bool)
+        out[self.first] = False
+        return out | earlier[self.of]
+
+
+def _cuts(names: np.ndarray, n_ranges: int) -> np.ndarray:
+    """Where each range of fingerprints begins in the sorted names."""
     which = ((names >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
-    order = np.argsort(which.astype(np.uint32), kind="stable")
-    cuts = np.searchsorted(which[order], np.arange(n_ranges + 1, dtype=np.uint64))
-    low = names[order].astype("<u8").view("u1").reshape(-1, 8)[:, :n_bytes]
-    for r in np.flatnonzero(np.diff(cuts)).tolist():
-        yield r, low[cuts[r] : cuts[r + 1]].tobytes()
+    return np.searchsorted(which, np.arange(n_ranges + 1, dtype=np.uint64))
 
 
 def _in_order(names: np.ndarray, n_ranges: int, answers: dict[int, bytes], planes: int = 1) -> list[np.ndarray]:
-    """The planes of answer bits of all ranges, put back in the order of the names."""
-    which = (((names >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(which, kind="stable")
-    counts = np.bincount(which, minlength=n_ranges)
+    """The planes of answer bits of all ranges, in the order of the sorted names."""
+    counts = np.diff(_cuts(names, n_ranges))
     out = []
     for plane in range(planes):
-        bits = np.zeros(len(names), bool)
-        parts = []
+        parts = [np.empty(0, np.uint8)]
         for r in np.flatnonzero(counts).tolist():
             size = len(answers[r]) // planes
             parts.append(np.unpackbits(np.frombuffer(answers[r], "u1", size, plane * size), count=int(counts[r])))
-        if parts:
-            bits[order] = np.concatenate(parts).view(bool)
-        out.append(bits)
+        out.append(np.concatenate(parts).view(bool))
     return out
 
 
@@ -168,7 +210,7 @@ _OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kep
 def _digest(batches):
     for batch in batches:
         texts = batch.column(2).cast(pa.binary()).to_pylist()
-        digests = b"".join(xxhash.xxh3_128_digest(t or b"") for t in texts)
+        digests = b"".join(blake2b(t or b"", digest_size=16).digest() for t in texts)
         halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
         columns = [batch.column(0), batch.column(1), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
         columns.append(pa.array([len(t or b"") for t in texts], pa.int64()))
@@ -217,20 +259,23 @@ def _answers(row, name):
     return {a["range"]: a["bits"] for a in row[name] or []}
 
 
-def _named(level: int, n_ranges: int, width: int, n_bytes: int):
+def _named(level: int, n_ranges: int, width: int, key: bytes):
     """The names that a level sends to be sorted, given the answers of the levels before it."""
 
     def run(batches):
         for row in _rows_of(batches):
             text, lengths = _open(row)
-            names = _level(row, text, lengths, level, n_ranges, width)[1]
-            ranges, blobs = [], []
-            for r, blob in _pack_names(names, n_ranges, n_bytes):
-                ranges.append(r)
-                blobs.append(blob)
-            n = len(ranges)
+            places, classes = _level(row, text, lengths, level, n_ranges, width)
+            if level == 1:
+                size, raw = HINT_BYTES, classes.names.astype("<u8").view("u1").reshape(-1, 8)[:, :HINT_BYTES].tobytes()
+            else:
+                size, length, body = NAME_BYTES, width + PERIOD - 1 if level == 2 else width, memoryview(text.tobytes())
+                raw = b"".join(blake2b(body[p : p + length], digest_size=NAME_BYTES, key=key).digest() for p in places[classes.first].tolist())
+            cuts = _cuts(classes.names, n_ranges)
+            ranges = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [raw[size * cuts[r] : size * cuts[r + 1]] for r in ranges]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ranges, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(blobs, pa.binary())],
+                [pa.array(ranges, pa.int32()), pa.array([row["block"]] * len(ranges), pa.int64()), pa.array(blobs, pa.binary())],
                 names=["range", "block", "names"],
             )
 
@@ -238,46 +283,59 @@ def _named(level: int, n_ranges: int, width: int, n_bytes: int):
 
 
 def _level(row, text, lengths, level, n_ranges, width):
-    """(places, names) of level 1 to 3; at level 4 (all repeated starts, None)."""
+    """(places, their classes) of level 1 to 3; at level 4 (all repeated starts, None)."""
     tuple_bytes, wide, total = width - PERIOD + 1, width + PERIOD - 1, len(text)
     samples = sample_places(lengths, width, tuple_bytes)
-    names = fingerprints(text, samples, tuple_bytes)
+    classes = Classes(text, samples, tuple_bytes, exact=False)
     if level == 1:
-        return samples, names
-    (shared,) = _in_order(names, n_ranges, _answers(row, "answers1"))
+        return samples, classes
+    shared = classes.answered(_in_order(classes.names, n_ranges, _answers(row, "answers1"))[0])
     left = samples[shared]
     ends = np.cumsum(lengths)
     left = left[ends[np.searchsorted(ends, left, side="right")] - left >= wide]
-    names = fingerprints(text, left, wide)
+    classes = Classes(text, left, wide)
     if level == 2:
-        return left, names
-    settled, later = _in_order(names, n_ranges, _answers(row, "answers2"), 2)
+        return left, classes
+    elsewhere, earlier = _in_order(classes.names, n_ranges, _answers(row, "answers2"), 2)
+    settled, later = classes.answered(elsewhere), classes.followers(earlier)
     starts = candidate_starts(samples, shared, lengths, width)
     sent = starts[~_under(left[later], PERIOD, total)[starts]]
-    names = fingerprints(text, sent, width)
+    classes = Classes(text, sent, width)
     if level == 3:
-        return sent, names
+        return sent, classes
     repeated = _under(left[settled], PERIOD, total)
-    repeated[sent[_in_order(names, n_ranges, _answers(row, "answers3"))[0]]] = True
+    repeated[sent[classes.answered(_in_order(classes.names, n_ranges, _answers(row, "answers3"))[0])]] = True
     return np.flatnonzero(repeated), None
 
 
-def _resolve(n_bytes: int, planes: int):
-    """Sorts the names of a range. A name's first answer bit says that another suffix has it too, the
-    second that an earlier one has."""
+def _sorted_names(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the names and, in it, which equal the one before."""
+    flat = np.frombuffer(raw, "u1").reshape(-1, size)
+    high = np.zeros((len(flat), 8), "u1")
+    high[:, : min(size, 8)] = flat[:, :8]
+    high = high.view("<u8").reshape(-1)
+    order = np.argsort(high, kind="stable")
+    same = high[order[1:]] == high[order[:-1]]
+    if size > 8:
+        low = np.ascontiguousarray(flat[:, 8:]).view("<u4").reshape(-1)
+        if (same & (low[order[1:]] != low[order[:-1]])).any():
+            order = np.lexsort((low, high))
+            same = high[order[1:]] == high[order[:-1]]
+        same &= low[order[1:]] == low[order[:-1]]
+    return order, same
+
+
+def _resolve(size: int, planes: int):
+    """Sorts the names of a range. A name's first answer bit says that another block has it too, the
+    second that an earlier one has. A block sends a name once, so a frequent one costs a row a block."""
 
     def answer(key, blocks, blobs):
-        counts = [len(b) // n_bytes for b in blobs]
-        wide = np.zeros((sum(counts), 8), "u1")
-        wide[:, :n_bytes] = np.frombuffer(b"".join(blobs), "u1").reshape(-1, n_bytes)
-        names = wide.view("<u8").reshape(-1)
-        order = np.argsort(names, kind="stable")
-        ranked = names[order]
-        equal = ranked[1:] == ranked[:-1]
-        later = np.zeros(len(names), bool)
-        later[order[1:][equal]] = True
+        counts = [len(b) // size for b in blobs]
+        order, same = _sorted_names(b"".join(blobs), size)
+        later = np.zeros(len(order), bool)
+        later[order[1:][same]] = True
         shared = later.copy()
-        shared[order[:-1][equal]] = True
+        shared[order[:-1][same]] = True
         at = np.cumsum([0, *counts])
         bits = [b"".join(np.packbits(p[a:b]).tobytes() for p in (shared, later)[:planes]) for a, b in zip(at, at[1:], strict=False)]
         columns = [pa.array(blocks, pa.int64()), pa.array([key] * len(blocks), pa.int32()), pa.array(bits, pa.binary())]
@@ -340,7 +398,8 @@ def remove_repeats(
     """
     if width < PERIOD + 8:
         raise ValueError(f"a width of {width}; at least {PERIOD + 8} is needed")
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     slim = docs.select(
         F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")
     )
@@ -365,14 +424,15 @@ def remove_repeats(
     total = digests.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_ranges = max(48, -(-total // range_bytes))
     answered = blocks
-    for level, n_bytes, planes in ((1, 5, 1), (2, 8, 2), (3, 8, 1)):  # level 1 only rules out, so 5 bytes do
-        names = answered.mapInArrow(lean(_named(level, n_ranges, width, n_bytes)), "range int, block long, names binary")
+    key = os.urandom(16)
+    for level, n_bytes, planes in ((1, HINT_BYTES, 1), (2, NAME_BYTES, 2), (3, NAME_BYTES, 1)):
+        names = answered.mapInArrow(lean(_named(level, n_ranges, width, key)), "range int, block long, names binary")
         answers = (
-            names.repartition(n_ranges, "range")
+            names.repartitionById(n_ranges, "range")
             .sortWithinPartitions("range", "block")
             .mapInArrow(lean(_resolve(n_bytes, planes)), "block long, range int, bits binary")
         )
-        replies = stage(answers, f"answers-{level}", files=files_for(total, 256 << 20)).groupBy(F.col("block").alias(f"b{level}")).agg(
+        replies = stage(answers, f"answers-{level}", files=min(n_ranges, files_for(total, 256 << 20, 2 * spark.sparkContext.defaultParallelism))).groupBy(F.col("block").alias(f"b{level}")).agg(
             F.collect_list(F.struct("range", "bits")).alias(f"answers{level}")  # a few bits for each suffix of a block
         )
         answered = answered.join(replies, F.col("block") == F.col(f"b{level}"), "left").drop(f"b{level}")
