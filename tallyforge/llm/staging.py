@@ -18,12 +18,14 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local folder is set once."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and the master is local (tests), a folder is set once."""
     context = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -67,6 +69,15 @@ def if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def merge_tiny(df: DataFrame) -> DataFrame:
+    """The rows in no more partitions than eight a core, or one for each 128 MB if that is more.
+
+    Many tiny input files would otherwise give as many tiny tasks, staged files and Python workers.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(8 * df.sparkSession.sparkContext.defaultParallelism, min(size >> 27, 1 << 30)))
+
+
 def files_for(rows: int, rows_a_file: int, least: int = 4) -> int:
     """A number of files that grows with the rows; few files are quicker to create and to list."""
     return max(least, -(-rows // rows_a_file))
