@@ -2,14 +2,16 @@
 
 A shard holds the ids of a run of documents. Plane 0 has the highest bit of every id in order; each
 further plane has the next bit after a stable partition by the planes above. Planes are packed into
-blocks that are compressed each on its own, and a directory counts the ones before every block, so
-access, counting and occurrence lookup decompress one block a plane.
+blocks that are compressed each on its own. A directory counts the ones before every 4096 bits, so a rank
+reads an entry and counts the set bits of at most 512 bytes of one block; select finds its stretch by
+bisection in the directory. Access, counting and occurrence lookup read a few blocks of each plane.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ from .tokens import encoder
 
 _MAGIC = b"TFWM"
 _HEAD = struct.Struct("<4sIQQI")
-#: Bytes of a block of a plane.
-BLOCK = 1 << 15
+#: Bytes of a block of a plane, and of a stretch between two entries of the directory.
+BLOCK, STRETCH = 1 << 15, 1 << 9
+#: Decompressed blocks that a reader keeps.
+CACHED_BLOCKS = 256
 
 
 class WaveletShard:
@@ -38,15 +42,15 @@ class WaveletShard:
         at = _HEAD.size
         self.zeros = np.frombuffer(blob, "<u8", self.levels, at).astype(np.int64)
         at += 8 * self.levels
-        shape = (self.levels, n_blocks)
-        self._ones = np.frombuffer(blob, "<u4", self.levels * n_blocks, at).reshape(shape).astype(np.int64)
-        at += 4 * self.levels * n_blocks
-        self._ends = np.frombuffer(blob, "<u8", self.levels * n_blocks, at).reshape(shape)
+        n_entries = -(-self.n // (8 * STRETCH)) + 1
+        self._ones = np.frombuffer(blob, "<u4", self.levels * n_entries, at).reshape(self.levels, n_entries)
+        at += 4 * self.levels * n_entries
+        self._ends = np.frombuffer(blob, "<u8", self.levels * n_blocks, at).reshape(self.levels, n_blocks)
         at += 8 * self.levels * n_blocks
         size = struct.unpack_from("<Q", blob, at)[0]
         docs = zstandard.ZstdDecompressor().decompress(blob[at + 8 : at + 8 + size])
         self._base = at + 8 + size
-        self._blob, self._cache = blob, {}
+        self._blob, self._cache = blob, OrderedDict()
         self.lengths = np.frombuffer(docs, "<u8", n_docs).astype(np.int64)
         self.has_id = np.frombuffer(docs, "u1", n_docs, 8 * n_docs).astype(bool)
         self.doc_ids = np.frombuffer(docs, "<i8", n_docs, 9 * n_docs)
@@ -56,22 +60,20 @@ class WaveletShard:
     def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
         n, levels = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
         value = ids.astype(np.uint16 if levels <= 16 else np.uint32)
-        n_blocks = max(1, -(-n // (8 * BLOCK)))
+        n_blocks, n_entries = max(1, -(-n // (8 * BLOCK))), -(-n // (8 * STRETCH)) + 1
         packer = zstandard.ZstdCompressor(level=1)
-        zeros, ones, ends, blocks, end = [], [], [], [], 0
+        zeros, ones, ends, blocks, end = [], np.zeros((levels, n_entries), "<u4"), [], [], 0
         for level in range(levels):
             bit = (value & value.dtype.type(1 << (levels - 1 - level))) != 0
             plane = np.packbits(bit)
-            before = 0
+            whole = np.zeros((n_entries - 1) * STRETCH, "u1")
+            whole[: len(plane)] = plane
+            ones[level, 1:] = np.cumsum(np.bitwise_count(whole.view("<u8")).reshape(-1, STRETCH // 8).sum(axis=1, dtype=np.int64))
             for b in range(n_blocks):
-                raw = plane[b * BLOCK : (b + 1) * BLOCK].tobytes()
-                packed = packer.compress(raw)
-                blocks.append(packed)
-                end += len(packed)
+                blocks.append(packer.compress(plane[b * BLOCK : (b + 1) * BLOCK].tobytes()))
+                end += len(blocks[-1])
                 ends.append(end)
-                ones.append(before)
-                before += int(np.count_nonzero(bit[b * 8 * BLOCK : (b + 1) * 8 * BLOCK]))
-            zeros.append(n - before)
+            zeros.append(n - int(ones[level, -1]))
             if level + 1 < levels:
                 value = np.concatenate([np.compress(~bit, value), np.compress(bit, value)])
         docs = packer.compress(
@@ -83,7 +85,7 @@ class WaveletShard:
             [
                 _HEAD.pack(_MAGIC, levels, n, len(doc_ids), n_blocks),
                 np.array(zeros, "<u8").tobytes(),
-                np.array(ones, "<u4").tobytes(),
+                ones.tobytes(),
                 np.array(ends, "<u8").tobytes(),
                 struct.pack("<Q", len(docs)),
                 docs,
@@ -92,20 +94,44 @@ class WaveletShard:
         )
 
     def _block(self, level: int, b: int) -> np.ndarray:
-        if (level, b) not in self._cache:
+        """The packed bits of a block."""
+        if (level, b) in self._cache:
+            self._cache.move_to_end((level, b))
+        else:
             flat = level * self._ends.shape[1] + b
             ends = self._ends.reshape(-1)
             lo, hi = self._base + (int(ends[flat - 1]) if flat else 0), self._base + int(ends[flat])
             raw = zstandard.ZstdDecompressor().decompress(self._blob[lo:hi])
-            self._cache[level, b] = np.unpackbits(np.frombuffer(raw, "u1"))
+            self._cache[level, b] = np.frombuffer(raw, "u1")
+            if len(self._cache) > CACHED_BLOCKS:
+                self._cache.popitem(last=False)
         return self._cache[level, b]
 
+    def _stretch(self, level: int, e: int) -> np.ndarray:
+        """The packed bits between entries e and e + 1 of the directory."""
+        b, r = divmod(e * STRETCH, BLOCK)
+        return self._block(level, b)[r : r + STRETCH]
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self._stretch(level, i // (8 * STRETCH))[i // 8 % STRETCH]) >> (7 - i % 8) & 1
+
     def _rank1(self, level: int, i: int) -> int:
         """Ones of the plane before place i."""
-        b, r = divmod(i, 8 * BLOCK)
-        if b == self._ones.shape[1]:
-            b, r = b - 1, 8 * BLOCK
-        return int(self._ones[level, b]) + (int(self._block(level, b)[:r].sum()) if r else 0)
+        e, r = divmod(i, 8 * STRETCH)
+        ones = int(self._ones[level, e])
+        if r:
+            part = self._stretch(level, e)
+            ones += int(np.bitwise_count(part[: r // 8]).sum())
+            if r % 8:
+                ones += (int(part[r // 8]) >> (8 - r % 8)).bit_count()
+        return ones
+
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """The place of the k-th (from 0) one or zero of the plane."""
+        entries = self._ones[level] if bit else np.minimum(np.arange(self._ones.shape[1]) * (8 * STRETCH), self.n) - self._ones[level]
+        e = int(np.searchsorted(entries, k, side="right")) - 1
+        bits = np.unpackbits(self._stretch(level, e))
+        return e * 8 * STRETCH + int(np.flatnonzero(bits == bit)[k - int(entries[e])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -113,8 +139,7 @@ class WaveletShard:
             raise IndexError(i)
         value = 0
         for level in range(self.levels):
-            b, r = divmod(i, 8 * BLOCK)
-            bit, ones = int(self._block(level, b)[r]), self._rank1(level, i)
+            bit, ones = self._bit(level, i), self._rank1(level, i)
             value = value << 1 | bit
             i = int(self.zeros[level]) + ones if bit else i - ones
         return value
@@ -139,11 +164,15 @@ class WaveletShard:
         """The place of the k-th occurrence (from 0) of the id."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        lo, hi = 0, self.n  # the least i with rank(token, i) > k, by bisection over rank
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(token, mid) > k else (mid, hi)
-        return lo
+        i = 0  # down to where the occurrences of the id begin in the last plane's order, and up again
+        for level in range(self.levels):
+            ones = self._rank1(level, i)
+            i = int(self.zeros[level]) + ones if token >> (self.levels - 1 - level) & 1 else i - ones
+        i += k
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            i = self._select(level, bit, i - int(self.zeros[level]) if bit else i)
+        return i
 
     def tokens(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane to the first."""
