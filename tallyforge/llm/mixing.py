@@ -21,7 +21,8 @@ from .staging import WS_CLASS, col, stage
 BLOCK_WORDS, MAX_BLOCKS = 65_536, 65_536
 #: No document is taken more often than this.
 MAX_REPEATS = 3
-#: Sources beyond this number share quota bundles; a draw from a bundle's pool is still hypergeometric.
+#: Sources beyond this number share bundles in the tree's rows. A bundle's block copies stand in one random order of which
+#: every shard owns a stretch, so the blocks of each source in a shard are still a hypergeometric draw, and each source's quota is exact.
 MAX_BUNDLES = 1024
 #: Rows of the block table up to which it is broadcast (about 100 bytes each); beyond, documents are shuffled to it.
 BROADCAST_ROWS = 200_000
@@ -40,6 +41,23 @@ def _name(c):
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c))
 
 
+def _with_running(rows: DataFrame, order, sums: dict, label: str) -> DataFrame:
+    """The rows with the sum of each expression over all rows before them in the order.
+
+    Ranges of the order are partitions; the totals of the partitions, a row each, give every partition its start, so
+    no task sees all rows.
+    """
+    names = [f"{n}_part" for n in sums]
+    cut = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    cut = stage(cut.withColumns({n: e for n, e in zip(names, sums.values(), strict=True)}), label, files=4)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = cut.groupBy("part").agg(*(F.sum(n).alias(n) for n in names))
+    totals = totals.select(F.col("part").alias("t_part"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_start") for n in names))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    running = {n: F.coalesce(F.sum(f"{n}_part").over(inside), F.lit(0)) + F.col(f"{n}_part_start") for n in sums}
+    return cut.join(F.broadcast(totals), F.col("part") == F.col("t_part")).withColumns(running).drop("part", "t_part", *names, *(f"{n}_start" for n in names))
+
+
 def targets(sized: DataFrame, weights=(1, 2, 3)) -> DataFrame:
     """source, source_size, rank and target of every source.
 
@@ -47,24 +65,16 @@ def targets(sized: DataFrame, weights=(1, 2, 3)) -> DataFrame:
     exceeds MAX_REPEATS times its source: the excess goes to the others by weight. That is the level
     at which min(cap, level * weight) adds up to all words, found by one ordered scan of the sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "rank")
-    whole = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    sources = (
-        sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("rank", F.row_number().over(by_name))
-        .withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * MAX_REPEATS)
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("all_size", F.sum("source_size").over(whole))
-        .withColumn("capped_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weight_from", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("all_size") - F.col("capped_before")) / F.col("weight_from"))
-        .withColumn("free", F.col("ratio") > F.col("level"))
-        .withColumn("level", F.min(F.when(F.col("free"), F.struct("ratio", "rank", "level"))).over(whole)["level"])
-    )
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = _with_running(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "mix-ranks").withColumn("rank", F.col("rank") + 1)
+    sources = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MAX_REPEATS).withColumn("ratio", F.col("cap") / F.col("weight"))
+    sources = _with_running(sources, ["ratio", "rank"], {"capped_before": F.col("cap"), "weight_before": F.col("weight")}, "mix-ratios")
+    level = (F.col("all_size") - F.col("capped_before")) / (F.col("all_weight") - F.col("weight_before"))
+    sums = sources.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    sources = sources.join(F.broadcast(sums), how="cross").withColumn("own_level", level)  # one row
+    least = sources.filter("ratio > own_level").agg(F.min(F.struct("ratio", "rank", "own_level"))["own_level"].alias("level"))
+    sources = sources.join(F.broadcast(least), how="cross")  # one row
     capped = F.col("level").isNull() | (F.col("ratio") <= F.col("level"))
     return sources.select(
         "source",
