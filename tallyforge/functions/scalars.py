@@ -202,7 +202,7 @@ FILENAME_SOURCE_HINTS = (
     ("mdr", "IFRC"), ("ifrc", "IFRC"), ("dref", "IFRC"), ("rosea", "OCHA"), ("ocha", "OCHA"),
     ("etc ", "WFP"), ("logistics", "WFP"),
 )
-#: Organisation names in texts, in order.
+#: Organisation names in texts, in order; in lower case, as the text is searched in lower case.
 SOURCE_PATTERNS = (
     ("un office for the coordination of humanitarian affairs", "OCHA"),
     ("united nations office for the coordination of humanitarian affairs", "OCHA"),
@@ -236,12 +236,6 @@ def _plausible(iso: Column) -> Column:
     return F.when(y.between(2000, 2100) & m.between(1, 12) & d.between(1, 31), iso)
 
 
-def _groups(text: Column, pattern: str, order: tuple[int, int, int], prefix: str = "") -> Column:
-    """year-month-day from a pattern's groups, null without a match."""
-    got = [F.regexp_extract(text, pattern, i) for i in order]
-    return F.when(F.regexp_extract(text, pattern, 0) != "", F.concat(F.lit(prefix), got[0], F.lit("-"), got[1], F.lit("-"), got[2]))
-
-
 def _bound(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -253,31 +247,46 @@ def date_from_filename(name) -> Column:
     return _bound(stem, lambda st: _bound(F.regexp_replace(st, r"[_\-]+", " "), lambda sp: _stem_date(st, sp)))
 
 
-def _stem_date(stem: Column, spaced: Column) -> Column:
-    month = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-    eight = _groups(stem, r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", (1, 2, 3))
-    dmy = rf"(?i)(\d{{1,2}})\s*{month}[a-z]*\s*(20\d{{2}})"
-    mdy = rf"(?i){month}[a-z]*\.?\s+(\d{{1,2}})\s*,?\s+(20\d{{2}})"
+_MONTH3 = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+#: Dates in file names, in order. Each has a pattern, the groups of year, month and day, the century of a short
+#: year, whether "_" and "-" are read as spaces, and whether the year has to lie in 2015 to 2030.
+FILENAME_DATES = (
+    (r"(?<!\d)(\d{2})(\d{2})(20\d{2})(?!\d)", (3, 2, 1), "", False, False),
+    (r"_(\d{2})(\d{2})(\d{2})(?:[._]|$)", (1, 2, 3), "20", False, False),
+    (rf"(?i)(\d{{1,2}})\s*{_MONTH3}[a-z]*\s*(20\d{{2}})", (3, 2, 1), "", True, False),
+    (r"(?<!\d)(20\d{2})[ _.-](\d{2})[ _.-](\d{2})(?!\d)", (1, 2, 3), "", False, False),
+    (rf"(?i){_MONTH3}[a-z]*\.?\s+(\d{{1,2}})\s*,?\s+(20\d{{2}})", (3, 1, 2), "", True, False),
+    (r"(?<![\d])(\d{2})(\d{2})(\d{2})(?![\d\w])", (1, 2, 3), "20", False, True),
+    (r"(?<![\d])(\d{2})(\d{2})(\d{2})(?![\d\w])", (3, 2, 1), "20", False, True),
+    (r"(?<![\d])(\d{2})(\d{2})(\d{2})(?![\d\w])", (1, 2, 3), "20", False, False),
+    (r"(?<![\d])(\d{2})(\d{2})(\d{2})(?![\d\w])", (3, 2, 1), "20", False, False),
+)
+#: A date of eight digits, which decides at once, and what a title from a file name leaves out.
+FILENAME_EIGHT = r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)"
+FILENAME_NOISE = (
+    (r"(?<!\d)(20\d{6}|\d{2}\d{2}20\d{2})(?!\d)", " "),
+    (r"(?i)\b(final|for upload|compressed|v\d+)\b", " "),
+    (r"[_\-]+", " "),
+    (r"\s*\(\d+\)\s*$", ""),
+    (r"[.\s]{2,}", " "),
+)
+
+
+def _named_date(text: Column, pattern: str, groups: tuple[int, int, int], century: str) -> Column:
+    """year-month-day from a pattern's groups, a month by name or number; null without a match."""
     number = F.create_map(*(x for i, m in enumerate(_MONTH_NAMES, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))))
+    year, month, day = (F.regexp_extract(text, pattern, g) for g in groups)
+    month = F.when(month.rlike("^[0-9]"), month).otherwise(F.try_element_at(number, F.lower(month)))
+    return F.when(F.regexp_extract(text, pattern, 0) != "", F.concat_ws("-", F.concat(F.lit(century), year), month, F.lpad(day, 2, "0")))
 
-    def worded(pattern, day, mon, year):
-        part = lambda k: F.regexp_extract(spaced, pattern, k)
-        found = F.concat_ws("-", part(year), F.try_element_at(number, F.lower(part(mon))), F.lpad(part(day), 2, "0"))
-        return F.when(part(0) != "", found)
-
-    loose = r"(?<![\d])(\d{2})(\d{2})(\d{2})(?![\d\w])"
-    ymd, dmy6 = _plausible(_groups(stem, loose, (1, 2, 3), "20")), _plausible(_groups(stem, loose, (3, 2, 1), "20"))
-    modern = lambda iso: F.when(F.substring(iso, 1, 4).cast("int").between(2015, 2030), iso)
-    rest = F.coalesce(
-        _plausible(_groups(stem, r"(?<!\d)(\d{2})(\d{2})(20\d{2})(?!\d)", (3, 2, 1))),
-        _plausible(_groups(stem, r"_(\d{2})(\d{2})(\d{2})(?:[._]|$)", (1, 2, 3), "20")),
-        _plausible(worded(dmy, 1, 2, 3)),
-        _plausible(_groups(stem, r"(?<!\d)(20\d{2})[ _.-](\d{2})[ _.-](\d{2})(?!\d)", (1, 2, 3))),
-        _plausible(worded(mdy, 2, 1, 3)),
-        modern(ymd), modern(dmy6), ymd, dmy6,
-        date_in_text(stem),
-    )
-    return F.when(eight.isNotNull(), _plausible(eight)).otherwise(rest)
+
+def _stem_date(stem: Column, spaced: Column) -> Column:
+    eight = _named_date(stem, FILENAME_EIGHT, (1, 2, 3), "")
+    tries = []
+    for pattern, groups, century, spaces, recent in FILENAME_DATES:
+        found = _plausible(_named_date(spaced if spaces else stem, pattern, groups, century))
+        tries.append(F.when(F.substring(found, 1, 4).cast("int").between(2015, 2030), found) if recent else found)
+    return F.when(eight.isNotNull(), _plausible(eight)).otherwise(F.coalesce(*tries, date_in_text(stem)))
 
 
 def date_in_text(text) -> Column:
@@ -297,13 +306,7 @@ def publication_date(text, filename, manifest_date=None) -> Column:
 
 def title_from_filename(name) -> Column:
     t = F.regexp_replace(F.element_at(F.split(c(name), "/"), -1), r"(?<=.)\.[^.]*$", "")
-    for pattern, by in (
-        (r"(?<!\d)(20\d{6}|\d{2}\d{2}20\d{2})(?!\d)", " "),
-        (r"(?i)\b(final|for upload|compressed|v\d+)\b", " "),
-        (r"[_\-]+", " "),
-        (r"\s*\(\d+\)\s*$", ""),
-        (r"[.\s]{2,}", " "),
-    ):
+    for pattern, by in FILENAME_NOISE:
         t = F.regexp_replace(t, pattern, by)
     return F.regexp_replace(F.btrim(t, F.lit(" .-")), r"\s{2,}", " ")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from itertools import accumulate
+from re._parser import parse as parse_pattern
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIGURE, SPANS
@@ -155,12 +156,35 @@ NEGATIVE_ONLY = (
 SOURCE_WINDOW = 12
 _NUMBER = re.compile(QUANTITY, re.IGNORECASE)
 _NUMBER_DATES = re.compile("|".join(QUANTITY_DATES), re.IGNORECASE)
-_BLOCKED = (re.compile("|".join(CONVENTION_DATES), re.IGNORECASE), re.compile("|".join(REPORT_NUMBERS), re.IGNORECASE))
+#: What every one of the patterns begins with; it is tested once a place, before the patterns are.
+_DATE_HEAD = r"(?=\d|[jfmasond][aepuco][nbrylgptvc]|\b(?:in|since|of|for|during|from|until|by|through)\s)"
+_NUMBER_HEAD = r"(?=no|#|si|fl|is|bu|ve|p)"
+_BLOCKED = tuple(re.compile(f"{head}(?:{'|'.join(patterns)})", re.IGNORECASE) for head, patterns in ((_DATE_HEAD, CONVENTION_DATES), (_NUMBER_HEAD, REPORT_NUMBERS)))
 _PLAIN_FIGURE, _AS_OF = re.compile(CONVENTION_FIGURE), re.compile(AS_OF, re.IGNORECASE)
 
 
+def needles(parsed) -> list[str]:
+    """Strings of which every match of a parsed pattern holds one; [] when no such strings are known."""
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg)
+            continue
+        if run:
+            found.append([run])
+        run = ""
+        if str(op) == "SUBPATTERN":
+            found.append(needles(arg[-1]))
+        elif str(op) == "BRANCH":
+            parts = [needles(part) for part in arg[1]]
+            found.append([n for p in parts for n in p] if all(parts) else [])
+    return max(found, key=lambda n: min(map(len, n), default=0), default=[])
+
+
 def lexicon(entries):
-    return [(label, re.compile(p, 0 if exact else re.IGNORECASE)) for label, p, exact in entries]
+    """(label, pattern, needles in lower case) of every entry."""
+    flags = [0 if exact else re.IGNORECASE for _, _, exact in entries]
+    return [(label, re.compile(p, flag), [n.lower() for n in needles(parse_pattern(p))]) for (label, p, _), flag in zip(entries, flags, strict=True)]
 
 
 _LEXICONS = {"attribution": lexicon(ATTRIBUTION), "agency": lexicon(AGENCIES), "hedge": lexicon(HEDGES), "revision": lexicon(REVISIONS)}
@@ -186,7 +210,10 @@ class _Taken:
 def lexicon_spans(text: str, entries) -> list[tuple[str, int, int]]:
     """Hits in text order; within a lexicon an earlier entry wins an overlap."""
     taken, found = _Taken(), []
-    for label, pattern in entries:
+    low = text.lower() if text.isascii() else None  # beyond ASCII, ignoring case is more than lower case
+    for label, pattern, words in entries:
+        if low is not None and words and not any(w in low for w in words):
+            continue
         for hit in pattern.finditer(text):
             a, b = hit.span()
             if taken.free(a, b):
@@ -289,12 +316,18 @@ COUNTS = (
 STATS = ", ".join(f"{c} long" for c in (*COUNTS[:6], "hedge_types", *COUNTS[6:])) + ", terms map<string,long>"
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to all shuffle partitions by a key. Adaptive execution merges small partitions, and then
+    one task would read all texts; a number that is given stays."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def figures(text) -> Column:
     @F.pandas_udf(FIGURE)
     def run(s: pd.Series) -> pd.Series:
         return s.map(quantities)
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter inferred from an explode would run it twice
 
 
 def spans(text, family: str) -> Column:
@@ -304,7 +337,7 @@ def spans(text, family: str) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [{"label": x, "start": a, "end": b} for x, a, b in lexicon_spans(t or "", entries)])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def stats(text, window: int = SOURCE_WINDOW) -> Column:
@@ -314,7 +347,7 @@ def stats(text, window: int = SOURCE_WINDOW) -> Column:
         names = [n.split()[0] for n in STATS.split(", ")]
         return pd.DataFrame({n: [r[n] for r in rows] for n in names})
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def as_of_count(text) -> Column:

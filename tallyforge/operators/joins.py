@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import to_float
 from .judgements import last_wins
@@ -113,26 +117,69 @@ def jaccard(a, b):
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+#: Rows of a block of queries and of candidates; a task compares one of each.
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 1 << 15
+
+
+def _best_of_block(k: int, on, out: pa.Schema):
+    """The k best candidates of each query of a cell, by counts of shared terms over the queries' postings."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        lt, rt = left.column("terms").combine_chunks(), right.column("r_terms").combine_chunks()
+        words = lt.flatten().dictionary_encode()
+        nl = pc.fill_null(pc.list_value_length(lt), 0).to_numpy()
+        nr = pc.fill_null(pc.list_value_length(rt), 0).to_numpy()
+        owners = np.repeat(np.arange(len(nl)), nl)
+        terms = words.indices.to_numpy()
+        by_term = np.argsort(terms, kind="stable")
+        owners, first = owners[by_term], np.searchsorted(terms[by_term], np.arange(len(words.dictionary) + 1))
+        known = pc.fill_null(pc.index_in(rt.flatten(), value_set=words.dictionary), -1).to_numpy()
+        ends, names = np.append(0, np.cumsum(nr)), right.column("candidate").to_numpy()
+        order = np.argsort(names, kind="stable")
+        best_s, best_n = np.full((len(nl), k), -1.0), np.zeros((len(nl), k), names.dtype)
+        for at in range(0, len(order), 256):
+            rows = order[at : at + 256]
+            mine = [known[ends[r] : ends[r + 1]] for r in rows.tolist()]
+            which = np.repeat(np.arange(len(rows)), [len(m) for m in mine])
+            flat = np.concatenate(mine)
+            which, flat = which[flat >= 0], flat[flat >= 0]
+            sizes = first[flat + 1] - first[flat]
+            place = np.repeat(first[flat] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            both = np.bincount(owners[place] * len(rows) + np.repeat(which, sizes), minlength=len(nl) * len(rows)).reshape(len(nl), len(rows))
+            union = nl[:, None] + nr[rows][None, :] - both
+            score = np.where((nl[:, None] > 0) & (nr[rows][None, :] > 0), both / np.maximum(union, 1), 0.0)
+            score = np.concatenate([best_s, score], axis=1)  # names ascend, so a stable order keeps smaller ones first
+            every = np.concatenate([best_n, np.broadcast_to(names[rows], (len(nl), len(rows)))], axis=1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best_s, best_n = np.take_along_axis(score, top, axis=1), np.take_along_axis(every, top, axis=1)
+        full = (best_s >= 0).reshape(-1)
+        n = np.repeat(np.arange(len(nl)), k)[full]
+        columns = [left.column("id").take(pa.array(n))] + [left.column(c).take(pa.array(n)) for c in on]
+        return pa.Table.from_arrays([*columns, pa.array(best_n.reshape(-1)[full]), pa.array(best_s.reshape(-1)[full])], schema=out)
+
+    return run
+
+
 def top_similar(left: DataFrame, right: DataFrame, on, *, k: int = 3) -> DataFrame:
     """The k most similar right rows of each left row in its group, by term Jaccard, then smaller id.
 
-    left has id, the on-columns and terms; right likewise. Pairs meet by a shared term, so unrelated
-    rows of a group are not compared; where fewer than k share one, the group's smallest ids fill up.
+    left has id, the on-columns and distinct terms; right likewise, with a long id. The left rows are cut into blocks
+    and every block meets all right rows of its groups, a block at a time, so a task's memory is bounded and no pair
+    is a row: a cell gives k rows for each of its left rows.
     """
-    l = left.select("id", *on, "terms")  # noqa: E741
-    r = right.select(F.col("id").alias("candidate"), *on, F.col("terms").alias("r_terms"))
-    lt = l.select("id", *on, F.size("terms").alias("nl"), F.explode("terms").alias("term"))
-    rt = r.select("candidate", *on, F.size("r_terms").alias("nr"), F.explode("r_terms").alias("term"))
-    shared = lt.join(rt, [*on, "term"]).groupBy("id", *on, "candidate").agg(F.count("*").alias("c"), F.first("nl").alias("nl"), F.first("nr").alias("nr"))
-    shared = shared.select("id", *on, "candidate", (F.col("c") / (F.col("nl") + F.col("nr") - F.col("c"))).alias("similarity"))
-    # Of the rows without a shared term, only those among the group's first can be needed: k and the shared ones before them.
+    n_left, n_right = (max(1, -(-side.count() // size)) for side, size in ((left, QUERY_BLOCK), (right, CANDIDATE_BLOCK)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    known = lambda side: side.dropna(subset=list(on)) if on else side
+    l = known(left).select("id", *on, "terms", block(n_left).alias("lb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))  # noqa: E741
+    r = known(right).select(F.col("id").cast("long").alias("candidate"), *(F.col(c).alias(f"r_{c}") for c in on), F.col("terms").alias("r_terms"), block(n_right).alias("r_rb"))
+    r = r.withColumn("r_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    schema = l.select("id", *on).schema.add("candidate", "long").add("similarity", "double")
+    cell = _best_of_block(k, list(on), to_arrow_schema(schema))
+    found = l.groupBy(*on, "lb", "rb").cogroup(r.groupBy(*(f"r_{c}" for c in on), "r_lb", "r_rb")).applyInArrow(cell, schema)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate")
-    top = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    few = l.join(top.groupBy("id").agg(F.count("*").alias("got")), "id", "left").filter(F.coalesce("got", F.lit(0)) < k).select("id", *on)
-    first = r.withColumn("at", F.row_number().over(Window.partitionBy(*on).orderBy("candidate"))).filter(F.col("at") <= 2 * k).select("candidate", *on)
-    fill = few.join(first, list(on)).join(shared, ["id", *on, "candidate"], "left_anti").select("id", *on, "candidate", F.lit(0.0).alias("similarity"))
-    every = top.drop("rank").unionByName(fill)
-    return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def best_name(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -157,11 +204,11 @@ def in_window(rows: DataFrame, windows: DataFrame, key: str = "event", day: str
 
 def document_slots(documents: DataFrame, slots: DataFrame, smoke: int | None = None) -> DataFrame:
     """Every document with every slot (a schema of a few dozen); smoke takes a slot-major slice."""
-    pairs = documents.join(F.broadcast(slots), how="cross")
+    pairs = documents.join(slots, how="cross")  # Spark broadcasts the slots when their size allows it
     if smoke is None:
         return pairs
     first = documents.groupBy("kind").agg(F.min("sitrep_id").alias("sitrep_id"))
-    pairs = first.join(F.broadcast(slots), how="cross")
+    pairs = first.join(slots, how="cross")
     order = Window.orderBy("slot_id", "kind")  # a row for each kind and slot
     return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= smoke).drop("rn")
 

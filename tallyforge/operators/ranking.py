@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,29 +105,42 @@ def sample_per_stratum(rows: DataFrame, sizes: dict[str, int], stratum: str, id_
     return kept.withColumn("sample_id", F.concat(prefix, F.lpad(F.col("__rn").cast("string"), 2, "0"))).drop("__rn")
 
 
-def pack_in_order(costs, budget: int) -> Column:
-    """Chunk number (from 0) of every cost in an ordered array: a chunk closes before it would exceed the budget."""
-    step = lambda acc, x: F.struct(
-        F.when((acc["used"] > 0) & (acc["used"] + x > budget), x).otherwise(acc["used"] + x).alias("used"),
-        F.when((acc["used"] > 0) & (acc["used"] + x > budget), acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"),
-        F.concat(acc["out"], F.array(F.when((acc["used"] > 0) & (acc["used"] + x > budget), acc["chunk"] + 1).otherwise(acc["chunk"]))).alias("out"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(costs, start, step, lambda acc: acc["out"])
-
-
 def chunk_posts(rows: DataFrame, by, order, cost: str, budget: int) -> DataFrame:
-    """Greedy in-order chunks of each group (a day's capped sample), as (by, place, chunk)."""
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("__c")))).alias("__p"))
-    chunks = listed.withColumn("__k", pack_in_order(F.transform("__p", lambda x: x["__c"]), budget))
-    flat = chunks.select(*by, F.posexplode(F.arrays_zip("__p", "__k")).alias("place", "x"))
-    return flat.select(*by, "place", *(F.col(f"x.__p.{o}").alias(o) for o in order), F.col("x.__k").alias("chunk"))
-
+    """Greedy in-order chunks of each group, as (by, place, order, chunk): a chunk closes before it would exceed the budget.
 
-def upper_median(values: Column) -> Column:
-    """The middle value, the upper of two."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+    What a chunk holds depends on all chunks before it, so the rows of a group pass through one task in order; the
+    task keeps a few numbers and no rows.
+    """
+    keyed = rows.select(*by, *order, F.col(cost).cast("long").alias("__cost"))
+    n_by, n = len(by), len(by) + len(order)
+    schema = keyed.select(*by).schema.add("place", "integer")
+    for field in keyed.select(*order).schema.fields:
+        schema = schema.add(field)
+    schema = schema.add("chunk", "integer")
+
+    def run(batches):
+        group, place, used, chunk = None, 0, 0, 0
+        for batch in batches:
+            places, chunks = [], []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n_by)), strict=True)
+            for key, size in zip(keys, batch.column(n).to_pylist(), strict=True):
+                if key != group:
+                    group, place, used, chunk = key, 0, 0, 0
+                if used > 0 and used + (size or 0) > budget:
+                    used, chunk = 0, chunk + 1
+                used += size or 0
+                places.append(place)
+                chunks.append(chunk)
+                place += 1
+            columns = [*(batch.column(i) for i in range(n_by)), pa.array(places, pa.int32()), *(batch.column(i) for i in range(n_by, n)), pa.array(chunks, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return keyed.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def upper_median(column: str) -> Column:
+    """The middle value of a column, the upper of two, from counts of its distinct values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def event_days(rows: DataFrame, day: str, min_posts: int) -> DataFrame:

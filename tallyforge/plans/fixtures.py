@@ -66,17 +66,76 @@ SCORES = """sc AS (SELECT c_custkey AS sitrep_id, c_mktsegment AS event, c_acctb
 
 
 def reports(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """Orders as reports of their customer: urgent ones are human, medium ones machine."""
-    o = table(spark, sf, "orders").filter(F.col("o_orderpriority") == {"human": "1-URGENT", "machine": "3-MEDIUM"}[kind])
+    """Orders as reports of their customer: those of the first two priorities are human, the others machine."""
+    human = F.col("o_orderpriority") < "3"
+    o = table(spark, sf, "orders").filter(human if kind == "human" else ~human)
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("event"), F.to_date("o_orderdate").alias("day"))
 
 
-REPORTS = """m AS (SELECT o_orderkey AS id, o_custkey AS event, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '3-MEDIUM'),
-h AS (SELECT o_orderkey AS id, o_custkey AS event, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT')"""
+REPORTS = """m AS (SELECT o_orderkey AS id, o_custkey AS event, o_orderdate::DATE AS day FROM orders WHERE NOT o_orderpriority < '3'),
+h AS (SELECT o_orderkey AS id, o_custkey AS event, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority < '3')"""
+
+#: A last sentence of a report and what it adds, by hand: sourcing, agency, hedge and update labels, as-of dates, figures
+#: and figures near a source. Every entry of the lexicons occurs, as do overlaps, near misses in case and a far source.
+_NAME, _ACRONYM = "agency_name", "agency_acronym"
+VARIANTS = (
+    ("All is calm", [], [], [], [], 0, 0, 0),
+    ("Aid went out as per the plan", ["as_per"], [], [], [], 0, 0, 0),
+    ("Reports indicate heavy loss", ["reports_indicate"], [], [], [], 0, 0, 0),
+    ("More data from the field came in", ["data_from"], [], [], [], 0, 0, 0),
+    ("Radio said so, citing two witnesses", ["citing"], [], [], [], 0, 0, 0),
+    ("Sources: field team", ["source_label"], [], [], [], 0, 0, 0),
+    ("Sources say the road is shut", ["sources_say"], [], [], [], 0, 0, 0),
+    ("Local authorities report calm", ["authorities_report"], [], [], [], 0, 0, 0),
+    ("ACCORDING TO rumours, as reported by witnesses, rain is near", ["according_to", "reported_by"], [], [], [], 0, 0, 0),
+    ("Some estimates from the field were revised", ["data_from"], [], ["estimated"], ["revised"], 0, 0, 0),
+    ("UN OCHA and UNICEF met", [], [_ACRONYM, _ACRONYM], [], [], 0, 0, 0),
+    ("The IFRC, the NDMA and FEMA helped", [], [_ACRONYM, _ACRONYM, _ACRONYM], [], [], 0, 0, 0),
+    ("Those who care reach far", [], [], [], [], 0, 0, 0),
+    ("The United Nations sent tents", [], [_NAME], [], [], 0, 0, 0),
+    ("The World Health Organisation sent kits", [], [_NAME], [], [], 0, 0, 0),
+    ("The World Food Programme sent rice", [], [_NAME], [], [], 0, 0, 0),
+    ("The Red Crescent sent boats", [], [_NAME], [], [], 0, 0, 0),
+    ("Save the Children and Oxfam sent teams", [], [_NAME, _NAME], [], [], 0, 0, 0),
+    ("Doctors Without Borders sent nurses", [], [_NAME], [], [], 0, 0, 0),
+    ("The Government of Malawi sent pumps", [], [_NAME], [], [], 0, 0, 0),
+    ("The National Disaster Management Authority met", [], [_NAME], [], [], 0, 0, 0),
+    ("Civil protection and the meteorological service met", [], [_NAME, _NAME], [], [], 0, 0, 0),
+    ("The Humanitarian Country Team met", [], [_NAME], [], [], 0, 0, 0),
+    ("There is unconfirmed news", [], [], ["unconfirmed"], [], 0, 0, 0),
+    ("There is unverified news", [], [], ["unverified"], [], 0, 0, 0),
+    ("Losses are yet to be confirmed", [], [], ["not_yet_confirmed"], [], 0, 0, 0),
+    ("Losses remain to be confirmed", [], [], ["to_be_confirmed"], [], 0, 0, 0),
+    ("All is subject to revision", [], [], ["subject_to_change"], ["revised"], 0, 0, 0),
+    ("The loss is approximately half, or approx. half", [], [], ["approximately", "approximately"], [], 0, 0, 0),
+    ("The bridge reportedly fell", [], [], ["reportedly"], [], 0, 0, 0),
+    ("The bridge allegedly fell", [], [], ["allegedly"], [], 0, 0, 0),
+    ("The bridge apparently fell", [], [], ["apparently"], [], 0, 0, 0),
+    ("The count is provisional", [], [], ["provisional"], [], 0, 0, 0),
+    ("The count is tentative and indicative", [], [], ["tentative", "indicative"], [], 0, 0, 0),
+    ("More rain is likely and more wind unlikely", [], [], ["likely"], [], 0, 0, 0),
+    ("More rain is possibly near", [], [], ["possibly"], [], 0, 0, 0),
+    ("The river could rise", [], [], ["modal_could"], [], 0, 0, 0),
+    ("Could it rise in May", [], [], [], [], 0, 0, 0),
+    ("The river appears to rise", [], [], ["appears_to"], [], 0, 0, 0),
+    ("Half is roughly right", [], [], ["roughly"], [], 0, 0, 0),
+    ("There is no official confirmation", [], [], ["no_confirmation"], [], 0, 0, 0),
+    ("The figures were revised", [], [], [], ["figures_updated"], 0, 0, 0),
+    ("It was previously reported so", [], [], [], ["previously_reported"], 0, 0, 0),
+    ("Rain is weak compared to the previous week", [], [], [], ["compared_to_previous"], 0, 0, 0),
+    ("This update supersedes all", [], [], [], ["this_update", "supersedes"], 0, 0, 0),
+    ("There is no change since Monday", [], [], [], ["no_change"], 0, 0, 0),
+    ("Much is new since Monday", [], [], [], ["new_since"], 0, 0, 0),
+    ("A correction covers the period", [], [], [], ["correction", "reporting_period"], 0, 0, 0),
+    ("See Flash Update No. 7", [], [], [], ["update_number"], 0, 0, 0),
+    ("This holds as of today and as at 14:30 hrs", [], [], [], [], 2, 0, 0),
+    ("The road to the coast is open and trucks use 4321 pumps", [], [], [], [], 0, 1, 0),
+    ("On the road OCHA has 4321 pumps", [], [_ACRONYM], [], [], 0, 1, 1),
+)
 
 
 def report_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """A templated report of every order, with figures, dates, hedges and sources."""
+    """A templated report of every order, with figures, dates, hedges and sources; the last sentence varies."""
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
@@ -84,14 +143,25 @@ def report_texts(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(
         F.lit("As of "), F.date_format(d, "d MMMM yyyy"), F.lit(", at least "), F.format_number(k % 9000 + 1000, 0), F.lit(" people were affected in "), F.translate("n_name", "0123456789", "ABCDEFGHIJ"),
         F.lit(", according to OCHA. Figures are preliminary and may change; "), (k % 97).cast("string"), F.lit("% of homes were destroyed.\n"),
-        (F.col("o_custkey") % 50).cast("string"), F.lit(" persons died, reported by the Ministry of Health. Some 1."), (k % 9 + 1).cast("string"), F.lit(" million were displaced since the last report."),
+        (F.col("o_custkey") % 50).cast("string"), F.lit(" persons died, reported by the Ministry of Health. Some 1."), (k % 9 + 1).cast("string"), F.lit(" million were displaced since the last report. "),
+        F.element_at(F.array(*(F.lit(v[0]) for v in VARIANTS)), (k % len(VARIANTS) + 1).cast("int")), F.lit("."),
     )
     return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(  # 25 nations
         k.alias("id"), F.to_date(d).alias("day"), F.col("n_name").alias("event"), F.when(F.col("o_orderpriority") < "3", "human").otherwise("machine").alias("kind"), text.alias("text"))
 
 
-TEXTS = """texts AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, n_name AS event, CASE WHEN o_orderpriority < '3' THEN 'human' ELSE 'machine' END AS kind,
+def _labels(found: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in found) + "]::VARCHAR[]"
+
+
+_VARIANTS = ",\n  ".join(f"({i}, '{v[0]}', {', '.join(map(_labels, v[1:5]))}, {v[5]}, {v[6]}, {v[7]})" for i, v in enumerate(VARIANTS))
+#: texts with the number v of its last sentence, and variants, what that sentence adds.
+TEXTS = f"""variants(v, sentence, sourcing, agencies, hedges, revisions, as_of, figures, sourced) AS (VALUES {_VARIANTS}),
+texts AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, n_name AS event, CASE WHEN o_orderpriority < '3' THEN 'human' ELSE 'machine' END AS kind, o_orderkey % {len(VARIANTS)} AS v,
   'As of ' || day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) || ', at least ' || (o_orderkey % 9000 + 1000) // 1000 || ',' || lpad(((o_orderkey % 9000 + 1000) % 1000)::VARCHAR, 3, '0')
   || ' people were affected in ' || translate(n_name, '0123456789', 'ABCDEFGHIJ') || ', according to OCHA. Figures are preliminary and may change; ' || o_orderkey % 97 || '% of homes were destroyed.' || chr(10)
-  || o_custkey % 50 || ' persons died, reported by the Ministry of Health. Some 1.' || (o_orderkey % 9 + 1) || ' million were displaced since the last report.' AS text
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+  || o_custkey % 50 || ' persons died, reported by the Ministry of Health. Some 1.' || (o_orderkey % 9 + 1) || ' million were displaced since the last report. ' || sentence || '.' AS text
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN variants ON v = o_orderkey % {len(VARIANTS)})"""
+#: found: all convention counts of every text, from the fixed part and the last sentence.
+FOUND = TEXTS + """, found AS (SELECT id, event, length(text) AS n_chars, len(regexp_extract_all(text, '[^ \\n]+')) AS n_tokens, ['according_to', 'reported_by'] || sourcing AS sourcing, ['agency_acronym', 'agency_name'] || agencies AS agencies,
+  ['preliminary', 'modal_may'] || hedges AS hedges, ['since_last_report'] || revisions AS revisions, 1 + as_of AS as_of, 4 + figures AS n_figures, 4 + sourced AS n_sourced FROM texts JOIN variants USING (v))"""

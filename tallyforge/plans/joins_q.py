@@ -85,17 +85,7 @@ _TERMS = """t AS (SELECT doc_id AS id, lang, list_distinct(list_filter(regexp_ex
 
 
 @query("d13_top_similar", f"""WITH {_TERMS}, x AS (SELECT l.id, l.lang, r.id AS candidate, CASE WHEN len(l.terms) > 0 AND len(r.terms) > 0 THEN len(list_intersect(l.terms, r.terms)) / (len(l.terms) + len(r.terms) - len(list_intersect(l.terms, r.terms))) ELSE 0.0 END AS s
-  FROM t l JOIN t r USING (lang) WHERE l.id % 10 = 0 AND r.id % 10 = 1)
-SELECT id, candidate, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, candidate)::INT AS rank FROM x QUALIFY rank <= 3""")
-def _(spark, sf):
-    from ..functions.textops import audit_terms
-
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", audit_terms(F.col("text")).alias("terms"))
-    return N.top_similar(d.filter("id % 10 = 0"), d.filter("id % 10 = 1"), ("lang",)).select("id", "candidate", "similarity", "rank")
-
-
-@query("d13_top_similar_all", f"""WITH {_TERMS}, x AS (SELECT l.id, l.lang, r.id AS candidate, CASE WHEN len(l.terms) > 0 AND len(r.terms) > 0 THEN len(list_intersect(l.terms, r.terms)) / (len(l.terms) + len(r.terms) - len(list_intersect(l.terms, r.terms))) ELSE 0.0 END AS s
-  FROM t l JOIN t r USING (lang) WHERE l.id % 10 = 0 AND r.id <> l.id)
+  FROM t l JOIN t r USING (lang) WHERE l.id % 50 = 0 AND r.id <> l.id)
 SELECT id, candidate, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, candidate)::INT AS rank FROM x QUALIFY rank <= 3""")
 def _(spark, sf):
     from pyspark.sql import Window
@@ -103,7 +93,7 @@ def _(spark, sf):
     from ..functions.textops import audit_terms
 
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", audit_terms(F.col("text")).alias("terms"))
-    best = N.top_similar(d.filter("id % 10 = 0"), d, ("lang",), k=4).filter("id <> candidate")  # one of the four may be the document itself
+    best = N.top_similar(d.filter("id % 50 = 0"), d, ("lang",), k=4).filter("id <> candidate")  # one of the four may be the document itself
     return best.select("id", "candidate", "similarity", F.row_number().over(Window.partitionBy("id").orderBy("rank")).alias("rank")).filter("rank <= 3")
 
 
@@ -170,7 +160,7 @@ def _(spark, sf):
 SELECT (SELECT count(*) FROM posts) AS n_posts, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day, max(n) AS max_per_day, list_sort(list(n))[len(list(n)) // 2 + 1] AS upper_median FROM d""")
 def _(spark, sf):
     d = X.posts(spark, sf).groupBy("day").agg(F.count("*").alias("n"))
-    return d.agg(F.sum("n").alias("n_posts"), F.count("*").alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.max("n").alias("max_per_day"), R.upper_median(F.col("n")).alias("upper_median"))
+    return d.agg(F.sum("n").alias("n_posts"), F.count("*").alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.max("n").alias("max_per_day"), R.upper_median("n").cast("long").alias("upper_median"))
 
 
 @query("e22_day_buckets", f"WITH {POSTS} SELECT day, class_label, count(*) AS n_posts FROM posts GROUP BY ALL")
@@ -231,7 +221,11 @@ def _(spark, sf):
     return R.spread_duplicates(d, "x", "y", "id").select("id", "spread_x", "spread_y")
 
 
-@query("g11_chunks")
+@query("g11_chunks", f"""WITH RECURSIVE {POSTS}, s AS (SELECT day, post_id, row_number() OVER (PARTITION BY day ORDER BY post_id) - 1 AS place,
+  ceil(length('- (' || replace(class_label, '_', ' ') || ') ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) / 3.5)::BIGINT + 1 AS cost FROM posts),
+r(day, post_id, place, used, chunk) AS (SELECT day, post_id, place, cost, 0 FROM s WHERE place = 0 UNION ALL
+  SELECT s.day, s.post_id, s.place, CASE WHEN used + cost > 500 THEN cost ELSE used + cost END, chunk + (used + cost > 500)::INT FROM r JOIN s ON s.day = r.day AND s.place = r.place + 1)
+SELECT day, place::INT AS place, post_id, chunk::INT AS chunk FROM r""")
 def _(spark, sf):
     from ..functions.scalars import estimate_tokens, render_post
 

@@ -70,7 +70,11 @@ def _(spark, sf):
     return Q.spearman(X.pairs(spark, sf), "n_orders", "completeness", ("event",)).drop("p_value")
 
 
-@query("f06_spearman_p")
+#: The two tails of Student's t as an integral of cosines, by Simpson's rule over 4,000 steps.
+@query("f06_spearman_p", _RANKS + """, q AS (SELECT event, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho FROM r GROUP BY event),
+t AS (SELECT *, asin(abs(rho)) AS lo, (pi() / 2 - asin(abs(rho))) / 4000 AS h FROM q), i AS (SELECT unnest(range(4001)) AS i),
+s AS (SELECT event, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(lo + i * h), 0), n - 3)) * any_value(h) / 3 AS tail FROM t CROSS JOIN i GROUP BY event)
+SELECT event, n, round(rho, 6) AS rho, round(2 * tail * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()), 6) AS p_value FROM t JOIN s USING (event)""")
 def _(spark, sf):
     return Q.spearman(X.pairs(spark, sf), "n_orders", "completeness", ("event",))
 
@@ -98,7 +102,15 @@ def _(spark, sf):
     return Q.average_rank(X.pairs(spark, sf), "n_orders", "r", ("event",)).select("sitrep_id", "r")
 
 
-@query("f10_exact_binomial")
+#: Both ends by bisection of the binomial tail; 50 halvings of the unit interval.
+@query("f10_exact_binomial", f"""WITH RECURSIVE {J}, e AS (SELECT slot_id, count(*) FILTER (WHERE verdict = 'absent') AS errors, count(*) AS total FROM p GROUP BY 1),
+b(slot_id, errors, total, side, lo, hi, step) AS (SELECT slot_id, errors, total, side, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM e CROSS JOIN (VALUES (0), (1)) s(side) UNION ALL
+  SELECT slot_id, errors, total, side, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, step + 1 FROM (SELECT *, CASE side
+    WHEN 0 THEN list_sum(list_transform(range(errors, total + 1), lambda k: exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * ln(mid) + (total - k) * ln(1 - mid)))) < 0.025
+    ELSE list_sum(list_transform(range(0, errors + 1), lambda k: exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * ln(mid) + (total - k) * ln(1 - mid)))) > 0.025 END AS low
+    FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE step < 50)))
+SELECT slot_id, errors, total, round(CASE WHEN errors = 0 THEN 0.0 ELSE max(lo) FILTER (WHERE side = 0) END, 6) AS ci_lo, round(CASE WHEN errors = total THEN 1.0 ELSE max(lo) FILTER (WHERE side = 1) END, 6) AS ci_hi
+FROM b WHERE step = 50 GROUP BY slot_id, errors, total""")
 def _(spark, sf):
     rows = X.population(spark, sf).groupBy("slot_id").agg(F.count_if(F.col("verdict") == "absent").alias("errors"), F.count("*").alias("total"))
     return Q.add_exact_binomial(rows, "errors", "total")
@@ -118,13 +130,13 @@ def _(spark, sf):
     return Q.correlation_report(X.pairs(spark, sf), ("n_orders", "spent")).drop("p_value")
 
 
-@query("f03_rank_interval", f"""WITH {SCORES}, s AS (SELECT n_orders AS x, completeness AS y, row_number() OVER (ORDER BY sitrep_id) - 1 AS i FROM sc WHERE event = 'BUILDING'), n AS (SELECT count(*) AS n FROM s), jj AS (SELECT b, unnest(range((SELECT n FROM n))) AS j FROM (SELECT unnest(range(100)) AS b)),
+@query("f03_rank_interval", f"""WITH {SCORES}, s AS (SELECT n_orders AS x, completeness AS y, row_number() OVER (ORDER BY sitrep_id) - 1 AS i FROM sc), n AS (SELECT count(*) AS n FROM s), jj AS (SELECT b, unnest(range((SELECT n FROM n))) AS j FROM (SELECT unnest(range(100)) AS b)),
 d AS (SELECT b, x, y FROM (SELECT b, ('0x' || substr(md5(concat_ws('|', '17', b::VARCHAR, j::VARCHAR)), 1, 8))::BIGINT % (SELECT n FROM n) AS i FROM jj) JOIN s USING (i)),
 r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0 AS ry FROM d),
 k AS (SELECT b, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho FROM r GROUP BY b)
 SELECT round(quantile_cont(rho, 0.025), 6) AS ci_lo, round(quantile_cont(rho, 0.975), 6) AS ci_hi, count(*) AS n_usable FROM k""")
 def _(spark, sf):
-    return Q.bootstrap_rank_correlation(X.pairs(spark, sf).filter("event = 'BUILDING'"), "n_orders", "completeness", "sitrep_id", n_boot=100)
+    return Q.bootstrap_rank_correlation(X.pairs(spark, sf), "n_orders", "completeness", "sitrep_id", n_boot=100)
 
 
 @query("g02_disagreements", f"""WITH {SCORES}, v AS (SELECT sitrep_id, completeness, 'n_orders' AS metric, n_orders AS x FROM sc UNION ALL SELECT sitrep_id, completeness, 'spent', spent FROM sc),
@@ -160,7 +172,12 @@ def _(spark, sf):
     return Q.grouped_bootstrap(docs, "c", "sitrep_id", ("arm",), n_boot=200)
 
 
-@query("f13_inversion")
+@query("f13_inversion", f"""{_DOCS}, {_arm_draws(400)}, m AS (SELECT b, avg(v) FILTER (WHERE arm = 'm1') - avg(v) FILTER (WHERE arm = 'human') AS d FROM drawn WHERE arm IN ('m1', 'human') GROUP BY b), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k FROM m),
+x AS (SELECT * FROM s WHERE arm IN ('m1', 'human')), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE arm = 'm1') AS na, sum(v) AS sv, sum(v) FILTER (WHERE arm = 'm1') AS sa FROM x),
+q AS (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY md5(concat_ws('|', '17', p::VARCHAR, sitrep_id)), sitrep_id) AS rn FROM x CROSS JOIN (SELECT unnest(range(400)) AS p)),
+g AS (SELECT p, sum(v) FILTER (WHERE rn <= (SELECT na FROM t)) AS sp FROM q GROUP BY p)
+SELECT round((SELECT avg(v) FROM s WHERE arm = 'm1') - (SELECT avg(v) FROM s WHERE arm = 'human'), 6) AS difference, round((SELECT d FROM r WHERE k = 9), 6) AS ci_lo, round((SELECT d FROM r WHERE k = 390), 6) AS ci_hi,
+round((count(*) FILTER (WHERE abs(sp / na - (sv - sp) / (n - na)) >= abs(sa / na - (sv - sa) / (n - na)) - 1e-9) + 1) / 401.0, 6) AS p_value, round(any_value(abs(sa / na - (sv - sa) / (n - na))), 6) AS observed FROM g, t""")
 def _(spark, sf):
     docs = X.population(spark, sf).groupBy("arm", "sitrep_id").agg(F.avg("score").alias("c"))
     a = Q.bootstrap_difference(docs, "c", "arm", "m1", "human", "sitrep_id", n_boot=400)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import textops as J
+from ..operators import conventions as V
 from ..operators import joins as N
 from ..operators import similarity as K
 from ..session import table
 from . import fixtures as X
-from .fixtures import TEXTS
+from .fixtures import FOUND, TEXTS
 from .registry import query
 
 
@@ -23,32 +24,39 @@ def _(spark, sf):
 {{'v': p::DOUBLE, 'u': 'count', 'k': 'casualty', 'w': 'died'}}, {{'v': (1000000 + (id % 9 + 1) * 100000)::DOUBLE, 'u': 'count', 'k': 'quantity', 'w': 'displaced'}}]) AS f
 FROM (SELECT texts.*, o_custkey % 50 AS p FROM texts JOIN orders ON o_orderkey = id)) SELECT id, round(f.v, 6) AS value, f.u AS unit, f.k AS kind, f.w AS keyword FROM f""")
 def _(spark, sf):
-    rows = X.report_texts(spark, sf).select("id", F.explode(J.figures(F.col("text"))).alias("f"))
+    rows = J.spread(X.report_texts(spark, sf).select("id", "text"), "id").select("id", F.explode(J.figures(F.col("text"))).alias("f"))
     return rows.select("id", "f.value", "f.unit", "f.kind", "f.keyword")
 
 
-@query("j05_agencies", f"WITH {TEXTS} SELECT id, 2 AS n, ['agency_acronym', 'agency_name']::VARCHAR AS labels FROM texts")
-def _(spark, sf):
-    rows = X.report_texts(spark, sf).select("id", J.spans(F.col("text"), "agency").alias("s"))
+def _spans(spark, sf, family):
+    rows = J.spread(X.report_texts(spark, sf).select("id", "text"), "id").select("id", J.spans(F.col("text"), family).alias("s"))
     labels = F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["label"]), ", "), F.lit("]"))
-    return rows.select("id", F.size("s").alias("n"), labels.alias("labels"))
+    return rows.select("id", F.size("s").cast("long").alias("n"), labels.alias("labels"))
+
+
+@query("j05_attribution", f"WITH {FOUND} SELECT id, len(sourcing) AS n, sourcing::VARCHAR AS labels FROM found")
+def _(spark, sf):
+    return _spans(spark, sf, "attribution")
+
+
+@query("j05_agencies", f"WITH {FOUND} SELECT id, len(agencies) AS n, agencies::VARCHAR AS labels FROM found")
+def _(spark, sf):
+    return _spans(spark, sf, "agency")
 
 
-@query("j06_hedges", f"WITH {TEXTS} SELECT id, '[preliminary, modal_may]' AS labels FROM texts")
+@query("j06_hedges", f"WITH {FOUND} SELECT id, len(hedges) AS n, hedges::VARCHAR AS labels FROM found")
 def _(spark, sf):
-    rows = X.report_texts(spark, sf).select("id", J.spans(F.col("text"), "hedge").alias("s"))
-    return rows.select("id", F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["label"]), ", "), F.lit("]")).alias("labels"))
+    return _spans(spark, sf, "hedge")
 
 
-@query("j07_as_of", f"WITH {TEXTS} SELECT id, len(regexp_extract_all(text, '(?i)\\bas\\s+(?:of|at)\\s+\\d{{1,2}}(?:st|nd|rd|th)?\\s+[A-Z][a-z]+'))::INT AS n FROM texts")
+@query("j07_as_of", f"WITH {FOUND} SELECT id, as_of::INT AS n FROM found")
 def _(spark, sf):
     return X.report_texts(spark, sf).select("id", J.as_of_count(F.col("text")).alias("n"))
 
 
-@query("j08_revisions", f"WITH {TEXTS} SELECT id, '[since_last_report]' AS labels FROM texts")
+@query("j08_revisions", f"WITH {FOUND} SELECT id, len(revisions) AS n, revisions::VARCHAR AS labels FROM found")
 def _(spark, sf):
-    rows = X.report_texts(spark, sf).select("id", J.spans(F.col("text"), "revision").alias("s"))
-    return rows.select("id", F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["label"]), ", "), F.lit("]")).alias("labels"))
+    return _spans(spark, sf, "revision")
 
 
 @query("j10_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::INT AS n FROM documents")
@@ -56,25 +64,28 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", J.token_count(F.col("text")).alias("n"))
 
 
-@query("j12_text_statistics", f"""WITH {TEXTS} SELECT id, length(text) AS n_chars, len(regexp_extract_all(text, '[^ \\n]+')) AS n_tokens, 2::BIGINT AS sourcing_phrases, 2::BIGINT AS agency_mentions, 2::BIGINT AS hedges, 1::BIGINT AS as_of_dates, 1::BIGINT AS revision_markers,
-4::BIGINT AS n_figures FROM texts""")
+def _stats(spark, sf):
+    return V.text_statistics(X.report_texts(spark, sf))
+
+
+_COUNTS = """n_chars, n_tokens, len(sourcing) AS sourcing_phrases, len(agencies) AS agency_mentions, len(sourcing) + len(agencies) AS sourcing_cues, len(hedges) AS hedges, len(list_distinct(hedges)) AS hedge_types, as_of AS as_of_dates,
+len(revisions) AS revision_markers, as_of + len(revisions) AS update_markers, n_figures, n_sourced AS n_figures_with_source"""
+
+
+@query("j12_text_statistics", f"WITH {FOUND} SELECT id, {_COUNTS} FROM found")
 def _(spark, sf):
-    rows = X.report_texts(spark, sf).select("id", J.stats(F.col("text")).alias("s"))
-    return rows.select("id", *(f"s.{c}" for c in ("n_chars", "n_tokens", "sourcing_phrases", "agency_mentions", "hedges", "as_of_dates", "revision_markers", "n_figures")))
+    return _stats(spark, sf).drop("event", "terms")
 
 
-@query("e18_corpus_total")
+@query("e18_corpus_total", f"WITH {FOUND}, c AS (SELECT event, {_COUNTS} FROM found) SELECT coalesce(event, 'ALL') AS event, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in J.COUNTS) + ", round(sum(n_figures_with_source) / sum(n_figures), 6) AS figure_with_source_rate FROM c GROUP BY GROUPING SETS ((event), ())")
 def _(spark, sf):
-    rows = X.report_texts(spark, sf).select("event", J.stats(F.col("text")).alias("s")).select("event", "s.*")
-    sums = [F.sum(c).alias(c) for c in J.COUNTS]
-    total = rows.groupingSets([["event"], []], "event").agg(*sums).withColumn("event", F.coalesce("event", F.lit("ALL")))
-    return total.withColumn("figure_with_source_rate", F.col("n_figures_with_source") / F.nullif("n_figures", F.lit(0)))
+    return V.totals(_stats(spark, sf))
 
 
-@query("e19_term_counts", f"""WITH {TEXTS}, n AS (SELECT count(*) AS n FROM texts) SELECT unnest(['sourcing:according_to', 'sourcing:reported_by', 'agency:agency_acronym', 'agency:agency_name', 'hedge:preliminary', 'hedge:modal_may', 'update:as_of_date', 'update:since_last_report']) AS term, n FROM n""")
+@query("e19_term_counts", f"""WITH {FOUND}, x AS (SELECT unnest(list_concat(list_transform(sourcing, lambda x: 'sourcing:' || x), list_transform(agencies, lambda x: 'agency:' || x), list_transform(hedges, lambda x: 'hedge:' || x),
+list_transform(revisions, lambda x: 'update:' || x), list_transform(range(as_of), lambda x: 'update:as_of_date'))) AS term FROM found) SELECT term, count(*) AS n FROM x GROUP BY term""")
 def _(spark, sf):
-    rows = X.report_texts(spark, sf).select(J.stats(F.col("text")).alias("s")).select(F.explode("s.terms").alias("term", "c"))
-    return rows.groupBy("term").agg(F.sum("c").alias("n"))
+    return V.term_counts(_stats(spark, sf))
 
 
 @query("j13_contexts", f"WITH {TEXTS} SELECT id, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS context FROM texts")
@@ -96,7 +107,7 @@ def _(spark, sf):
 
 
 def _figures(spark, sf):
-    r = X.report_texts(spark, sf).withColumn("figures", J.figures(F.col("text")))
+    r = J.spread(X.report_texts(spark, sf), "id").withColumn("figures", J.figures(F.col("text")))
     machine = r.filter("kind = 'machine'").select("id", "event", "day", "figures")
     h = r.filter("kind = 'human'").groupBy("event", "day").agg(F.flatten(F.collect_list("figures")).alias("figures"))
     return machine, h
@@ -153,19 +164,13 @@ def _(spark, sf):
     return lines.select("doc_id", F.col("pos").alias("first_line"), (F.coalesce(F.lead("pos").over(w), "total") - F.col("pos")).alias("n_lines"))
 
 
-_TFIDF = """WITH t AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1) AS w FROM documents WHERE lang = 'en'),
+_TFIDF = """WITH t AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1) AS w FROM documents),
 k AS (SELECT id, unnest(list_concat(w, list_transform(range(1, greatest(len(w)::INT, 1)), lambda i: w[i] || '_' || w[i + 1]))) AS term FROM t), f AS (SELECT id, term, count(*) AS tf FROM k GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM f GROUP BY term), r AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM t)) / (1.0 + df)) + 1) AS w FROM f JOIN d USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM r GROUP BY id)
 SELECT id, term, round(w / norm, 6) AS weight FROM r JOIN n USING (id)"""
 
 
 @query("k01_tfidf", _TFIDF)
-def _(spark, sf):
-    d = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
-    return K.tfidf(d)
-
-
-@query("k01_tfidf_all", _TFIDF.replace(" WHERE lang = 'en'", ""))
 def _(spark, sf):
     return K.tfidf(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 

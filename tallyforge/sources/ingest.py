@@ -21,40 +21,45 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pdf(content):
-    """struct<title, text> of PDF bytes, where pypdf is installed; null text otherwise."""
+    """struct<title, text, problem> of PDF bytes; a null text has its reason, such as a missing pypdf."""
 
-    @F.pandas_udf("title string, text string")
+    @F.pandas_udf("title string, text string, problem string")
     def run(s: pd.Series) -> pd.DataFrame:
         try:
             from pypdf import PdfReader
         except ImportError:
-            return pd.DataFrame({"title": [None] * len(s), "text": [None] * len(s)})
+            return pd.DataFrame({"title": [None] * len(s), "text": [None] * len(s), "problem": ["no PDF reader is installed"] * len(s)})
         import io
 
         rows = []
         for raw in s:
+            try:
+                reader = PdfReader(io.BytesIO(raw))
+                sheets = list(reader.pages)
+            except Exception as problem:  # noqa: BLE001  a file that is no PDF does not end the run
+                rows.append((None, None, f"unreadable PDF: {problem}"[:200]))
+                continue
             pages = []
-            reader = PdfReader(io.BytesIO(raw))
-            for sheet in reader.pages:
+            for sheet in sheets:
                 try:
                     pages.append(sheet.extract_text() or "")
                 except Exception:  # noqa: BLE001  one bad page does not lose the others
                     pages.append("")
-            rows.append(((reader.metadata or {}).get("/Title"), "\n\n".join(pages)))
-        return pd.DataFrame(rows, columns=["title", "text"])
+            rows.append(((reader.metadata or {}).get("/Title"), "\n\n".join(pages), None))
+        return pd.DataFrame(rows, columns=["title", "text", "problem"])
 
     return run(content)
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """file, title, date, url and text by suffix: HTML, PDF or plain text."""
+    """file, title, date, url and text by suffix: HTML, PDF or plain text; problem says why a text is null."""
     text = F.decode("content", "UTF-8")
     html = files.filter(F.col("suffix").isin("html", "htm")).withColumn("p", page(text))
-    html = html.select("file", "path", S.clean_title("p.title").alias("title"), S.parse_date("p.date").alias("date"), "p.url", "p.text")
+    html = html.select("file", "path", S.clean_title("p.title").alias("title"), S.parse_date("p.date").alias("date"), "p.url", "p.text", F.lit(None).cast("string").alias("problem"))
     none = F.lit(None).cast("string")
     pdf = files.filter("suffix = 'pdf'").withColumn("p", _pdf("content"))
-    pdf = pdf.select("file", "path", "p.title", none.alias("date"), none.alias("url"), S.collapse("p.text").alias("text"))
-    plain = files.filter(F.col("suffix").isin("txt", "md")).select("file", "path", none.alias("title"), none.alias("date"), none.alias("url"), S.collapse(text).alias("text"))
+    pdf = pdf.select("file", "path", "p.title", none.alias("date"), none.alias("url"), S.collapse("p.text").alias("text"), "p.problem")
+    plain = files.filter(F.col("suffix").isin("txt", "md")).select("file", "path", none.alias("title"), none.alias("date"), none.alias("url"), S.collapse(text).alias("text"), none.alias("problem"))
     return html.unionByName(pdf).unionByName(plain)
 
 
@@ -84,7 +89,8 @@ def ingest(manifest: DataFrame, extracted: DataFrame, windows: DataFrame | None
     manifest has _seq and the manifest columns; extracted has file, text and date. A date outside the
     event's window counts as none. Of rows with one id, or one date and text, the first is admitted.
     """
-    text = extracted.select("file", "text", F.col("date").alias("page_date"), F.col("title").alias("page_title"))
+    problem = F.col("problem") if "problem" in extracted.columns else F.lit(None).cast("string")
+    text = extracted.select("file", "text", F.col("date").alias("page_date"), F.col("title").alias("page_title"), problem.alias("problem"))
     rows = manifest.join(text, "file", "left").withColumn("event", F.when(F.trim("event") != "", S.slug("event")).otherwise(""))
     rows = rows.withColumn("date", F.coalesce(S.parse_date("date"), S.parse_date("page_date")))
     rows = rows.withColumn("id", F.concat(F.lit("manual-"), S.slug(F.coalesce(F.nullif("url", F.lit("")), F.col("file")), 80)))
@@ -95,7 +101,7 @@ def ingest(manifest: DataFrame, extracted: DataFrame, windows: DataFrame | None
         rows = rows.withColumn("date", F.when(~F.coalesce(outside, F.lit(False)), F.col("date"))).drop("lo", "hi")
     early = (
         F.when((F.col("event") == "") | (F.trim("file") == ""), "missing event/file")
-        .when(F.col("text").isNull(), "file not found")
+        .when(F.col("text").isNull(), F.coalesce("problem", F.lit("file not found")))
         .when(F.char_length("text") < min_chars, F.concat(F.lit("text too short ("), F.char_length("text").cast("string"), F.lit(" chars)")))
     )
     rows = rows.withColumn("early", early)

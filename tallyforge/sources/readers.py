@@ -95,13 +95,34 @@ def admitted(manifest: DataFrame, documents: DataFrame, key: str = "file") -> Da
     return documents.join(manifest.select(name.alias(key)).distinct(), key, "left_semi")
 
 
-def judgements(spark: SparkSession, path: str) -> DataFrame:
-    """The analysis population of judgement CSV files; rows are ordered by file and line."""
+def judgement_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of judgement CSV files, in the order of file and line."""
     rows = read_csv(spark, path)
     order = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
     have = set(rows.columns)
     rows = rows.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("event", "sitrep_id", "slot_id", "judge_model", "kind", "model", "arm", "date", "verdict", "status")), order.alias("_seq"))
-    return population(rows.withColumnRenamed("judge_model", "judge"))
+    return rows.withColumnRenamed("judge_model", "judge")
+
+
+def judgements(spark: SparkSession, path: str) -> DataFrame:
+    """The analysis population of judgement CSV files."""
+    return population(judgement_rows(spark, path))
+
+
+def event_folder(spark: SparkSession, base: str, event: str) -> str | None:
+    """The folder of an event in either spelling, dashes or underscores; None where there is none."""
+    for name in dict.fromkeys((event, event.replace("-", "_"), event.replace("_", "-"))):
+        if _exists(spark, f"{base}/{name}"):
+            return f"{base}/{name}"
+    return None
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The posts, first and last day and days of each event, from the table of stream statistics; empty without one."""
+    rows, names = read_csv(spark, path), ("event", "n_tweets", "first_day", "last_day", "n_days")
+    have = set(rows.columns)
+    rows = rows.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in names)) if have else spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
+    return rows.select("event", F.col("n_tweets").try_cast("long").alias("n_tweets"), iso_day("first_day").try_cast("date").alias("first_day"), iso_day("last_day").try_cast("date").alias("last_day"), F.col("n_days").try_cast("long").alias("n_days"))
 
 
 def judgement_index(stored: DataFrame) -> DataFrame:
