@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_WORKSPACE: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing uses, in the workspace if there is one."""
+    return f"{_WORKSPACE.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that is staged within, which goes at the end: results have to be written elsewhere by then."""
+    path = fresh_path(spark, "workspace")
+    token = _WORKSPACE.set(path)
+    try:
+        yield path
+    finally:
+        _WORKSPACE.reset(token)
+        drop_path(spark, path)
 
 
 @contextmanager
 def frugal(spark: SparkSession) -> Iterator[None]:
-    """Within it, an execution drops its shuffle files when it has ended, and Arrow batches stay small."""
+    """Within it, an execution drops its shuffle files when it has ended, and batches of long texts stay small."""
     wanted = {
+        "spark.sql.parquet.columnarReaderBatchSize": "512",
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -59,7 +77,7 @@ def stage(df: DataFrame, label: str, *, files: int | None = None, **options) ->
     """
     spark, schema, path = df.sparkSession, df.schema, fresh_path(df.sparkSession, label)
     with frugal(spark):
-        (df if files is None else df.coalesce(files)).write.options(**options).parquet(path)
+        (df if files is None else df.coalesce(files)).write.options(**{"parquet.block.size": str(32 << 20)} | options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -108,10 +108,19 @@ def candidate_starts(samples: np.ndarray, shared: np.ndarray, lengths: np.ndarra
     first, last = (ends - lengths)[doc], ends[doc] - width
     lo, hi = np.maximum(places - (PERIOD - 1), first), np.minimum(places, last)
     ok = lo <= hi
-    marks = np.zeros(total + 1, np.int32)
-    np.add.at(marks, lo[ok], 1)
-    np.add.at(marks, hi[ok] + 1, -1)
-    return np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int32) > 0)
+    return np.flatnonzero(_mask(lo[ok], hi[ok] + 1, total))
+
+
+def _mask(lo: np.ndarray, hi: np.ndarray, total: int) -> np.ndarray:
+    """Which of ``total`` places lie in a stretch from lo to hi; both ends ascend from stretch to stretch."""
+    marks = np.zeros(total + 1, np.int8)
+    if len(lo):
+        new = np.ones(len(lo), bool)
+        new[1:] = lo[1:] > hi[:-1]  # a stretch that touches the one before goes on with it
+        head = np.flatnonzero(new)
+        marks[lo[head]] = 1
+        marks[np.minimum(hi[np.append(head[1:], len(lo)) - 1], total)] = -1
+    return np.cumsum(marks[:total], dtype=np.int8).view(bool)
 
 
 def covered_spans(starts: np.ndarray, lengths: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
@@ -195,11 +204,8 @@ def _in_order(names: np.ndarray, n_ranges: int, answers: dict[int, bytes], plane
 
 
 def _under(places: np.ndarray, length: int, total: int) -> np.ndarray:
-    """Which of ``total`` places lie in a stretch of ``length`` from one of the places."""
-    marks = np.zeros(total + length + 1, np.int32)
-    np.add.at(marks, places, 1)
-    np.add.at(marks, places + length, -1)
-    return np.cumsum(marks, dtype=np.int32)[:total] > 0
+    """Which of ``total`` places lie in a stretch of ``length`` from one of the sorted places."""
+    return _mask(places, places + length, total)
 
 
 _SLIM = "rid long, doc_id long, d1 long, d2 long, n_bytes long"
