@@ -99,13 +99,19 @@ class Encoder:
     def _word(self, u: str) -> bytes | None:
         """A unit of Latin letters and final stops: two pieces at most for the merges, no splitting needed."""
         core = u.rstrip(".,;:!?")
-        if not core.isalpha() or not (core.isascii() or max(core) < "\u0250"):
+        letters, stops = core, u[len(core) :]
+        first = core[:1] == "\n"
+        if first:
+            letters = core[1:]
+        if len(stops) > 8 or not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0250"):
             return None
-        letters = core if core.isascii() else core.encode().decode("latin-1").translate(_VISIBLE)
-        code = _packed([t.id for t in self._merge("\u0120" + letters)])
-        if len(core) == len(u):
+        code = (self._new.get(core) or self._old.get(core)) if stops else None
+        if code is None:
+            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_VISIBLE)
+            code = _packed([t.id for t in self._merge(shown if first else "\u0120" + shown)])
+            code = self._seed["\n"] + code if first else code
+        if not stops:
             return code
-        stops = u[len(core) :]
         if stops not in self._stops:
             self._stops[stops] = self._whole(stops).tobytes()
         return code + self._stops[stops]
