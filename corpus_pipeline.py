@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import linededup, minhash, mixing, packing, quality
-from tallyforge.llm.staging import col, fresh_name, fresh_path
+from tallyforge.llm.staging import col, drop_path, fresh_name, fresh_path, workspace
 from tallyforge.llm.tokens import default_path
 
 
@@ -48,11 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; every result between is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table of documents; every result between is written in the shared folder, read
+    again, and removed when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name.replace(" ", "-"))
-        done = stage(spark, docs, sf_dir)
-        done.write.parquet(path)
+        with workspace(spark):  # what the stage wrote on its way goes when its result is written
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(path)
         docs = spark.read.schema(done.schema).parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,6 +46,12 @@ def arm_label(kind, arm, model=None) -> Column:
     return F.when(F.lower(c(kind)) == "human", F.lit("human")).otherwise(F.coalesce(label, F.lit("machine")))
 
 
+def prefixed_arm(kind, arm, model) -> Column:
+    """The label of older tables: 'human', else model/arm whatever the two hold, so an arm with its model has it twice."""
+    part = lambda x: F.coalesce(c(x), F.lit(""))
+    return F.when(F.lower(c(kind)) == "human", F.lit("human")).otherwise(F.concat(part(model), F.lit("/"), part(arm)))
+
+
 def event_key(event) -> Column:
     return F.translate(F.lower(F.trim(c(event))), "_", "-")
 

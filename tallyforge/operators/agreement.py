@@ -92,7 +92,7 @@ def consensus(rows: DataFrame, primary: str, item=("event", "sitrep_id", "slot_i
 
 def missingness(rows: DataFrame, judges: DataFrame, item=("event", "sitrep_id", "slot_id")) -> DataFrame:
     """For each judge the items that some judge has and it lacks, with its three slots that lack most."""
-    every = rows.select(*item).distinct().join(F.broadcast(judges), how="cross")  # judges: a handful of names
+    every = rows.select(*item).distinct().join(judges, how="cross")  # a handful of names; Spark broadcasts them when their size allows it
     gone = every.join(rows.select(*item, "judge"), [*item, "judge"], "left_anti")
     by_slot = gone.groupBy("judge", "slot_id").agg(F.count("*").alias("n"))
     order = Window.partitionBy("judge").orderBy(F.desc("n"), "slot_id")

@@ -1,8 +1,8 @@
 """The life cycle of model calls: resolve, hash, cache, gate, call, settle, log; at once or as a batch that is polled.
 
-All state lies in one shared folder as Parquet: ``cache`` (responses by hash, partitioned by its first two digits),
-``log`` (a row a call, never with its text) and ``batches`` (a table of request states for each submission). A
-provider is a function over one request that returns a response dict, and runs on the executors.
+All state lies in one shared folder as Parquet: ``cache`` (responses by hash), ``log`` (a row a call, never with its
+text) and ``batches`` (a table of request states for each submission). A provider is a function over one request
+that returns a response dict, and runs on the executors.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ FIELDS = (
     ("attempts", "int"), ("latency_s", "double"), ("error", "string"),
 )
 RECORD = ", ".join(f"{name} {kind}" for name, kind in FIELDS)
-_CACHED = f"request_hash string, {RECORD}, prefix string"
+_CACHED = f"request_hash string, {RECORD}"
 _BATCHED = f"request_hash string, model string, provider string, model_id string, system string, user string, max_tokens int, state string, {RECORD}"
 _TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 #: What an unset model id is called, and the id patterns of providers, first match counts.
@@ -160,8 +160,8 @@ class Calls:
         priced = self._cost_of(fresh)
         real = F.when(F.col("error").isNull(), F.coalesce("cost_usd", F.lit(self.unknown_usd))).otherwise(0.0)
         self.budget.settle(projected, priced.agg(F.coalesce(F.sum(real), F.lit(0.0))).first()[0])
-        good = fresh.filter("error IS NULL AND NOT refused").select("request_hash", *(n for n, _ in FIELDS), F.substring("request_hash", 1, 2).alias("prefix"))
-        good.write.mode("append").partitionBy("prefix").parquet(f"{self.folder}/cache")
+        good = fresh.filter("error IS NULL AND NOT refused").select("request_hash", *(n for n, _ in FIELDS))
+        good.coalesce(self.max_concurrency).write.mode("append").parquet(f"{self.folder}/cache")
         self._log(priced, mode, batch_id)
 
     def _log(self, priced: DataFrame, mode: str, batch_id: str | None = None) -> None:
@@ -172,7 +172,7 @@ class Calls:
 
     def cached(self) -> DataFrame:
         """A response for each hash that the cache holds."""
-        return self._table("cache", _CACHED).drop("prefix").dropDuplicates(["request_hash"])
+        return self._table("cache", _CACHED).dropDuplicates(["request_hash"])
 
     def complete_many(self, requests: DataFrame, *, use_cache: bool = True) -> DataFrame:
         """Every request (model, system, user, max_tokens and any other columns) with its response.

@@ -14,9 +14,19 @@ from .ranking import order_clusters, prevalence, top_names
 VectorProvider = Callable[[DataFrame], DataFrame]
 
 
+#: Terms of a vocabulary that vectors are spread over; the codes of a schema have a few thousand.
+MAX_TERMS = 50_000
+
+
 def dense_tfidf(weights: DataFrame, id_col: str = "id") -> DataFrame:
-    """TF-IDF rows (id, term, weight) as vectors over the sorted vocabulary; for the few hundred codes of a schema."""
-    terms = weights.select("term").distinct().agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    """TF-IDF rows (id, term, weight) as vectors over the sorted vocabulary; for the few hundred codes of a schema.
+
+    A vocabulary beyond MAX_TERMS raises: the vectors would grow with it.
+    """
+    distinct = weights.select("term").distinct()
+    if (n := distinct.count()) > MAX_TERMS:
+        raise ValueError(f"{n} terms; dense vectors are for at most {MAX_TERMS}")
+    terms = distinct.agg(F.array_sort(F.collect_list("term")).alias("terms"))
     rows = weights.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
     return rows.join(F.broadcast(terms), how="cross").select(id_col, F.transform("terms", lambda t: F.coalesce(F.try_element_at("w", t), F.lit(0.0))).alias("v"))  # one row
 
@@ -31,6 +41,23 @@ def embed(texts: DataFrame, provider: VectorProvider | None, fallback: Callable[
     return fallback(texts), "lexical-tfidf"
 
 
+def embed_cached(texts: DataFrame, provider: VectorProvider, path: str, model: str) -> DataFrame:
+    """(id, v) by a provider that sees each distinct text once, ever: vectors are kept by model and digest below ``path``."""
+    spark = texts.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    schema = "digest string, v array<double>, model string"
+    known = (spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)).filter(F.col("model") == model)
+    keyed = texts.select("id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    new = keyed.join(known.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    if new.limit(1).count():
+        made = provider(new.select(F.col("digest").alias("id"), "text")).select(F.col("id").alias("digest"), F.col("v").cast("array<double>").alias("v"))
+        made.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
+        known = spark.read.schema(schema).parquet(path).filter(F.col("model") == model)
+    vectors = known.dropDuplicates(["digest"]).select("digest", "v")  # two runs may have written one text
+    return keyed.join(vectors, "digest").select("id", "v")
+
+
 def candidate_slots(members: DataFrame, n_documents: int, *, max_candidates: int = 25, min_codes: int = 1) -> DataFrame:
     """Ordered clusters with prevalence, their most frequent names and whether they are kept."""
     clusters = order_clusters(members, max_candidates, min_codes)

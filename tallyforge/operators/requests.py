@@ -180,7 +180,7 @@ def report_user(posts: str = "posts", n: str = "n_posts", day: str = "day", guid
 
 def judge_requests(documents: DataFrame, slots: DataFrame, model: str, max_tokens: int = 512) -> DataFrame:
     """One request for each document and slot."""
-    pairs = documents.join(F.broadcast(slots), how="cross")  # a schema of a few dozen slots
+    pairs = documents.join(slots, how="cross")  # a schema of a few dozen slots; Spark broadcasts them when their size allows it
     return pairs.select("event", "sitrep_id", "slot_id", F.lit(model).alias("model"), F.lit("You judge reports.").alias("system"), judge_user().alias("user"), F.lit(max_tokens).alias("max_tokens"))
 
 

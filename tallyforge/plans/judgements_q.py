@@ -275,6 +275,15 @@ def _(spark, sf):
     return X.judgements(spark, sf).groupBy(S.usable("status", "verdict").alias("usable")).agg(F.count("*").alias("n"))
 
 
+@query("c04_prefixed_arms", f"""WITH {J} SELECT label, count(*) AS n FROM (SELECT CASE WHEN kind = 'human' THEN 'human' ELSE coalesce(CASE WHEN _seq % 5 > 0 THEN 'g' || _seq % 3 END, '') || '/' || CASE WHEN _seq % 2 = 0 THEN 'g' || _seq % 3 || '/' || arm ELSE arm END END AS label FROM j) GROUP BY label""")
+def _(spark, sf):
+    i = F.col("_seq")
+    model = F.concat(F.lit("g"), (i % 3).cast("string"))
+    arm = F.when(i % 2 == 0, F.concat(model, F.lit("/"), "arm")).otherwise(F.col("arm"))
+    rows = X.judgements(spark, sf).select(S.prefixed_arm(F.col("kind"), arm, F.when(i % 5 > 0, model)).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("c03_arm_labels", f"WITH {J} SELECT kind, arm, count(*) AS n FROM j GROUP BY ALL")
 def _(spark, sf):
     return X.judgements(spark, sf).groupBy("kind", "arm").agg(F.count("*").alias("n"))

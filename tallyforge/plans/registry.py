@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import joins_q, judgements_q, scalars_q, stats_q, text_q  # noqa: F401
+    from . import calls_q, joins_q, judgements_q, scalars_q, sources_q, stats_q, text_q  # noqa: F401
 
 
 load()

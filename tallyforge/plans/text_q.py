@@ -188,12 +188,28 @@ def _(spark, sf):
     return K.cluster(e, 0.6, "topic").select("topic", "id", "label")
 
 
-@query("k06_rouge")
-def _(spark, sf):
+def _turns(spark, sf):
     c = table(spark, sf, "conversations")
     u = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("candidate"))
-    return K.add_rouge(a.join(u, ["conv_id", "turn"])).select("conv_id", "turn", "rouge_l_p", "rouge_l_r", "rouge_l_f")
+    return a.join(u, ["conv_id", "turn"])
+
+
+#: The longest common subsequence by rows of its table: a row is the running maximum of what its word adds to the one before.
+@query("k06_rouge", """WITH RECURSIVE x AS (SELECT a.conv_id, u.turn, a.text AS said, regexp_extract_all(lower(coalesce(a.text, '')), '[a-z0-9]+') AS c, regexp_extract_all(lower(coalesce(u.text, '')), '[a-z0-9]+') AS r
+  FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.role = 'assistant' AND u.role = 'user' AND u.turn = a.turn - 1),
+l(conv_id, turn, c, r, i, line) AS (SELECT conv_id, turn, c, r, 0, list_transform(r, lambda w: 0) FROM x UNION ALL
+  SELECT conv_id, turn, c, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(part[1:j])) FROM
+    (SELECT *, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN r[j] = c[i + 1] THEN (CASE WHEN j = 1 THEN 0 ELSE line[j - 1] END) + 1 ELSE line[j] END) AS part FROM l WHERE i < len(c))),
+n AS (SELECT conv_id, turn, len(c) AS nc, len(r) AS nr, coalesce(line[len(line)], 0) AS n FROM l WHERE i = len(c))
+SELECT conv_id, turn, CASE WHEN nc > 0 AND nr > 0 THEN round(n / nc, 6) ELSE 0.0 END AS rouge_l_p, CASE WHEN nc > 0 AND nr > 0 THEN round(n / nr, 6) ELSE 0.0 END AS rouge_l_r, CASE WHEN n > 0 THEN round(2.0 * n / (nc + nr), 6) ELSE 0.0 END AS rouge_l_f FROM n""")
+def _(spark, sf):
+    return K.add_rouge(_turns(spark, sf), stem=False).select("conv_id", "turn", "rouge_l_p", "rouge_l_r", "rouge_l_f")
+
+
+@query("x_rouge_stemmed")
+def _(spark, sf):
+    return K.add_rouge(_turns(spark, sf)).select("conv_id", "turn", "rouge_l_p", "rouge_l_r", "rouge_l_f")
 
 
 @query("k08_jaccard", """WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9''-]{2,}'), lambda w: w NOT IN
@@ -205,7 +221,7 @@ def _(spark, sf):
     return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", N.jaccard(F.col("t"), F.col("u")).alias("jaccard"))
 
 
-@query("a15_pages")
+@query("x_page_texts")
 def _(spark, sf):
     from ..sources.html import page
 

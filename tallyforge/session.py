@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -38,6 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path that nothing uses, in the folder that all nodes share.
+
+    That is spark.checkpoint.dir. Where it is unset, a local session takes a temporary folder once, and a cluster raises.
+    """
+    context = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not conf:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context._jsc.sc().isLocal():
+                raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
+        conf = context._jsc.sc().getCheckpointDir().get()
+    return f"{conf}/{label}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives this package to the session's Python workers, wherever the driver was started; once a context."""
     context = spark.sparkContext

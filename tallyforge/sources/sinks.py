@@ -86,8 +86,9 @@ def write_partitions(rows: DataFrame, path: str, by) -> None:
 
 def smoke_path(path: str) -> str:
     """A name beside the full table's, so a partial run cannot replace it."""
-    p = Path(path)
-    return str(p.with_name(f"{p.stem}_smoke{p.suffix}"))
+    folder, slash, name = path.rpartition("/")  # a path of any file system
+    stem, dot, suffix = name.rpartition(".")
+    return f"{folder}{slash}{stem}_smoke{dot}{suffix}" if stem else f"{path}_smoke"
 
 
 def blind_sheet(sample: DataFrame, slots: DataFrame) -> DataFrame:
