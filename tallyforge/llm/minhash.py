@@ -273,9 +273,9 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
     groups = spark.createDataFrame([], "node long, component long")
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
     centre = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n"))
-    centre = centre.filter("n > 1").select(F.col("key").alias("k"), "c", "n")
-    stars = keyed.join(centre, F.col("key") == F.col("k")).groupBy("node", "size", F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"))
-    stars = stage(stars.agg(F.max("n").alias("n")), "stars", files=files)
+    centre = centre.filter("n > 1").select(F.col("key").alias("k"), "c")
+    stars = keyed.join(centre, F.col("key") == F.col("k")).select("node", "size", F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"))
+    stars = stage(stars.distinct(), "stars", files=files)
     members = stage(stars.select(F.col("node").alias("n")).distinct(), "bucket-nodes", files=files)
     texts = stage(slim.join(if_small(members, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi"), "bucket-texts", compression="zstd")
     rest = stage(nodes.join(if_small(members, BROADCAST_IDS), F.col("node") == F.col("n"), "left_semi"), "bucket-bands", files=files)
@@ -284,7 +284,7 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
         if number:
             stars = _two_band_stars(rest, groups, links, number)
         pairs = stars.filter(f"node <> centre AND 100 * least(size, c_size) >= {percent} * greatest(size, c_size)")
-        pairs = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"), F.greatest(F.lit(1), F.col("n") / STAR_TEXTS).cast("int").alias("salts"))
+        pairs = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"))
         if tested is not None:  # in either order
             before = tested.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
             pairs = pairs.join(before, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
@@ -303,9 +303,10 @@ def _groups(nodes: DataFrame, slim: DataFrame, k: int, percent: int, files: int)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a centre, b member) that are links. A centre with many members is cut by salt, and each part
-    gets the centre's text once."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    """The pairs (a centre, b member) that are links. A centre with many members, from whatever buckets, is cut by
+    salt, and each part gets the centre's text once."""
+    parts = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / STAR_TEXTS).alias("salts"))
+    salted = pairs.join(parts, F.col("a") == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
     member = salted.join(texts.select(F.col("did").alias("b_did"), "text"), F.col("b") == F.col("b_did")).select("a", "salt", F.lit(1).alias("member"), "b", "text")
     centre = salted.select("a", "salt").distinct().join(texts.select(F.col("did").alias("a_did"), "text"), F.col("a") == F.col("a_did"))
     rows = member.union(centre.select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), "text"))
@@ -314,7 +315,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def _two_band_stars(rest: DataFrame, groups: DataFrame, links: DataFrame, number: int) -> DataFrame:
-    """(node, size, centre, c_size, n): one member of each component in every bucket of two bands."""
+    """(node, size, centre, c_size): one member of each component in every bucket of two bands."""
     rows = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if number == 1:
         degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
@@ -325,8 +326,8 @@ def _two_band_stars(rest: DataFrame, groups: DataFrame, links: DataFrame, number
     rows = rows.select("node", "size", "component", "first", "bands", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("key", second))
     sent = rows.groupBy("key", "component").agg(F.min(F.struct("first", "node", "size")).alias("m"))
     centre = sent.groupBy(F.col("key").alias("k")).agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1")
-    stars = sent.join(centre, F.col("key") == F.col("k")).groupBy(F.col("m.node").alias("node"), F.col("m.size").alias("size"), F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"))
-    return stars.agg(F.max("n").alias("n"))
+    stars = sent.join(centre, F.col("key") == F.col("k"))
+    return stars.select(F.col("m.node").alias("node"), F.col("m.size").alias("size"), F.col("c.node").alias("centre"), F.col("c.size").alias("c_size")).distinct()
 
 
 def _open_buckets(rest: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
