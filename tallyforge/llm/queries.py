@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, mixing, packing, quality, sharding, suffix, topk, urlfilter, wavelet
+from . import linededup, minhash, mixing, packing, phrases, quality, sharding, simhash, suffix, topk, urlfilter, vectorcodes, wavelet
 from .tokens import default_path
 
 #: The rules that the URL contract names.
@@ -84,6 +84,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.product_codes(_table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return vectorcodes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 _WS = r"\x20\x09-\x0D"
@@ -229,6 +247,44 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least_id, t.
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN m ON m.a = t.doc_id
 """
 
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+p AS (SELECT rid, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT s.lang, s.phrase FROM c s JOIN c t ON s.lang = t.lang AND t.k > s.k AND 100 * t.a >= 100 * s.a AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+o AS (SELECT *, unnest(range(1, k)) AS cut FROM c ANTI JOIN x USING (lang, phrase)),
+s AS (SELECT o.lang, o.phrase, a, l.c AS l, r.c AS r, n, cut, ((1000::HUGEINT * a * n) // (l.c::HUGEINT * r.c))::BIGINT AS score FROM o
+  JOIN f l ON l.lang = o.lang AND l.phrase = array_to_string(w[:cut], ' ') JOIN f r ON r.lang = o.lang AND r.phrase = array_to_string(w[cut + 1:], ' ') JOIN n ON n.lang = o.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM m
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds written out: x has a row for each part, cI the codebooks after round I."""
+    gap = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [f"c0 AS (SELECT p, e, v FROM x JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS e FROM k ORDER BY vec_id NULLS LAST LIMIT {entries}) USING (rid))"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT x.rid, x.p, min({{'d': {gap}, 'e': c.e}}) AS m FROM x JOIN c{i} c ON c.p = x.p GROUP BY x.rid, x.p)")
+        if i < rounds:
+            steps.append(f"u{i} AS (SELECT p, e, list(floor(s::DOUBLE / n)::BIGINT ORDER BY j) AS v FROM (SELECT x.p, m.e AS e, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM x JOIN a{i} a ON a.rid = x.rid AND a.p = x.p, (SELECT unnest(range(1, 9)) AS j) GROUP BY ALL) GROUP BY p, e)")
+            steps.append(f"c{i + 1} AS (SELECT c.p, c.e, coalesce(u.v, c.v) AS v FROM c{i} c LEFT JOIN u{i} u ON u.p = c.p AND u.e = c.e)")
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT rid, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS p)),
+{", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)},
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN r USING (rid), b
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": _OP1,
     "op2_mixing": _OP2,
@@ -238,4 +294,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_minhash_dedup": _OP9,
     "op6_quality_rules": _OP6,
     "op10_url_filters": _OP10,
+    "op11_vector_codes": _op11(),
+    "op13_collocations": _OP13,
 }
