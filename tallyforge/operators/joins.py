@@ -19,37 +19,64 @@ def join_scores(metrics: DataFrame, scores: DataFrame, key: str = "sitrep_id", s
     return metrics.join(last.filter(F.col(score).isNotNull()), key, "inner")
 
 
+#: Parts of a day's references whose smallest ids are found first.
+DAY_SALTS = 16
+
+
+def _reference_days(human: DataFrame, k: int) -> DataFrame:
+    """(h_event, h_day, refs, at): the k smallest ids of each day of an event, and the day's place among the event's days."""
+    part = Window.partitionBy("event", "day", F.pmod(F.xxhash64("id"), F.lit(DAY_SALTS))).orderBy("id")
+    first = human.filter("event IS NOT NULL AND day IS NOT NULL").withColumn("__n", F.row_number().over(part)).filter(F.col("__n") <= k)
+    days = first.groupBy(F.col("event").alias("h_event"), F.col("day").alias("h_day")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, k).alias("refs"))
+    return days.withColumn("at", F.row_number().over(Window.partitionBy("h_event").orderBy("h_day")))
+
+
+def _asked_days(machine: DataFrame, days: DataFrame, k: int) -> DataFrame:
+    """(event, day, near): for each day that a machine report has, up to k reference days before (the day itself
+    included) and k after, as (distance, gap, refs), nearest first and the earlier of a tie first."""
+    asked = machine.filter("event IS NOT NULL AND day IS NOT NULL").select("event", "day").distinct()
+    both = asked.withColumn("h", F.lit(0)).union(days.select("h_event", "h_day", F.lit(1)))
+    merged = Window.partitionBy("event").orderBy("day", F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("upto", F.sum("h").over(merged)).filter("h = 0")
+    placed = placed.withColumn("place", F.explode(F.sequence(F.col("upto") - (k - 1), F.col("upto") + k)))
+    near = placed.join(days, (F.col("event") == F.col("h_event")) & (F.col("place") == F.col("at"))).withColumn("gap", F.datediff("h_day", "day"))
+    return near.groupBy("event", "day").agg(F.sort_array(F.collect_list(F.struct(F.abs("gap").alias("off"), "gap", "refs"))).alias("near"))
+
+
 def nearest_references(
     machine: DataFrame, human: DataFrame, *, window_days: int = 3, max_refs: int = 3, event_fallback: bool = False
 ) -> DataFrame:
     """Human references of each machine report: same day, else nearest within the window, else the event's.
 
     Both sides have id, event and day. One row for each reference, or one with a null reference and
-    rule 'none'. The window is an equi-join on event and day bucket, so a busy event is not squared.
+    rule 'none'. Reports of one event and day have one answer, so both sides are reduced to days before they meet: a day
+    of references keeps its max_refs smallest ids, the days of an event (no more than a calendar has) are merged in order, and
+    a day asked for meets 2 * max_refs days by their places. An undated report has the event's first references.
     """
-    width = max(window_days, 1)
-    bucket = F.floor(F.unix_date("day") / width)
-    h = human.filter("day IS NOT NULL").select(F.col("id").alias("ref_id"), F.col("event").alias("h_event"), F.col("day").alias("ref_day"))
-    h = h.withColumn("hb", F.floor(F.unix_date("ref_day") / width))
+    k = max_refs
+    days = _reference_days(human, k)
+    asked = _asked_days(machine, days, k)
+    inside = F.filter("near", lambda x: x["off"] <= window_days)
+    same = F.col("near")[0]["gap"] == 0
+    tier = F.when(same, 0).when(F.size(inside) > 0, 1).otherwise(2)
+    chosen = F.when(same, F.slice("near", 1, 1)).when(F.size(inside) > 0, inside)
+    chosen = chosen.otherwise(F.col("near") if event_fallback else F.slice("near", 1, 0))
+    refs = F.flatten(F.transform(chosen, lambda x: F.transform(x["refs"], lambda r: F.struct(r.alias("ref_id"), x["gap"].alias("gap")))))
+    answers = asked.select(F.col("event").alias("a_event"), F.col("day").alias("a_day"), tier.alias("tier"), F.slice(refs, 1, k).alias("refs"))
     m = machine.select("id", "event", "day")
-    near = m.filter("day IS NOT NULL").withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    gap = F.datediff("ref_day", "day")
-    found = near.join(h, (F.col("event") == F.col("h_event")) & (F.col("b") == F.col("hb")) & (F.abs(gap) <= window_days))
-    found = found.withColumn("gap", gap).withColumn("tier", F.when(F.col("gap") == 0, 0).otherwise(1))
-    found = found.select("id", "ref_id", "gap", "tier")
+    found = m.filter("day IS NOT NULL").join(answers, (F.col("event") == F.col("a_event")) & (F.col("day") == F.col("a_day")), "left")
+    found = found.select("id", "tier", "refs")
+    undated = m.filter("day IS NULL")
     if event_fallback:
-        rest = m.join(found.select("id").distinct(), "id", "left_anti")
-        order = Window.partitionBy("h_event").orderBy("ref_day", "ref_id")
-        dated = rest.filter("day IS NOT NULL").join(h, F.col("event") == F.col("h_event")).select("id", "ref_id", gap.alias("gap"), F.lit(2).alias("tier"))
-        first = h.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max_refs)
-        undated = rest.filter("day IS NULL").join(first, F.col("event") == F.col("h_event"))
-        undated = undated.select("id", "ref_id", F.lit(None).cast("int").alias("gap"), F.lit(2).alias("tier"))
-        found = found.unionByName(dated).unionByName(undated)
-    best = Window.partitionBy("id").orderBy("tier", F.abs("gap"), "gap", "ref_id")
-    tier = F.min("tier").over(Window.partitionBy("id"))
-    kept = found.withColumn("least", tier).filter("tier = least").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_refs)
-    names = F.when(F.col("tier") == 0, "same_day").when(F.col("tier") == 1, "window").when(F.col("tier") == 2, "event").otherwise("none")
-    return m.select("id").join(kept.drop("least"), "id", "left").select("id", "rank", "ref_id", "gap", names.alias("rule"))
+        first = days.filter(F.col("at") <= k).groupBy("h_event").agg(F.sort_array(F.collect_list(F.struct("h_day", "refs"))).alias("first"))
+        pairs = F.flatten(F.transform("first", lambda x: F.transform(x["refs"], lambda r: F.struct(r.alias("ref_id"), F.lit(None).cast("int").alias("gap")))))
+        undated = undated.join(first, F.col("event") == F.col("h_event"), "left").select("id", F.lit(2).alias("tier"), F.slice(pairs, 1, k).alias("refs"))
+        found = found.union(undated)
+    else:
+        found = found.unionByName(undated.select("id"), allowMissingColumns=True)
+    names = F.when(F.col("ref_id").isNull(), "none").when(F.col("tier") == 0, "same_day").when(F.col("tier") == 1, "window").otherwise("event")
+    flat = found.select("id", "tier", F.posexplode_outer("refs").alias("pos", "r"))
+    return flat.select("id", (F.col("pos") + 1).alias("rank"), F.col("r.ref_id").alias("ref_id"), F.col("r.gap").alias("gap"), "tier").select("id", "rank", "ref_id", "gap", names.alias("rule"))
 
 
 def figure_sets(reports: DataFrame, by, figures: str = "figures") -> DataFrame:

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import least_sums, number_rows, written
+
 SEED = 17
+#: Pairs of a group up to which one task counts them for Kendall's tau; a larger group is counted over ranges.
+WHOLE_GROUP = 1 << 18
+#: Ranges of a large group: their grid, this number squared, is summed in one task.
+RANGES = 512
+#: Pairs of a range at least.
+LEAST_RANGE = 1 << 17
 
 
 def percentile(column, q: float) -> Column:
@@ -49,17 +59,104 @@ def spearman(rows: DataFrame, x: str, y: str, by=()) -> DataFrame:
     return stats.withColumn("p_value", _t_p(F.col("rho"), F.col("n")))
 
 
-def kendall(rows: DataFrame, x: str, y: str, by=()) -> DataFrame:
-    """n, tau-b and its two-sided p of every group, by merge-sort counting in O(n log n) a group."""
+def kendall(rows: DataFrame, x: str, y: str, by=(), *, whole: int = WHOLE_GROUP) -> DataFrame:
+    """n, tau-b and its two-sided p of every group, in O(n log n).
+
+    Groups of up to ``whole`` pairs are counted in one task each, larger ones over ranges, with the same result.
+    """
+    by = list(by)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean_pairs(rows, x, y, by).schema.fields if f.name in by)
+    out = f"{types + ', ' if types else ''}n long, tau double, p_value double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         tau, p = kendall_tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        out = {b: [pdf[b].iloc[0]] for b in by} | {"n": [len(pdf)], "tau": [tau], "p_value": [p]}
-        return pd.DataFrame(out)
+        return pd.DataFrame({b: [pdf[b].iloc[0]] for b in by} | {"n": [len(pdf)], "tau": [tau], "p_value": [p]})
 
     pairs = clean_pairs(rows, x, y, by)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in by)
-    return pairs.groupBy(*by).applyInPandas(one, f"{types + ', ' if types else ''}n long, tau double, p_value double")
+    large = pairs.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > whole)
+    if large.limit(1).count() == 0:
+        return pairs.groupBy(*by).applyInPandas(one, out)
+    if not by:
+        return _kendall_by_ranges(pairs, by).select("n", "tau", "p_value")
+    # A null key is a group like any other, so the two sides are told apart by a null-safe join.
+    names = [F.col(b).alias(f"__l{i}") for i, b in enumerate(by)]
+    of = functools.reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__l{i}")) for i, b in enumerate(by)))
+    large = F.broadcast(large.select(*names))  # fewer than a row for each `whole` pairs
+    small = pairs.join(large, of, "left_anti").groupBy(*by).applyInPandas(one, out)
+    return small.union(_kendall_by_ranges(pairs.join(large, of, "left_semi"), by).select(*by, "n", "tau", "p_value"))
+
+
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs out of order among distinct integers: at each bit from the highest, the ones before each zero of equal higher bits."""
+    r = np.argsort(np.argsort(ranks, kind="stable"), kind="stable")
+    total = 0
+    for bit in range(int(len(r)).bit_length() - 1, -1, -1):
+        ones = (r >> bit) & 1
+        head = r >> (bit + 1)  # rows of one head are contiguous, in their order
+        before = np.cumsum(ones) - ones
+        new = np.ones(len(r), bool)
+        new[1:] = head[1:] != head[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+        total += int((before - before[start])[ones == 0].sum())
+        r = r[np.lexsort((np.arange(len(r)), ones, head))]
+    return total
+
+
+def _kendall_by_ranges(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Tau-b of groups of any size.
+
+    Rows are numbered in the order of x and in that of y, each with the other and then the first number behind ties,
+    so that pairs out of order are exactly the discordant ones. Both orders are cut into ranges. Two rows out of
+    order lie in one x-range, or in one y-range, or in two of each: the first two are counted inside the ranges, a
+    task each, and the last by sums over the grid of counts by x-range and y-range, which a group has once.
+    """
+    px = number_rows(pairs, [*by, "x", "y"], "px")
+    both = number_rows(px, [*by, "y", "px"], "py")
+    size = F.lit(max(LEAST_RANGE, -(-px.count() // RANGES)))
+    ranks = [*by, "px", "py", "a", "b"]
+    both = written(both.withColumn("a", F.expr("px") - F.expr("px") % size).withColumn("b", F.expr("py") - F.expr("py") % size).select(*ranks), "ranges")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name in by)
+    out = f"{types + ', ' if types else ''}swaps decimal(38,0)"
+
+    def swaps(pdf: pd.DataFrame, count) -> pd.DataFrame:
+        return pd.DataFrame({b: [pdf[b].iloc[0]] for b in by} | {"swaps": [Decimal(count)]})
+
+    def in_x(pdf: pd.DataFrame) -> pd.DataFrame:
+        return swaps(pdf, inversions(pdf["py"].to_numpy()[np.argsort(pdf["px"].to_numpy())]))
+
+    def in_y(pdf: pd.DataFrame) -> pd.DataFrame:  # rows of one x-range are in order here, so only those of two count
+        return swaps(pdf, inversions(pdf["py"].to_numpy()[np.lexsort((pdf["py"].to_numpy(), pdf["a"].to_numpy()))]))
+
+    def in_grid(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in ("a", "b"))
+        grid = np.zeros((a.max() + 1, b.max() + 1))
+        grid[a, b] = pdf["n"].to_numpy()
+        above = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1] - grid  # of each x-range, in later y-ranges
+        earlier = np.cumsum(above, axis=0) - above
+        return swaps(pdf, sum(int(p) * int(q) for p, q in zip(grid.ravel(), earlier.ravel(), strict=True)))
+
+    found = both.groupBy(*by, "a").applyInPandas(in_x, out).union(both.groupBy(*by, "b").applyInPandas(in_y, out))
+    found = found.union(both.groupBy(*by, "a", "b").agg(F.count("*").alias("n")).groupBy(*by).applyInPandas(in_grid, out))
+    stats = found.groupBy(*by).agg(F.sum("swaps").alias("swaps"))
+    t = F.col("t").cast("decimal(38,0)")
+    for name, columns in (("x", ["x"]), ("y", ["y"]), ("xy", ["x", "y"])):
+        ties = pairs.groupBy(*by, *columns).agg(F.count("*").alias("t"))
+        total = lambda c: F.sum(c.cast("decimal(38,0)"))
+        ties = ties.groupBy(*by).agg(
+            F.sum("t").alias(f"n{name}"), total(t * (t - 1) / 2).alias(f"t{name}"), total(t * (t - 1) * (t - 2)).alias(f"{name}0"), total(t * (t - 1) * (2 * t + 5)).alias(f"{name}1"), F.count("*").alias(f"d{name}")
+        )
+        if by:
+            named = ties.select(*(F.col(b).alias(f"__{name}{i}") for i, b in enumerate(by)), *(c for c in ties.columns if c not in by))
+            stats = stats.join(named, functools.reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__{name}{i}")) for i, b in enumerate(by))))
+        else:
+            stats = stats.join(ties, how="cross")  # one row each
+
+    @F.pandas_udf("tau double, p_value double")
+    def tau(*columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tau_from_counts(*map(int, row)) for row in zip(*columns, strict=True)], columns=["tau", "p_value"])
+
+    numbers = ["nx", "swaps", "tx", "x0", "x1", "dx", "ty", "y0", "y1", "dy", "txy"]
+    return stats.select(*by, F.col("nx").alias("n"), tau(*(F.col(c).cast("string") for c in numbers)).alias("k")).select(*by, "n", "k.tau", "k.p_value")
 
 
 def _pairs_equal(values: np.ndarray) -> tuple[int, int, int]:
@@ -68,38 +165,23 @@ def _pairs_equal(values: np.ndarray) -> tuple[int, int, int]:
     return int((t * (t - 1)).sum() // 2), int((t * (t - 1) * (t - 2)).sum()), int((t * (t - 1) * (2 * t + 5)).sum())
 
 
-def _inversions(values: list) -> int:
-    """Pairs out of order, by bottom-up merging."""
-    a, count, width = list(values), 0, 1
-    while width < len(a):
-        merged = []
-        for lo in range(0, len(a), 2 * width):
-            left, right = a[lo : lo + width], a[lo + width : lo + 2 * width]
-            i = 0
-            for v in right:
-                while i < len(left) and left[i] <= v:
-                    merged.append(left[i])
-                    i += 1
-                count += len(left) - i
-                merged.append(v)
-            merged.extend(left[i:])
-        a, width = merged, 2 * width
-    return count
-
-
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None]:
     """Tau-b and its p: exact without ties for small samples, else normal; (None, None) when undefined."""
-    n = len(x)
-    if n < 3 or len(np.unique(x)) < 2 or len(np.unique(y)) < 2:
-        return None, None
     order = np.lexsort((y, x))
     y = np.unique(y, return_inverse=True)[1][order]
     x = np.unique(x, return_inverse=True)[1][order]
-    swaps = _inversions(y.tolist())
-    total = n * (n - 1) // 2
+    swaps = inversions(np.argsort(np.lexsort((np.arange(len(y)), y))))  # equal values keep their order
     tx, x0, x1 = _pairs_equal(x)
     ty, y0, y1 = _pairs_equal(y)
     txy = _pairs_equal(np.stack([x, y], axis=1))[0]
+    return tau_from_counts(len(x), swaps, tx, x0, x1, len(np.unique(x)), ty, y0, y1, len(np.unique(y)), txy)
+
+
+def tau_from_counts(n, swaps, tx, x0, x1, dx, ty, y0, y1, dy, txy) -> tuple[float | None, float | None]:
+    """Tau-b and its p from the discordant pairs, the sums over tie groups and the numbers of different values."""
+    if n < 3 or dx < 2 or dy < 2:
+        return None, None
+    total = n * (n - 1) // 2
     score = total - tx - ty + txy - 2 * swaps
     tau = max(-1.0, min(1.0, score / math.sqrt(total - tx) / math.sqrt(total - ty)))
     if tx == 0 and ty == 0 and (n <= 33 or min(swaps, total - swaps) <= 1):
@@ -235,24 +317,24 @@ def bootstrap_difference(rows: DataFrame, value: str, group: str, a: str, b: str
 
 
 def permutation_test(rows: DataFrame, value: str, group: str, a: str, b: str, order: str, *, n_perm: int = 200, seed: int = SEED) -> DataFrame:
-    """Two-sided p of the difference of means: (as extreme + 1) / (permutations + 1)."""
+    """Two-sided p of the difference of means: (as extreme + 1) / (permutations + 1).
+
+    A permutation gives group a the rows with the smallest hashes; their sum is found by selection, not by sorting.
+    """
     pool = rows.filter(F.col(group).isin(a, b)).select(F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("in_a"), F.col(order).cast("string").alias("o"))
     sums = pool.agg(F.count("*").alias("n"), F.count_if("in_a").alias("na"), F.sum("v").alias("sv"), F.sum(F.when(F.col("in_a"), F.col("v"))).alias("sa"))
-    perms = pool.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    shuffled = Window.partitionBy("p").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("p").cast("string"), "o")), "o")
-    ranked = perms.withColumn("rn", F.row_number().over(shuffled)).join(F.broadcast(sums), how="cross")  # one row
-    drawn = ranked.groupBy("p").agg(
-        F.sum(F.when(F.col("rn") <= F.col("na"), F.col("v"))).alias("s"), F.first("na").alias("na"), F.first("n").alias("n"), F.first("sv").alias("sv"), F.first("sa").alias("sa")
-    )
+    perms = pool.join(F.broadcast(sums.select("na")), how="cross").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))  # one row
+    keyed = perms.select("p", "v", "na", F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("p").cast("string"), "o")), "o").alias("key"))
+    drawn = least_sums(keyed, "p", "key", "v", "na").join(F.broadcast(sums), how="cross")  # one row
     gap = lambda s: F.abs(F.col(s) / F.col("na") - (F.col("sv") - F.col(s)) / (F.col("n") - F.col("na")))
     return drawn.agg(((F.count_if(gap("s") >= gap("sa") - 1e-9) + 1) / F.lit(float(n_perm + 1))).alias("p_value"), F.first(gap("sa")).alias("observed"))
 
 
 def bootstrap_rank_correlation(rows: DataFrame, x: str, y: str, order: str, *, n_boot: int = 200, alpha: float = 0.05, seed: int = SEED) -> DataFrame:
     """Percentile interval of Spearman's rho over resampled pairs; degenerate resamples drop out."""
-    at = Window.orderBy(order)
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    numbered = pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.row_number().over(at) - 1).alias("i"))
+    pairs = pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(order).alias("o"))
+    numbered = number_rows(pairs, ["o", "x", "y"]).drop("o")
     n = numbered.agg(F.count("*").alias("n"))
     places = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("j", F.explode(F.expr("sequence(0, cast(n - 1 as int))")))
     drawn = places.withColumn("i", _draw(F.col("n"), F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))).join(numbered, "i")
