@@ -297,7 +297,7 @@ def product_codes(
     components are left out; a null id or label stays null. Codebooks start as the parts of the ``entries`` smallest ids (nulls
     last, rows of one id by their bytes; fewer rows give fewer entries) and are updated ``rounds`` times. All vectors have
     the length of the smallest id's; those of another length come out with a null code and error. A length that parts do not
-    divide is filled up with zeros. Repeated rows count as often as they come. An empty table gives no rows and no
+    divide is filled up with zeros. An error beyond 64 bits is held at their largest number. Repeated rows count as often as they come. An empty table gives no rows and no
     codebooks. Entries are at most 255.
     """
     if not 1 <= entries <= 255 or parts < 1:
