@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FIGURE, SPANS
+from .automaton import Finder, Taken, heads, width
 
 # Word lists, scales and patterns of the two figure definitions and the lexicons.
 
@@ -156,10 +157,9 @@ NEGATIVE_ONLY = (
 SOURCE_WINDOW = 12
 _NUMBER = re.compile(QUANTITY, re.IGNORECASE)
 _NUMBER_DATES = re.compile("|".join(QUANTITY_DATES), re.IGNORECASE)
-#: What every one of the patterns begins with; it is tested once a place, before the patterns are.
-_DATE_HEAD = r"(?=\d|[jfmasond][aepuco][nbrylgptvc]|\b(?:in|since|of|for|during|from|until|by|through)\s)"
-_NUMBER_HEAD = r"(?=no|#|si|fl|is|bu|ve|p)"
-_BLOCKED = tuple(re.compile(f"{head}(?:{'|'.join(patterns)})", re.IGNORECASE) for head, patterns in ((_DATE_HEAD, CONVENTION_DATES), (_NUMBER_HEAD, REPORT_NUMBERS)))
+#: What a date or a report number begins with, whatever its case.
+_DATE_HEADS = [*"0123456789", *sorted({m[:3] for m in MONTHS}), "in", "since", "of", "for", "during", "from", "until", "by", "through"]
+_NUMBER_HEADS = ["no.", "nos.", "#", "sitrep", "situation", "flash", "issue", "bulletin", "version", "page", "p.", "pp."]
 _PLAIN_FIGURE, _AS_OF = re.compile(CONVENTION_FIGURE), re.compile(AS_OF, re.IGNORECASE)
 
 
@@ -187,29 +187,28 @@ def lexicon(entries):
     return [(label, re.compile(p, flag), [n.lower() for n in needles(parse_pattern(p))]) for (label, p, _), flag in zip(entries, flags, strict=True)]
 
 
-_LEXICONS = {"attribution": lexicon(ATTRIBUTION), "agency": lexicon(AGENCIES), "hedge": lexicon(HEDGES), "revision": lexicon(REVISIONS)}
+def _findable(entries):
+    """The lexicon with what matches begin with and the most characters that they have."""
+    parsed = [parse_pattern(p) for _, p, _ in entries]
+    return [(*entry, [h.lower() for h in heads(p)], width(p)) for entry, p in zip(lexicon(entries), parsed, strict=True)]
+
 
+_LEXICONS = {"attribution": lexicon(ATTRIBUTION), "agency": lexicon(AGENCIES), "hedge": lexicon(HEDGES), "revision": lexicon(REVISIONS)}
 
-class _Taken:
-    """Disjoint intervals in order, with a logarithmic overlap test."""
 
-    def __init__(self):
-        self.starts: list[int] = []
-        self.ends: list[int] = []
+def _blocked(name: str, patterns, begins) -> list:
+    whole = "|".join(patterns)
+    return [(name, re.compile(whole, re.IGNORECASE), [], begins, width(parse_pattern(whole)))]
 
-    def free(self, a: int, b: int) -> bool:
-        i = bisect_right(self.starts, a)
-        return not ((i and self.ends[i - 1] > a) or (i < len(self.starts) and self.starts[i] < b))
 
-    def add(self, a: int, b: int) -> None:
-        i = bisect_right(self.starts, a)
-        self.starts.insert(i, a)
-        self.ends.insert(i, b)
+_BLOCKED = {"dates": _blocked("date", CONVENTION_DATES, _DATE_HEADS), "numbers": _blocked("number", REPORT_NUMBERS, _NUMBER_HEADS)}
+_BLOCKED_FINDER = Finder(_BLOCKED)
+_FINDER = Finder({"attribution": _findable(ATTRIBUTION), "agency": _findable(AGENCIES), "hedge": _findable(HEDGES), "revision": _findable(REVISIONS), **_BLOCKED})
 
 
 def lexicon_spans(text: str, entries) -> list[tuple[str, int, int]]:
     """Hits in text order; within a lexicon an earlier entry wins an overlap."""
-    taken, found = _Taken(), []
+    taken, found = Taken(), []
     low = text.lower() if text.isascii() else None  # beyond ASCII, ignoring case is more than lower case
     for label, pattern, words in entries:
         if low is not None and words and not any(w in low for w in words):
@@ -262,9 +261,14 @@ def quantities(text: str | None) -> list[dict]:
     return out
 
 
-def convention_figures(text: str) -> list[tuple[int, int]]:
-    """Numbers that touch no date, time or report number."""
-    blocked = sorted(hit.span() for p in _BLOCKED for hit in p.finditer(text))
+def longest_token(text: str) -> int:
+    return max(map(len, text.split()), default=0)
+
+
+def convention_figures(text: str, hits: dict | None = None) -> list[tuple[int, int]]:
+    """Numbers that touch no date, time or report number; ``hits`` are those of a finder that looked for these, too."""
+    hits = _BLOCKED_FINDER.hits(text, longest_token(text)) if hits is None else hits
+    blocked = sorted((a, b) for name in _BLOCKED for _, a, b in hits[name])
     starts, reach = [a for a, _ in blocked], list(accumulate((b for _, b in blocked), max))
     out = []
     for hit in _PLAIN_FIGURE.finditer(text):
@@ -277,6 +281,8 @@ def convention_figures(text: str) -> list[tuple[int, int]]:
 
 def sourced(text: str, figures, cues, window: int = SOURCE_WINDOW) -> list[bool]:
     """For each figure whether at most ``window`` whole tokens lie between it and some cue."""
+    if not figures or not cues:
+        return [False] * len(figures)
     starts = [t.start() for t in re.finditer(r"\S+", text)]
     token = lambda at: max(0, bisect_right(starts, at) - 1)
     places = sorted((token(a), token(max(a, b - 1))) for _, a, b in cues)
@@ -293,16 +299,17 @@ def sourced(text: str, figures, cues, window: int = SOURCE_WINDOW) -> list[bool]
 def text_stats(text: str | None, window: int = SOURCE_WINDOW) -> dict:
     """All convention counts of one text."""
     text = text or ""
-    hits = {name: lexicon_spans(text, entries) for name, entries in _LEXICONS.items()}
+    tokens = text.split()
+    hits = _FINDER.hits(text, max(map(len, tokens), default=0))
     as_of = [("as_of_date", *hit.span()) for hit in _AS_OF.finditer(text)]
-    figures = convention_figures(text)
+    figures = convention_figures(text, hits)
     cues = hits["attribution"] + hits["agency"]
     terms: dict[str, int] = {}
     for family, spans in (("sourcing", hits["attribution"]), ("agency", hits["agency"]), ("hedge", hits["hedge"]), ("update", as_of + hits["revision"])):
         for label, _, _ in spans:
             terms[f"{family}:{label}"] = terms.get(f"{family}:{label}", 0) + 1
     return {
-        "n_chars": len(text), "n_tokens": len(text.split()), "sourcing_phrases": len(hits["attribution"]), "agency_mentions": len(hits["agency"]),
+        "n_chars": len(text), "n_tokens": len(tokens), "sourcing_phrases": len(hits["attribution"]), "agency_mentions": len(hits["agency"]),
         "sourcing_cues": len(cues), "hedges": len(hits["hedge"]), "hedge_types": len({s[0] for s in hits["hedge"]}), "as_of_dates": len(as_of),
         "revision_markers": len(hits["revision"]), "update_markers": len(as_of) + len(hits["revision"]), "n_figures": len(figures),
         "n_figures_with_source": sum(sourced(text, figures, cues, window)), "terms": terms,
