@@ -157,6 +157,10 @@ NEGATIVE_ONLY = (
 SOURCE_WINDOW = 12
 _NUMBER = re.compile(QUANTITY, re.IGNORECASE)
 _NUMBER_DATES = re.compile("|".join(QUANTITY_DATES), re.IGNORECASE)
+#: What every one of the patterns begins with; it is tested once a place, before the patterns are.
+_DATE_HEAD = r"(?=\d|[jfmasond][aepuco][nbrylgptvc]|\b(?:in|since|of|for|during|from|until|by|through)\s)"
+_NUMBER_HEAD = r"(?=no|#|si|fl|is|bu|ve|p)"
+_BLOCKED = tuple(re.compile(f"{head}(?:{'|'.join(patterns)})", re.IGNORECASE) for head, patterns in ((_DATE_HEAD, CONVENTION_DATES), (_NUMBER_HEAD, REPORT_NUMBERS)))
 #: What a date or a report number begins with, whatever its case.
 _DATE_HEADS = [*"0123456789", *sorted({m[:3] for m in MONTHS}), "in", "since", "of", "for", "during", "from", "until", "by", "through"]
 _NUMBER_HEADS = ["no.", "nos.", "#", "sitrep", "situation", "flash", "issue", "bulletin", "version", "page", "p.", "pp."]
@@ -196,14 +200,11 @@ def _findable(entries):
 _LEXICONS = {"attribution": lexicon(ATTRIBUTION), "agency": lexicon(AGENCIES), "hedge": lexicon(HEDGES), "revision": lexicon(REVISIONS)}
 
 
-def _blocked(name: str, patterns, begins) -> list:
-    whole = "|".join(patterns)
-    return [(name, re.compile(whole, re.IGNORECASE), [], begins, width(parse_pattern(whole)))]
-
-
-_BLOCKED = {"dates": _blocked("date", CONVENTION_DATES, _DATE_HEADS), "numbers": _blocked("number", REPORT_NUMBERS, _NUMBER_HEADS)}
-_BLOCKED_FINDER = Finder(_BLOCKED)
-_FINDER = Finder({"attribution": _findable(ATTRIBUTION), "agency": _findable(AGENCIES), "hedge": _findable(HEDGES), "revision": _findable(REVISIONS), **_BLOCKED})
+_BLOCKED_LEXICONS = {
+    name: [(name, pattern, [], begins, width(parse_pattern(pattern.pattern)))] for name, pattern, begins in zip(("dates", "numbers"), _BLOCKED, (_DATE_HEADS, _NUMBER_HEADS), strict=True)
+}
+_BLOCKED_FINDER = Finder(_BLOCKED_LEXICONS)
+_FINDER = Finder({"attribution": _findable(ATTRIBUTION), "agency": _findable(AGENCIES), "hedge": _findable(HEDGES), "revision": _findable(REVISIONS), **_BLOCKED_LEXICONS})
 
 
 def lexicon_spans(text: str, entries) -> list[tuple[str, int, int]]:
@@ -268,7 +269,7 @@ def longest_token(text: str) -> int:
 def convention_figures(text: str, hits: dict | None = None) -> list[tuple[int, int]]:
     """Numbers that touch no date, time or report number; ``hits`` are those of a finder that looked for these, too."""
     hits = _BLOCKED_FINDER.hits(text, longest_token(text)) if hits is None else hits
-    blocked = sorted((a, b) for name in _BLOCKED for _, a, b in hits[name])
+    blocked = sorted((a, b) for name in _BLOCKED_LEXICONS for _, a, b in hits[name])
     starts, reach = [a for a, _ in blocked], list(accumulate((b for _, b in blocked), max))
     out = []
     for hit in _PLAIN_FIGURE.finditer(text):

@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import to_float
 from .judgements import last_wins
+from .ranges import written
 
 
 def join_scores(metrics: DataFrame, scores: DataFrame, key: str = "sitrep_id", score: str = "completeness", order: str = "_seq") -> DataFrame:
@@ -79,41 +80,39 @@ def nearest_references(
     return flat.select("id", (F.col("pos") + 1).alias("rank"), F.col("r.ref_id").alias("ref_id"), F.col("r.gap").alias("gap"), "tier").select("id", "rank", "ref_id", "gap", names.alias("rule"))
 
 
-def figure_sets(reports: DataFrame, by, figures: str = "figures") -> DataFrame:
-    """Distinct (unit, value) keys by group with whether any occurrence is first tagged casualty."""
-    flat = reports.select(*by, F.posexplode(figures).alias("at", "f"))
-    return flat.groupBy(*by, F.col("f.unit").alias("unit"), F.round("f.value", 6).alias("value")).agg(F.min_by("f.kind", "at").alias("kind"), F.count("*").alias("n"))
+def figure_sets(reports: DataFrame, by, figures: str = "figures", order=()) -> DataFrame:
+    """Distinct (unit, value) keys by group with whether any occurrence is first tagged casualty.
+
+    A group may have several rows; ``order`` puts them in sequence.
+    """
+    flat = reports.select(*by, *order, F.posexplode(figures).alias("at", "f"))
+    return flat.groupBy(*by, F.col("f.unit").alias("unit"), F.round("f.value", 6).alias("value")).agg(F.min_by("f.kind", F.struct(*order, "at")).alias("kind"), F.count("*").alias("n"))
 
 
-def figure_check(machine: DataFrame, human: DataFrame, on=("event", "day"), doc=("id",)) -> DataFrame:
+def figure_check(machine: DataFrame, human: DataFrame, on=("event", "day"), doc=("id",), order=()) -> DataFrame:
     """Occurrences, unique figures, overlap and rates of each machine report against the day's human text.
 
-    Both sides have the on-columns and figures; rates with an empty denominator are null.
+    Both sides have the on-columns and figures; a day's human text may be several rows, in ``order``. Rates with an empty denominator are null.
+    Figures meet in an equi-join, and what a report lacks of its day's is found by subtraction.
     """
-    counts = machine.select(*doc, *on, F.size("figures").alias("n_machine_figures"))
-    totals = human.select(*on, F.size("figures").alias("n_human_figures"))
-    m = figure_sets(machine, (*doc, *on)).withColumnRenamed("kind", "m_kind").drop("n")
-    h = figure_sets(human, on).drop("n")
-    pairs = counts.join(totals, list(on))
-    need = pairs.select(*doc, *on).join(h, list(on))
-    both = m.join(pairs.select(*doc, *on), [*doc, *on], "left_semi").join(need, [*doc, *on, "unit", "value"], "full_outer")
+    casualty = F.col("kind") == "casualty"
+    counts = machine.groupBy(*doc, *on).agg(F.sum(F.size("figures")).alias("n_machine_figures"))
+    m = figure_sets(machine, (*doc, *on)).select(*doc, *on, "unit", "value")
+    h = figure_sets(human, on, order=order).drop("n")
+    totals = human.groupBy(*on).agg(F.sum(F.size("figures")).alias("n_human_figures"))
+    unique = h.groupBy(*on).agg(F.count("*").alias("n_human_unique"), F.count_if(casualty).alias("n_casualty"))
+    of_doc = m.groupBy(*doc, *on).agg(F.count("*").alias("n_machine_unique"))
+    both = m.join(h, [*on, "unit", "value"]).groupBy(*doc, *on).agg(F.count("*").alias("n_overlap"), F.count_if(casualty).alias("n_casualty_overlap"))
+    out = counts.join(totals, list(on)).join(unique, list(on), "left")
+    out = out.join(of_doc, [*doc, *on], "left").join(both, [*doc, *on], "left")
+    out = out.fillna(0, ["n_machine_unique", "n_human_unique", "n_overlap", "n_casualty", "n_casualty_overlap"])
     none = F.lit(0)
-    in_m, in_h = F.col("m_kind").isNotNull(), F.col("kind").isNotNull()
-    stats = both.groupBy(*doc, *on).agg(
-        F.count_if(in_m).alias("n_machine_unique"),
-        F.count_if(in_h).alias("n_human_unique"),
-        F.count_if(in_m & in_h).alias("n_overlap"),
-        F.count_if(F.col("kind") == "casualty").alias("n_casualty"),
-        F.count_if(in_m & (F.col("kind") == "casualty")).alias("n_casualty_overlap"),
-        F.count("*").alias("n_union"),
-    )
-    out = pairs.join(stats, [*doc, *on], "left").fillna(0)
     return out.select(
         *doc, *on, "n_machine_figures", "n_human_figures", "n_machine_unique", "n_human_unique", "n_overlap",
         (F.col("n_overlap") / F.nullif("n_machine_unique", none)).alias("precision"),
         (F.col("n_overlap") / F.nullif("n_human_unique", none)).alias("recall"),
         (F.col("n_casualty_overlap") / F.nullif("n_casualty", none)).alias("casualty_recall"),
-        (F.col("n_overlap") / F.nullif("n_union", none)).alias("jaccard"),
+        (F.col("n_overlap") / F.nullif(F.col("n_machine_unique") + F.col("n_human_unique") - F.col("n_overlap"), none)).alias("jaccard"),
     )
 
 
@@ -145,7 +144,7 @@ def jaccard(a, b):
 
 
 #: Rows of a block of queries and of candidates; a task compares one of each.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 1 << 15
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 1 << 15
 
 
 def _best_of_block(k: int, on, out: pa.Schema):
@@ -166,8 +165,9 @@ def _best_of_block(k: int, on, out: pa.Schema):
         ends, names = np.append(0, np.cumsum(nr)), right.column("candidate").to_numpy()
         order = np.argsort(names, kind="stable")
         best_s, best_n = np.full((len(nl), k), -1.0), np.zeros((len(nl), k), names.dtype)
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
+        step = max(16, (1 << 18) // len(nl))  # a table of so many counts at a time
+        for at in range(0, len(order), step):
+            rows = order[at : at + step]
             mine = [known[ends[r] : ends[r + 1]] for r in rows.tolist()]
             which = np.repeat(np.arange(len(rows)), [len(m) for m in mine])
             flat = np.concatenate(mine)
@@ -189,22 +189,82 @@ def _best_of_block(k: int, on, out: pa.Schema):
     return run
 
 
-def top_similar(left: DataFrame, right: DataFrame, on, *, k: int = 3) -> DataFrame:
-    """The k most similar right rows of each left row in its group, by term Jaccard, then smaller id.
+#: Rows that a query's rarest terms may give for its first floor, for each of the k.
+FIRST_LOOK = 16
+#: The share of a group's rows that a query may meet by its terms; one that would meet more is compared with all of them, in blocks.
+MEET = 0.05
 
-    left has id, the on-columns and distinct terms; right likewise, with a long id. The left rows are cut into blocks
-    and every block meets all right rows of its groups, a block at a time, so a task's memory is bounded and no pair
-    is a row: a cell gives k rows for each of its left rows.
-    """
-    n_left, n_right = (max(1, -(-side.count() // size)) for side, size in ((left, QUERY_BLOCK), (right, CANDIDATE_BLOCK)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    known = lambda side: side.dropna(subset=list(on)) if on else side
-    l = known(left).select("id", *on, "terms", block(n_left).alias("lb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))  # noqa: E741
-    r = known(right).select(F.col("id").cast("long").alias("candidate"), *(F.col(c).alias(f"r_{c}") for c in on), F.col("terms").alias("r_terms"), block(n_right).alias("r_rb"))
+
+def _dense_top(l: DataFrame, r: DataFrame, on, k: int) -> DataFrame:
+    """The k best of all right rows for each left row. The left rows are cut into blocks and every block meets all right
+    rows of its groups, a block at a time, so a task's memory is bounded and no pair is a row."""
+    n_left, n_right = (max(1, -(-side.count() // size)) for side, size in ((l, QUERY_BLOCK), (r, CANDIDATE_BLOCK)))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    l = l.select("id", *on, "terms", block("id", n_left).alias("lb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))  # noqa: E741
+    r = r.select("candidate", *(F.col(c).alias(f"r_{c}") for c in on), "r_terms", block("candidate", n_right).alias("r_rb"))
     r = r.withColumn("r_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
     schema = l.select("id", *on).schema.add("candidate", "long").add("similarity", "double")
     cell = _best_of_block(k, list(on), to_arrow_schema(schema))
-    found = l.groupBy(*on, "lb", "rb").cogroup(r.groupBy(*(f"r_{c}" for c in on), "r_lb", "r_rb")).applyInArrow(cell, schema)
+    return l.groupBy(*on, "lb", "rb").cogroup(r.groupBy(*(f"r_{c}" for c in on), "r_lb", "r_rb")).applyInArrow(cell, schema)
+
+
+def _scored(pairs: DataFrame, l: DataFrame, r: DataFrame, on) -> DataFrame:
+    """id, on, candidate and the exact similarity of pairs (id, on, candidate)."""
+    both = pairs.select("id", *on, "candidate").join(l.select("id", *on, "terms"), ["id", *on]).join(r.select("candidate", *on, "r_terms"), ["candidate", *on])
+    return both.select("id", *on, "candidate", jaccard(F.col("terms"), F.col("r_terms")).cast("double").alias("similarity"))
+
+
+def _sparse_top(l: DataFrame, r: DataFrame, on, k: int) -> tuple[DataFrame, DataFrame]:
+    """(found, rest): pairs that hold the k best of the queries whose search by rare terms is cheap, and the other queries.
+
+    A query's terms are in the order of their rarity among the right rows. The rows that its rarest terms lead to give a floor,
+    the k-th best similarity so far. A row that shares none of the first p of a query's n terms is at most (n - p) / n
+    similar, so p terms with (n - p) / n below the floor are enough, and their postings are what the search costs. Of the
+    rows met, those whose sizes and shared terms still allow the floor are compared in full.
+    """
+    postings = r.select("candidate", *on, F.size("r_terms").alias("r_n"), F.explode("r_terms").alias("term"))
+    rarity = postings.groupBy(*on, "term").agg(F.count("*").alias("df"))
+    terms = l.select("id", *on, F.size("terms").alias("n"), F.explode("terms").alias("term")).join(rarity, [*on, "term"], "left").fillna(0, ["df"])
+    order = Window.partitionBy("id", *on).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    terms = written(terms.withColumn("p", F.row_number().over(order)).withColumn("cost", F.sum("df").over(order)), "rare-terms")
+    meet = lambda t: t.filter("df > 0").join(postings, [*on, "term"])
+
+    met = meet(terms.filter(F.col("cost") <= FIRST_LOOK * k)).groupBy("id", *on, "candidate").agg(F.count("*").alias("m"))
+    likely = Window.partitionBy("id", *on).orderBy(F.desc("m"), "candidate")
+    first = written(_scored(met.withColumn("at", F.row_number().over(likely)).filter(F.col("at") <= 4 * k), l, r, on), "first-look")
+    best = Window.partitionBy("id", *on).orderBy(F.desc("similarity"))
+    floors = first.withColumn("at", F.row_number().over(best)).filter((F.col("at") == k) & (F.col("similarity") > 0)).select("id", *on, F.col("similarity").alias("floor"))
+    sizes = r.groupBy(*on).agg(F.count("*").alias("rows")) if on else r.agg(F.count("*").alias("rows"))
+    floors = floors.join(sizes, list(on)) if on else floors.join(F.broadcast(sizes), how="cross")  # one row
+    # One term more than the bound asks for, so that rounding decides nothing.
+    asked = terms.join(floors, ["id", *on]).filter(F.col("p") <= F.col("n") - F.floor(F.col("floor") * F.col("n") - 1e-9) + 1)
+    costs = asked.groupBy("id", *on).agg(F.max("cost").alias("spent"), F.max("rows").alias("rows"), F.max("p").alias("reach"))
+    cheap = written(costs.filter(F.col("spent") <= MEET * F.col("rows")).select("id", *on, "reach"), "cheap-queries")
+    near = meet(asked.join(cheap, ["id", *on])).filter("r_n >= floor * n - 1e-6 AND r_n * floor <= n + 1e-6")
+    near = near.groupBy("id", *on, "candidate").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.max("r_n").alias("r_n"), F.max("reach").alias("reach"), F.max("floor").alias("floor"))
+    most = F.least(F.col("m") + F.col("n") - F.col("reach"), F.col("r_n"), F.col("n"))
+    near = near.filter(most >= F.col("floor") * (F.col("n") + F.col("r_n") - most) - 1e-6)
+    return _scored(near, l, r, on), l.join(cheap, ["id", *on], "left_anti")
+
+
+def top_similar(left: DataFrame, right: DataFrame, on, *, k: int = 3, sparse: bool | None = None) -> DataFrame:
+    """The k most similar right rows of each left row in its group, by term Jaccard, then smaller id.
+
+    left has id, the on-columns and distinct terms; right likewise, with a long id. Rows with a null in an on-column are in no
+    group and take no part. Queries that few rows can match are searched by their rare terms, the others block by
+    block; both are exact. ``sparse`` is on where the rows are more than a pair of blocks.
+    """
+    known = lambda side: side.dropna(subset=list(on)) if on else side
+    l = known(left).select("id", *on, "terms")  # noqa: E741
+    r = known(right).select(F.col("id").cast("long").alias("candidate"), *on, F.col("terms").alias("r_terms"))
+    l, r = written(l, "queries"), written(r, "candidates")  # noqa: E741
+    if sparse is None:
+        sparse = l.count() > QUERY_BLOCK or r.count() > CANDIDATE_BLOCK
+    if sparse:
+        found, rest = _sparse_top(l, r, list(on), k)
+        found = found.select("id", *on, "candidate", "similarity").union(_dense_top(written(rest.select("id", *on, "terms"), "dense-queries"), r, list(on), k))
+    else:
+        found = _dense_top(l, r, list(on), k)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from ..functions import textops as J
 from ..operators import conventions as V
 from ..operators import joins as N
 from ..operators import similarity as K
+from ..operators.ranges import written
 from ..session import table
 from . import fixtures as X
 from .fixtures import FOUND, TEXTS
@@ -107,10 +108,9 @@ def _(spark, sf):
 
 
 def _figures(spark, sf):
-    r = J.spread(X.report_texts(spark, sf), "id").withColumn("figures", J.figures(F.col("text")))
-    machine = r.filter("kind = 'machine'").select("id", "event", "day", "figures")
-    h = r.filter("kind = 'human'").groupBy("event", "day").agg(F.flatten(F.collect_list("figures")).alias("figures"))
-    return machine, h
+    r = J.spread(X.report_texts(spark, sf), "id").select("id", "event", "day", "kind", J.figures(F.col("text")).alias("figures"))
+    r = written(r, "figures")  # both sides read the figures, which are extracted once
+    return r.filter("kind = 'machine'").drop("kind"), r.filter("kind = 'human'").drop("kind")
 
 
 _FIG = f"""WITH {TEXTS}, f AS (SELECT id, event, day, kind, unnest([{{'u': 'c', 'v': (id % 9000 + 1000)::DOUBLE, 'k': 0}}, {{'u': 'p', 'v': (id % 97)::DOUBLE, 'k': 0}}, {{'u': 'c', 'v': (o_custkey % 50)::DOUBLE, 'k': 1}}, {{'u': 'c', 'v': (1000000 + (id % 9 + 1) * 100000)::DOUBLE, 'k': 0}}]) AS f
@@ -123,7 +123,7 @@ SELECT d.id, nm.n AS n_machine_unique, nh.n AS n_human_unique, coalesce(o.n, 0)
 round(coalesce(o.n, 0) / (nm.n + nh.n - coalesce(o.n, 0)), 6) AS jaccard FROM d JOIN nm ON nm.id = d.id JOIN nh ON nh.event = d.event AND nh.day = d.day LEFT JOIN o ON o.id = d.id""")
 def _(spark, sf):
     machine, h = _figures(spark, sf)
-    return N.figure_check(machine, h).select("id", "n_machine_unique", "n_human_unique", "n_overlap", "precision", "recall", "casualty_recall", "jaccard")
+    return N.figure_check(machine, h, order=("id",)).select("id", "n_machine_unique", "n_human_unique", "n_overlap", "precision", "recall", "casualty_recall", "jaccard")
 
 
 @query("e24_grounding", _FIG + """, d AS (SELECT DISTINCT m.id, event, day FROM m JOIN (SELECT DISTINCT event, day FROM h) USING (event, day)), nm AS (SELECT id, count(*) AS n FROM m GROUP BY id),
@@ -133,24 +133,29 @@ def _(spark, sf):
     from ..operators.judgements import with_totals
 
     machine, h = _figures(spark, sf)
-    return with_totals(N.figure_check(machine, h), "event", "POOLED", {"n_pairs": F.count("*"), "precision": F.avg("precision")})
+    return with_totals(N.figure_check(machine, h, order=("id",)), "event", "POOLED", {"n_pairs": F.count("*"), "precision": F.avg("precision")})
 
 
-_SECTION = "## 1. Death toll [S01]\n- people were killed in the storm and more are missing\n**Needs**: water\nNo information\n## Other\ntext"
-
-
-@query("c32_headings", "SELECT r_regionkey, 'death toll' AS a, 'needs' AS b FROM region")
+@query("c32_headings", r"""WITH h AS (SELECT doc_id, regexp_extract(substr(coalesce(text, ''), 1, 60), '^[^\n]*') AS head FROM documents)
+SELECT doc_id, trim(regexp_replace(lower(head), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(regexp_replace(string_split(head, '**')[1], '^\s*\d+[.)]\s*', '')), '[^a-z0-9]+', ' ', 'g')) AS b FROM h""")
 def _(spark, sf):
-    lines = F.split(F.lit(_SECTION), "\n")
-    bold = F.regexp_extract(lines[2], r"^\s*\*\*(.+?)\*\*", 1)
-    return table(spark, sf, "region").select("r_regionkey", J.normal_heading(lines[0]).alias("a"), J.normal_heading(bold).alias("b"))
+    k = F.col("doc_id") % 9 + 1
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract(F.substring(F.coalesce("text", F.lit("")), 1, 60), r"^[^\n]*", 0).alias("head"))
+    numbered = F.concat(F.repeat(F.lit("#"), (k % 6 + 1).cast("int")), F.lit(" "), k.cast("string"), F.lit(". "), "head", F.lit(" [S0"), k.cast("string"), F.lit("]"))
+    bold = F.regexp_extract(F.concat(F.lit("  **"), "head", F.lit("**: more")), r"^\s*\*\*(.*?)\*\*", 1)
+    return d.select("doc_id", J.normal_heading(numbered).alias("a"), J.normal_heading(bold).alias("b"))
 
 
-@query("c33_content_scores", "SELECT r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM region")
+#: A section of the first words of each document, quoted, under a line that says nothing for every other one.
+@query("c33_content_scores", r"""WITH b AS (SELECT doc_id, array_to_string(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')[1:doc_id % 14], ' ') AS said FROM documents),
+w AS (SELECT *, doc_id % 7 = 3 AS silent, len(regexp_extract_all(said, '[A-Za-z][A-Za-z''-]*')) AS n FROM b)
+SELECT doc_id, CASE WHEN silent THEN 0.0 WHEN n >= 8 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM w""")
 def _(spark, sf):
-    k = F.col("r_regionkey") % 3
-    body = F.when(k == 0, "- one two three four five six seven eight").when(k == 1, "> water only").otherwise("No data here\n\n- not reported")
-    return table(spark, sf, "region").select("r_regionkey", J.content_score(body).alias("score"))
+    d = table(spark, sf, "documents")
+    words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), " ", -1)
+    said = F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 14).cast("int")), " ")
+    body = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("No data were sent\n> ")).otherwise(F.lit("- ")), F.when(F.col("doc_id") % 7 == 3, F.lit("Not reported so far")).otherwise(said))
+    return d.select("doc_id", J.content_score(body).alias("score"))
 
 
 @query("g08_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
