@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .ranges import written
 
 PHASES = ("early", "mid", "late")
 
@@ -105,37 +112,135 @@ def sample_per_stratum(rows: DataFrame, sizes: dict[str, int], stratum: str, id_
     return kept.withColumn("sample_id", F.concat(prefix, F.lpad(F.col("__rn").cast("string"), 2, "0"))).drop("__rn")
 
 
+def _schema(**kinds: str) -> tuple[str, pa.Schema]:
+    """A schema in Spark's words and in Arrow's."""
+    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    return ", ".join(f"{name} {kind}" for name, kind in kinds.items()), pa.schema([(name, arrow[kind]) for name, kind in kinds.items()])
+
+
+_SUMMARY = _schema(
+    range="long", first="string", last="string", n_first="long", n_last="long", several="boolean", sums="array<long>", closed="array<long>", used="array<long>", total="long",
+    end_used="long", end_chunk="long",
+)
+_STARTS = _schema(range="long", place="long", used="long", chunk="long")
+
+
+def _breaks(costs: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of costs before each row, and for a chunk begun at a row the row that begins the next one (the number of rows: none)."""
+    before = np.concatenate([[0], np.cumsum(costs)])
+    over = np.searchsorted(before, before[:-1] + budget, "right") - 1  # the first row that would exceed the budget
+    alone = (over < len(costs)) & (before[np.minimum(over, len(costs))] == before[:-1])  # a row that is too large by itself stays
+    return before, np.minimum(over + alone, len(costs))
+
+
+def _summary(budget: int):
+    """What a range of rows does to the chunk that is open where it begins, as far as its first group goes; and how its last group ends.
+
+    ``sums``, ``closed`` and ``used`` have an entry for each row at which the open chunk can first be closed.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__at")
+        costs, keys = pc.fill_null(table.column("__cost"), 0).to_numpy(), table.column("__key").to_pylist()
+        if len(costs) and costs.min() < 0:
+            raise ValueError("a cost below zero")
+        n = len(keys)
+        first = bisect_left(range(n), True, key=lambda i: keys[i] != keys[0])
+        last = bisect_left(range(n), True, key=lambda i: keys[i] == keys[-1])
+        before, after = _breaks(costs[:first], budget)
+        closed, used = np.zeros(first + 1, np.int64), np.zeros(first + 1, np.int64)
+        for i in range(first - 1, -1, -1):
+            j = after[i]
+            closed[i], used[i] = (closed[j] + 1, used[j]) if j < first else (0, before[-1] - before[i])
+        reach = min(int(after[0]), first) + 1
+        end = _Open()
+        for c in costs[last:].tolist() if last else []:
+            end.add(c, budget)
+        arrays = [[table.column("__range")[0].as_py()], [keys[0]], [keys[-1]], [first], [n - last], [bool(last)], [before[: reach + 1].tolist()], [closed[:reach].tolist()], [used[:reach].tolist()], [int(before[-1])], [end.used], [end.chunk]]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(arrays, _SUMMARY[1], strict=True)], schema=_SUMMARY[1])
+
+    return run
+
+
+class _Open:
+    """The chunk that is open: its number and the budget it has used."""
+
+    def __init__(self, used: int = 0, chunk: int = 0):
+        self.used, self.chunk = used, chunk
+
+    def add(self, cost: int, budget: int) -> int:
+        if self.used > 0 and self.used + cost > budget:
+            self.used, self.chunk = 0, self.chunk + 1
+        self.used += cost
+        return self.chunk
+
+
+def _compose(budget: int):
+    """What is open where each range begins, from the summaries in order: a row each."""
+
+    def run(batches):
+        key, place, used, chunk = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["first"] != key:
+                    key, place, used, chunk = row["first"], 0, 0, 0
+                out.append({"range": row["range"], "place": place, "used": used, "chunk": chunk})
+                if row["several"]:
+                    key, place, used, chunk = row["last"], row["n_last"], row["end_used"], row["end_chunk"]
+                    continue
+                sums, place = row["sums"], place + row["n_first"]
+                at = max(0, bisect_right(sums, budget - used) - 1)  # the first row that would exceed the budget
+                if at < row["n_first"] and at < len(sums) - 1 and used + sums[at] == 0:
+                    at += 1  # a row too large by itself does not close an empty chunk
+                if at < row["n_first"]:
+                    used, chunk = row["used"][at], chunk + 1 + row["closed"][at]
+                else:
+                    used += row["total"]
+            yield pa.RecordBatch.from_pylist(out, schema=_STARTS[1])
+
+    return run
+
+
 def chunk_posts(rows: DataFrame, by, order, cost: str, budget: int) -> DataFrame:
     """Greedy in-order chunks of each group, as (by, place, order, chunk): a chunk closes before it would exceed the budget.
 
-    What a chunk holds depends on all chunks before it, so the rows of a group pass through one task in order; the
-    task keeps a few numbers and no rows.
+    What a chunk holds depends on all before it, but a range of rows needs only the budget that is used where it begins: from
+    sums, every row knows where a chunk begun at it ends, so a range is summed up by what follows each row at which the
+    open chunk can first close. The summaries, a row for each range, are joined in order; then all ranges are numbered at once,
+    and a group of any size is dealt over tasks. Costs are at least 0 (null: 0).
     """
-    keyed = rows.select(*by, *order, F.col(cost).cast("long").alias("__cost"))
+    by, order = list(by), list(order)
+    key = F.to_json(F.struct(*by)).alias("__key") if by else F.lit("").alias("__key")
+    keyed = rows.select(*by, *order, F.col(cost).cast("long").alias("__cost"), key)
+    ranged = keyed.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = written(ranged, "ordered").withColumn("__range", F.shiftright("__at", 33))
+    parts = ranged.select("__range", "__at", "__cost", "__key").groupBy("__range").applyInArrow(_summary(budget), _SUMMARY[0])
+    starts = parts.repartition(1).sortWithinPartitions("range").mapInArrow(_compose(budget), _STARTS[0])
+    starts = written(starts, "starts")
     n_by, n = len(by), len(by) + len(order)
     schema = keyed.select(*by).schema.add("place", "integer")
     for field in keyed.select(*order).schema.fields:
         schema = schema.add(field)
     schema = schema.add("chunk", "integer")
-
-    def run(batches):
-        group, place, used, chunk = None, 0, 0, 0
-        for batch in batches:
-            places, chunks = [], []
-            keys = zip(*(batch.column(i).to_pylist() for i in range(n_by)), strict=True)
-            for key, size in zip(keys, batch.column(n).to_pylist(), strict=True):
-                if key != group:
-                    group, place, used, chunk = key, 0, 0, 0
-                if used > 0 and used + (size or 0) > budget:
-                    used, chunk = 0, chunk + 1
-                used += size or 0
-                places.append(place)
-                chunks.append(chunk)
-                place += 1
-            columns = [*(batch.column(i) for i in range(n_by)), pa.array(places, pa.int32()), *(batch.column(i) for i in range(n_by, n)), pa.array(chunks, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return keyed.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    out = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__at")
+        place, opened, group = table.column("place")[0].as_py(), _Open(table.column("used")[0].as_py(), table.column("chunk")[0].as_py()), None
+        places, chunks = [], []
+        for this, size in zip(table.column("__key").to_pylist(), table.column("__cost").to_pylist(), strict=True):
+            if group is not None and this != group:
+                place, opened = 0, _Open()
+            group = this
+            places.append(place)
+            chunks.append(opened.add(size or 0, budget))
+            place += 1
+        columns = [*(table.column(i) for i in range(n_by)), pa.array(places, pa.int32()), *(table.column(i) for i in range(n_by, n)), pa.array(chunks, pa.int32())]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    placed = ranged.join(F.broadcast(starts), F.col("__range") == F.col("range"))  # a row for each range
+    return placed.select(*(ranged[c] for c in (*by, *order)), "__cost", "__key", "__at", "__range", "place", "used", "chunk").groupBy("__range").applyInArrow(run, schema)
 
 
 def upper_median(column: str) -> Column:
