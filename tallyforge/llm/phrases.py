@@ -1,13 +1,13 @@
 """Phrase collocations from suffix automata of shards.
 
-A shard is a few million words of texts. The states of its generalised suffix automaton, cut at a depth, are the classes of
+A shard is a few million words of texts, a task's or a part of them. The states of its generalised suffix automaton, cut at a depth, are the classes of
 phrases that end at the same places; a state's suffix link leads to the class of its longest suffix that ends
 at more places. Both are found without online extension: end positions are refined by one more word to
 the left at a time, which gives the tree of suffix links, and a node whose places a longer one shares
 belongs to that one's state. A state travels as its longest phrase, the length of its shortest, and its endpos
-count, which all phrases between have; counts are summed over shards. The first pass has depth two; the second has
-the full depth but follows a link to a longer phrase only over frequent pairs, as every candidate consists of such.
-Its states meet by their last words, which all phrases of three words or more in a state share.
+count, which all phrases between have; counts are summed over shards. A first pass counts words, and pairs of words by a
+64-bit hash; in the second a phrase grows only over pairs whose hash is frequent, as every candidate consists of such, and
+phrases are counted as texts, so that a hash decides nothing. States meet by their last three words, which all their phrases share.
 
 A phrase is subsumed where one of its extensions by one word occurs as often: the phrase is then the extension's suffix
 (its suffix link) or its prefix, and extensions by more words are covered by those by one.
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .staging import col, if_small, lean, stage
 
-#: Bytes of text of a shard; a longer text is a shard of its own.
-SHARD = 16 << 20
-#: Frequent pairs up to which the second pass looks at them (8 bytes each); beyond, it counts every phrase.
+#: Bytes of text that are cut into words at a time; a longer text is taken whole.
+SHARD = 4 << 20
+#: Hashes of pairs, or words of phrases, that a task holds over its shards.
+HELD = 1_000_000
+#: Frequent pairs up to which their hashes go to all tasks (8 bytes each); beyond, every phrase is counted.
 PAIRS = 4_000_000
 #: Rows up to which a table of counts is broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: Parts in which the best of a group are found first.
 SALTS = 64
 _BREAK = "\n"
@@ -118,49 +120,128 @@ def _phrases(ids: np.ndarray, words: pa.Array, end: np.ndarray, longest: np.ndar
     return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ", null_handling="skip")
 
 
-def _shard_states(depth: int, least: int, pairs: np.ndarray | None, shard: int):
-    """lang, phrase, shortest, longest, count of the states of each shard; with least = 1 also a row for each
-    lang with its number of words and a null phrase."""
+class _Shard:
+    """The words of some texts: numbers with -1 at breaks, their langs, and how many words of a piece end at each."""
 
-    def states(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def __init__(self, held: list[pa.RecordBatch]):
         table = pa.Table.from_batches(held).combine_chunks()
         langs = table.column(0).combine_chunks().dictionary_encode()
-        ids, words, row = _words(table.column(1).combine_chunks())
-        group = langs.indices.to_numpy().astype(np.int64)[row]
-        inside = ids >= 0
-        reach = np.minimum(_since(inside), depth)
-        if pairs is not None and len(ids):
-            word_hash, lang_hash = _hashes(words.to_pylist()), _hashes(langs.dictionary.to_pylist())
-            of = word_hash[np.maximum(ids, 0)]
-            known = np.zeros(len(ids), bool)
-            both = np.flatnonzero(reach >= 2)
-            wanted = _pair_hash(lang_hash[group[both]], of[both - 1], of[both])
-            at = np.minimum(np.searchsorted(pairs, wanted), max(len(pairs) - 1, 0))
-            known[both] = pairs[at] == wanted if len(pairs) else False
-            reach = np.where(inside, np.minimum(reach, _since(known) + 1), 0)
-        found = Automaton(ids, group, reach, depth, least)
-        columns = [langs.dictionary.take(pa.array(group[found.end])), _phrases(ids, words, found.end, found.longest), *(pa.array(c) for c in (found.shortest, found.longest, found.count))]
-        if least == 1:
-            total = np.bincount(group[inside], minlength=len(langs.dictionary))
-            extra = [langs.dictionary, pa.nulls(len(total), pa.string()), *(pa.array(np.zeros(len(total), np.int64)),) * 2, pa.array(total)]
-            columns = [pa.concat_arrays([c.cast(e.type), e]) for c, e in zip(columns, extra, strict=True)]
-        return pa.RecordBatch.from_arrays([columns[0].cast(pa.string()), columns[1].cast(pa.string()), *columns[2:]], names=["lang", "phrase", "shortest", "longest", "count"])
-
-    def out(held):
-        result = states(held)
-        for at in range(0, result.num_rows, 50_000):
-            yield result.slice(at, 50_000)
+        self.langs = langs.dictionary
+        self.ids, self.words, row = _words(table.column(1).combine_chunks())
+        self.group = langs.indices.to_numpy().astype(np.int64)[row]
+        self.inside = self.ids >= 0
+        self.reach = _since(self.inside)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places where pairs end, and the pairs' hashes."""
+        word, lang = _hashes(self.words.to_pylist()), _hashes(self.langs.to_pylist())
+        at = np.flatnonzero(self.reach >= 2)
+        return at, _pair_hash(lang[self.group[at]], word[self.ids[at - 1]], word[self.ids[at]])
+
+
+def _shards(batches, shard: int):
+    """The shards of a task's texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= shard:
+            yield _Shard(held)
+            held, size = [], 0
+    if size:
+        yield _Shard(held)
+
+
+def _sliced(columns, names):
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, batch.num_rows, 50_000):
+        yield batch.slice(at, 50_000)
+
+
+def _words_and_pairs(shard_bytes: int):
+    """lang, phrase, h, count: words, pairs by their hash only, and with neither the number of words of a lang.
+
+    Pairs are summed over a task's shards while their hashes fit.
+    """
+    names, text = ["lang", "phrase", "h", "count"], pa.string()
+
+    def pairs(h, n):
+        yield from _sliced([pa.nulls(len(h), text), pa.nulls(len(h), text), pa.array(h.view(np.int64)), pa.array(n)], names)
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= shard:
-                yield from out(held)
-                held, size = [], 0
-        if size:
-            yield from out(held)
+        held_h, held_n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for shard in _shards(batches, shard_bytes):
+            found = Automaton(shard.ids, shard.group, np.minimum(shard.reach, 1), 1)
+            words = [shard.langs.take(pa.array(shard.group[found.end])).cast(text), shard.words.take(pa.array(shard.ids[found.end])).cast(text)]
+            yield from _sliced([*words, pa.nulls(len(found.end), pa.int64()), pa.array(found.count)], names)
+            total = np.bincount(shard.group[shard.inside], minlength=len(shard.langs))
+            yield from _sliced([shard.langs.cast(text), pa.nulls(len(total), text), pa.nulls(len(total), pa.int64()), pa.array(total)], names)
+            h, n = np.unique(shard.pairs()[1], return_counts=True)
+            held_h, at = np.unique(np.concatenate([held_h, h]), return_inverse=True)
+            held_n = np.bincount(at, weights=np.concatenate([held_n, n]), minlength=len(held_h)).astype(np.int64)
+            if len(held_h) > HELD:
+                yield from pairs(held_h, held_n)
+                held_h, held_n = held_h[:0], held_n[:0]
+        yield from pairs(held_h, held_n)
+
+    return run
+
+
+class _Held:
+    """What a task holds of its shards: the words that may be in a phrase, numbered over all of them."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.langs: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, shard: _Shard, reach: np.ndarray) -> None:
+        keep = reach >= 2
+        keep[:-1] |= keep[1:].copy()  # the first word of a stretch
+        ids, reach, group = shard.ids[keep], reach[keep], shard.group[keep]
+        known, ids = np.unique(ids, return_inverse=True)
+        number = [self.words.setdefault(w, len(self.words)) for w in shard.words.take(pa.array(known)).to_pylist()]
+        langs = [self.langs.setdefault(x, len(self.langs)) for x in shard.langs.to_pylist()]
+        self.parts.append((np.array(number, np.int64)[ids], np.array(langs, np.int64)[group], reach))
+        self.size += len(ids)
+
+    def states(self, depth: int):
+        ids, group, reach = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        words, langs = pa.array(list(self.words), pa.string()), pa.array(list(self.langs), pa.string())
+        found = Automaton(ids, group, reach, depth, 2)
+        end, longest, shortest, count = found.end, found.longest, found.shortest, found.count
+        both = (shortest == 2) & (longest > 2)
+        end, count = np.concatenate([end, end[both]]), np.concatenate([count, count[both]])
+        shortest = np.concatenate([np.where(both, 3, shortest), shortest[both]])
+        longest = np.concatenate([longest, np.full(int(both.sum()), 2)])
+        for lo in range(0, len(end), 50_000):
+            part = slice(lo, lo + 50_000)
+            columns = [langs.take(pa.array(group[end[part]])), _phrases(ids, words, end[part], longest[part]).cast(pa.string()), *(pa.array(c[part]) for c in (shortest, longest, count))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "shortest", "longest", "count"])
+
+
+def _phrase_states(depth: int, known: np.ndarray | None, shard_bytes: int):
+    """lang, phrase, shortest, longest, count of the states of phrases of two words or more, over known pairs only where they
+    are given. The pair of a state with longer phrases is a row of its own. A task's shards are one automaton
+    while the words that may be in a phrase fit."""
+
+    def run(batches):
+        held = _Held()
+        for shard in _shards(batches, shard_bytes):
+            reach = np.minimum(shard.reach, depth)
+            if known is not None:
+                at, h = shard.pairs()
+                place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                ok = np.zeros(len(reach), bool)
+                ok[at] = known[place] == h if len(known) else False
+                reach = np.where(shard.inside, np.minimum(reach, _since(ok) + 1), 0)
+            held.add(shard, reach)
+            if held.size > HELD:
+                yield from held.states(depth)
+                held = _Held()
+        if held.size:
+            yield from held.states(depth)
 
     return run
 
@@ -175,32 +256,30 @@ def _counts(states: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by, "lang", "phrase", "words").agg(F.sum("count").alias("count"))
 
 
+def _parts(df: DataFrame) -> int:
+    """A partition for every 8 MB that the plan reads, as the size is known from its files; adaptive execution leaves the number as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size >> 23, 100_000))
+
+
 def frequent_phrases(texts: DataFrame, *, depth: int = 5, least: int = 100, shard: int = SHARD) -> DataFrame:
     """The staged phrases (lang, phrase, words, count) of up to ``depth`` words that occur ``least`` times in a lang,
     and for each lang its number of words, as a row with a null phrase. texts has lang and text."""
     if depth < 2:
         raise ValueError("depth has to be at least 2")
-    first = texts.mapInArrow(lean(_shard_states(2, 1, None, shard)), _STATE)
-    first = stage(_counts(first).filter((F.col("count") >= least) | F.col("phrase").isNull()), "short-phrases", files=16)
-    pairs, known = first.filter("words = 2"), None
-    if depth == 2:
-        return first
+    first = texts.mapInArrow(lean(_words_and_pairs(shard)), "lang string, phrase string, h long, count long")
+    # Tasks have summed what they hold, so rows go to their keys at once instead of into another table of sums.
+    parts = _parts(texts)
+    first = first.repartition(parts, "lang", "phrase", "h").groupBy("lang", "phrase", "h").agg(F.sum("count").alias("count"))
+    first = stage(first.filter((F.col("count") >= least) | (F.col("phrase").isNull() & F.col("h").isNull())), "words-and-pairs")
+    pairs, known = first.filter("h IS NOT NULL").select("h"), None
     if pairs.count() <= PAIRS:
-        hashed = pairs.mapInArrow(_pair_keys, "h long").collect()
-        known = np.sort(np.array([r["h"] for r in hashed], np.int64).view(np.uint64))
-    longer = texts.mapInArrow(lean(_shard_states(depth, 3, known, shard)), _STATE)
-    longer = longer.withColumn("tail", F.expr("substring_index(phrase, ' ', -3)"))
-    longer = longer.repartition("lang", "tail")
+        known = np.sort(np.array([r["h"] for r in pairs.collect()], np.int64).view(np.uint64))
+    longer = texts.mapInArrow(lean(_phrase_states(depth, known, shard)), _STATE)
+    longer = longer.withColumn("tail", F.expr("substring_index(phrase, ' ', -3)")).repartition(parts, "lang", "tail")
     longer = _counts(longer, "tail").drop("tail").filter(F.col("count") >= least)
-    return first.union(stage(longer, "long-phrases", files=16))
-
-
-def _pair_keys(batches):
-    for batch in batches:
-        pairs = [p.split(" ") for p in batch.column("phrase").to_pylist()]
-        langs = _hashes(batch.column("lang").to_pylist())
-        h = _pair_hash(langs, _hashes(p[0] for p in pairs), _hashes(p[1] for p in pairs)) if pairs else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+    words = first.filter("h IS NULL").select("lang", "phrase", F.when(F.col("phrase").isNotNull(), 1).otherwise(0).cast("long").alias("words"), "count")
+    return words.union(stage(longer, "phrases"))
 
 
 def collocations(
