@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .html import html_text, page
+from .pdf import read_pdf
 
 MIN_CHARS, SLACK_DAYS = 200, 180
 
@@ -21,31 +22,18 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pdf(content):
-    """struct<title, text, problem> of PDF bytes; a null text has its reason, such as a missing pypdf."""
+    """struct<title, text, problem> of PDF bytes: a null text has its reason; pages that could not be read are named."""
 
     @F.pandas_udf("title string, text string, problem string")
     def run(s: pd.Series) -> pd.DataFrame:
-        try:
-            from pypdf import PdfReader
-        except ImportError:
-            return pd.DataFrame({"title": [None] * len(s), "text": [None] * len(s), "problem": ["no PDF reader is installed"] * len(s)})
-        import io
-
         rows = []
         for raw in s:
             try:
-                reader = PdfReader(io.BytesIO(raw))
-                sheets = list(reader.pages)
+                title, pages, problems = read_pdf(bytes(raw))
             except Exception as problem:  # noqa: BLE001  a file that is no PDF does not end the run
                 rows.append((None, None, f"unreadable PDF: {problem}"[:200]))
                 continue
-            pages = []
-            for sheet in sheets:
-                try:
-                    pages.append(sheet.extract_text() or "")
-                except Exception:  # noqa: BLE001  one bad page does not lose the others
-                    pages.append("")
-            rows.append(((reader.metadata or {}).get("/Title"), "\n\n".join(pages), None))
+            rows.append((title or None, "\n\n".join(pages), "; ".join(problems)[:200] or None))
         return pd.DataFrame(rows, columns=["title", "text", "problem"])
 
     return run(content)
