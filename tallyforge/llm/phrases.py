@@ -27,8 +27,8 @@ from .staging import col, if_small, lean, stage
 
 #: Bytes of text that are cut into words at a time; a longer text is taken whole.
 SHARD = 4 << 20
-#: Hashes of pairs, or words of phrases, that a task holds over its shards.
-HELD = 1_000_000
+#: Hashes of pairs, and words that may be in a phrase, that a task holds over its shards: what is held is one automaton.
+HELD_PAIRS, HELD_WORDS = 2_000_000, 4_000_000
 #: Frequent pairs up to which their hashes go to all tasks (8 bytes each); beyond, every phrase is counted.
 PAIRS = 4_000_000
 #: Rows up to which a table of counts is broadcast.
@@ -73,7 +73,7 @@ class Automaton:
 
     def __init__(self, ids: np.ndarray, groups: np.ndarray, reach: np.ndarray, depth: int, least: int = 1):
         places = np.flatnonzero(reach >= least)
-        node = np.unique(groups[places] << 40 | ids[places], return_inverse=True)[1]
+        node = np.unique(groups[places].astype(np.int64) << 40 | ids[places], return_inverse=True)[1]
         self.end = self.longest = self.shortest = self.count = np.empty(0, np.int64)
         parent = None  # of a node of the depth before: where its state starts, its count and a place
         for length in range(1, depth + 1):
@@ -179,7 +179,7 @@ def _words_and_pairs(shard_bytes: int):
             h, n = np.unique(shard.pairs()[1], return_counts=True)
             held_h, at = np.unique(np.concatenate([held_h, h]), return_inverse=True)
             held_n = np.bincount(at, weights=np.concatenate([held_n, n]), minlength=len(held_h)).astype(np.int64)
-            if len(held_h) > HELD:
+            if len(held_h) > HELD_PAIRS:
                 yield from pairs(held_h, held_n)
                 held_h, held_n = held_h[:0], held_n[:0]
         yield from pairs(held_h, held_n)
@@ -203,7 +203,7 @@ class _Held:
         known, ids = np.unique(ids, return_inverse=True)
         number = [self.words.setdefault(w, len(self.words)) for w in shard.words.take(pa.array(known)).to_pylist()]
         langs = [self.langs.setdefault(x, len(self.langs)) for x in shard.langs.to_pylist()]
-        self.parts.append((np.array(number, np.int64)[ids], np.array(langs, np.int64)[group], reach))
+        self.parts.append((np.array(number, np.int32)[ids], np.array(langs, np.int32)[group], reach.astype(np.int8)))
         self.size += len(ids)
 
     def states(self, depth: int):
@@ -237,7 +237,7 @@ def _phrase_states(depth: int, known: np.ndarray | None, shard_bytes: int):
                 ok[at] = known[place] == h if len(known) else False
                 reach = np.where(shard.inside, np.minimum(reach, _since(ok) + 1), 0)
             held.add(shard, reach)
-            if held.size > HELD:
+            if held.size > HELD_WORDS:
                 yield from held.states(depth)
                 held = _Held()
         if held.size:
