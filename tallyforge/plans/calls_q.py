@@ -15,7 +15,7 @@ from ..operators import stats as Q
 from ..session import scratch, table
 from . import fixtures as X
 from .fixtures import J
-from .registry import query
+from .registry import example, query
 
 
 def _answer(request: dict) -> dict:
@@ -84,7 +84,7 @@ def _(spark, sf):
     return calls.run(requests, batch=True).select("conv_id", "turn", "text")
 
 
-@query("m07_attempts", "SELECT r_regionkey, least(r_regionkey + 1, 4) AS attempts, CASE WHEN r_regionkey < 4 THEN 'ok' END AS text, r_regionkey >= 4 AS failed FROM region")
+@example("m07_attempts", "SELECT r_regionkey, least(r_regionkey + 1, 4) AS attempts, CASE WHEN r_regionkey < 4 THEN 'ok' END AS text, r_regionkey >= 4 AS failed FROM region")
 def _(spark, sf):
     rows = []
     for (k,) in table(spark, sf, "region").select("r_regionkey").collect():  # five rows
@@ -101,7 +101,7 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "r_regionkey int, attempts int, text string, failed boolean")
 
 
-@query("m09_models", "SELECT * FROM (VALUES ('judge', 'anthropic', 'claude-x'), ('strong', 'openrouter', 'v/m-1'), ('gpt-x', 'openai', 'gpt-x'), ('o1', 'openai', 'o1'), ('deepseek-x', 'deepseek', 'deepseek-x'), ('fake', 'fake', 'fake'), ('coder', NULL, NULL), ('other', NULL, NULL)) t(name, provider, id)")
+@example("m09_models", "SELECT * FROM (VALUES ('judge', 'anthropic', 'claude-x'), ('strong', 'openrouter', 'v/m-1'), ('gpt-x', 'openai', 'gpt-x'), ('o1', 'openai', 'o1'), ('deepseek-x', 'deepseek', 'deepseek-x'), ('fake', 'fake', 'fake'), ('coder', NULL, NULL), ('other', NULL, NULL)) t(name, provider, id)")
 def _(spark, sf):
     models = {"judge": {"id": "claude-x"}, "coder": {"id": "SET_ME"}, "generation": [{"name": "strong", "id": "v/m-1"}]}
     rows = []
@@ -133,7 +133,7 @@ def _records(spark, sf, name, answer):
 _RECORDS = "SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey % 5 > 0 THEN '<' || n_name || '>' END AS text, CASE n_nationkey % 5 WHEN 0 THEN 'refusal' WHEN 1 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason, n_nationkey % 5 = 0 AS refused, n_nationkey::BIGINT AS input_tokens, 7::BIGINT AS output_tokens, 3::BIGINT AS cache_read_tokens FROM nation"
 
 
-@query("m11_messages", _RECORDS)
+@example("m11_messages", _RECORDS)
 def _(spark, sf):
     stop = lambda k: "refusal" if k % 5 == 0 else "max_tokens" if k % 5 == 1 else "end_turn"
     said = lambda body: f"<{body['messages'][0]['content']}>"
@@ -145,13 +145,13 @@ def _chat(k, body):
     return {"choices": [{"message": {"content": f"<{body['messages'][-1]['content']}>"}, "finish_reason": finish}], "usage": {"prompt_tokens": k + 3, "completion_tokens": 7, "prompt_tokens_details": {"cached_tokens": 3}}}
 
 
-@query("m12_chat_completions", " UNION ALL ".join([_RECORDS] * 3))
+@example("m12_chat_completions", " UNION ALL ".join([_RECORDS] * 3))
 def _(spark, sf):
     found = [_records(spark, sf, name, _chat) for name in ("openai", "deepseek", "openrouter")]
     return found[0].union(found[1]).union(found[2])
 
 
-@query("m13_normalised_records", "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 1 THEN 't' || r_regionkey END AS text, r_regionkey % 2 = 0 AS refused, 0::BIGINT AS output_tokens FROM region")
+@example("m13_normalised_records", "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 1 THEN 't' || r_regionkey END AS text, r_regionkey % 2 = 0 AS refused, 0::BIGINT AS output_tokens FROM region")
 def _(spark, sf):
     rows = [(k, C.normalised({"text": f"t{k}", "stop_reason": "refusal" if k % 2 == 0 else None})) for (k,) in table(spark, sf, "region").select("r_regionkey").collect()]  # five rows
     return spark.createDataFrame([(k, r["text"], r["refused"], r["output_tokens"]) for k, r in rows], "r_regionkey int, text string, refused boolean, output_tokens long")
@@ -178,7 +178,7 @@ def _(spark, sf):
     return got.select("arm", "n", "point", ((F.col("ci_lo") <= F.col("ci_hi")) & (F.col("ci_hi") <= F.col("point"))).alias("inside"))
 
 
-@query("m18_rate_and_quota", "SELECT unnest(range(5)) AS call, unnest([0.0, 1.0, 1.0, 1.0, NULL]::DOUBLE[]) AS waited")
+@example("m18_rate_and_quota", "SELECT unnest(range(5)) AS call, unnest([0.0, 1.0, 1.0, 1.0, NULL]::DOUBLE[]) AS waited")
 def _(spark, sf):
     from ..sources.paged import RateLimit
 
@@ -194,7 +194,7 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "call long, waited double")
 
 
-@query("n01_stages", "SELECT * FROM (VALUES (0, 'induce', true), (1, 'freeze', true), (2, 'judge', false)) t(place, stage, ran)")
+@example("n01_stages", "SELECT * FROM (VALUES (0, 'induce', true), (1, 'freeze', true), (2, 'judge', false)) t(place, stage, ran)")
 def _(spark, sf):
     from .publication import CheckpointRequired, run_stages
 
@@ -223,7 +223,7 @@ def _(spark, sf):
     return spark.createDataFrame([(line,) for line in out.getvalue().splitlines() if "projected" in line and "requests" in line], "line string")
 
 
-@query("n05_grid", "SELECT * FROM (SELECT 'key  name' AS line, 0::BIGINT AS at UNION ALL SELECT '---  ' || repeat('-', (SELECT max(length(r_name)) FROM region)::INT), 1 UNION ALL SELECT rpad(r_regionkey::VARCHAR, 3, ' ') || '  ' || r_name, r_regionkey + 2 FROM region)")
+@example("n05_grid", "SELECT * FROM (SELECT 'key  name' AS line, 0::BIGINT AS at UNION ALL SELECT '---  ' || repeat('-', (SELECT max(length(r_name)) FROM region)::INT), 1 UNION ALL SELECT rpad(r_regionkey::VARCHAR, 3, ' ') || '  ' || r_name, r_regionkey + 2 FROM region)")
 def _(spark, sf):
     from .reports import grid
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,3 +169,40 @@ texts AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, n_name AS event, CA
 #: found: all convention counts of every text, from the fixed part and the last sentence.
 FOUND = TEXTS + """, found AS (SELECT id, event, length(text) AS n_chars, len(regexp_extract_all(text, '[^ \\n]+')) AS n_tokens, ['according_to', 'reported_by'] || sourcing AS sourcing, ['agency_acronym', 'agency_name'] || agencies AS agencies,
   ['preliminary', 'modal_may'] || hedges AS hedges, ['since_last_report'] || revisions AS revisions, 1 + as_of AS as_of, 4 + figures AS n_figures, 4 + sourced AS n_sourced FROM texts JOIN variants USING (v))"""
+
+
+def pdf_bytes(text: str, title: str, lines_a_page: int = 40) -> bytes:
+    """A PDF of a text with white space collapsed: lines of about 90 characters, characters beyond ASCII by a ToUnicode map."""
+    words, lines = text.split(), [[]]
+    for word in words:
+        if sum(map(len, lines[-1])) > 90:
+            lines.append([])
+        lines[-1].append(word)
+    other = {c: 128 + i for i, c in enumerate(sorted({c for c in text if ord(c) > 126})[:127])}
+    code = lambda line: re.sub(rb"([()\\\\])", rb"\\\1", bytes(other.get(c, ord(c) if ord(c) < 127 else 63) for c in " ".join(line)))
+    sheets = [lines[i : i + lines_a_page] for i in range(0, len(lines), lines_a_page)]
+    packed = lambda data: b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(z := zlib.compress(data)), z)
+    maps = b"1 begincodespacerange <00> <FF> endcodespacerange " + b"".join(b"1 beginbfchar <%02X> <%s> endbfchar " % (n, c.encode("utf-16-be").hex().encode()) for c, n in other.items())
+    found = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(sheets), b" ".join(b"%d 0 R" % (6 + 2 * i) for i in range(len(sheets)))),
+             b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding /ToUnicode 4 0 R >>", packed(maps), b"<< /Title (%s) >>" % title.encode("ascii")]
+    for i, sheet in enumerate(sheets):
+        found.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (7 + 2 * i))
+        found.append(packed(b"BT /F1 10 Tf 14 TL 60 780 Td " + b" T* ".join(b"(%s) Tj" % code(line) for line in sheet) + b" ET"))
+    data, places = b"%PDF-1.4\n", []
+    for number, body in enumerate(found, 1):
+        places.append(len(data))
+        data += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+    rows = b"".join(b"%010d 00000 n \n" % at for at in places)
+    return data + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R /Info 5 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(found) + 1, rows, len(found) + 1, len(data))
+
+
+def pdf_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a PDF file: doc_id and what a reader of files gives."""
+
+    @F.pandas_udf("binary")
+    def make(i: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([pdf_bytes(text or "", f"Document {n}") for n, text in zip(i, t, strict=True)])
+
+    d = table(spark, sf, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return d.select("doc_id", name.alias("path"), name.alias("file"), F.lit("pdf").alias("suffix"), make("doc_id", "text").alias("content"))

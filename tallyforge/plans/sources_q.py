@@ -18,7 +18,7 @@ from . import fixtures as X
 from .fixtures import FOUND
 from .fixtures import J as JUDGED
 from .judgements_q import _CODES, _codes
-from .registry import query
+from .registry import example, query
 
 
 def _local(name: str) -> str:
@@ -111,7 +111,7 @@ def _(spark, sf):
     return readers.read_json_lines(spark, path, schemas.POST).select("tweet_id", "text", "class_label")
 
 
-@query("a07_no_file", "SELECT event_id::VARCHAR AS tweet_id FROM events WHERE false")
+@example("a07_no_file", "SELECT event_id::VARCHAR AS tweet_id FROM events WHERE false")
 def _(spark, sf):
     return readers.read_json_lines(spark, scratch(spark, "missing"), schemas.POST).select("tweet_id")
 
@@ -125,12 +125,12 @@ def _object(spark, sf):
         return path, json.load(file)
 
 
-@query("b01_atomic_json", "SELECT r_name, r_regionkey::BIGINT AS r_regionkey FROM region")
+@example("b01_atomic_json", "SELECT r_name, r_regionkey::BIGINT AS r_regionkey FROM region")
 def _(spark, sf):
     return spark.createDataFrame(list(_object(spark, sf)[1].items()), "r_name string, r_regionkey long")
 
 
-@query("a08_json_file", "SELECT r_name, r_regionkey::BIGINT AS r_regionkey FROM region")
+@example("a08_json_file", "SELECT r_name, r_regionkey::BIGINT AS r_regionkey FROM region")
 def _(spark, sf):
     return spark.createDataFrame(list(readers.load_config(_object(spark, sf)[0]).items()), "r_name string, r_regionkey long")
 
@@ -150,23 +150,23 @@ def _slots(spark, sf):
 _SLOTS = "SELECT 'S' || r_regionkey AS slot_id, upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AS name, 'what ' || r_name || ' needs' AS definition FROM region WHERE NOT contains(r_name, ' ') UNION ALL SELECT 'S' || r_regionkey, array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), 'what ' || r_name || ' needs' FROM region WHERE contains(r_name, ' ')"
 
 
-@query("a12_slot_schema", _SLOTS)
+@example("a12_slot_schema", _SLOTS)
 def _(spark, sf):
     return readers.slots_frame(spark, readers.slots(sinks.write_slots(_local("schema.yaml"), _slots(spark, sf)))).drop("prevalence")
 
 
-@query("a13_generation_slots", _SLOTS)
+@example("a13_generation_slots", _SLOTS)
 def _(spark, sf):
     return readers.slots_frame(spark, readers.generation_slots([_local("none.yaml"), sinks.write_slots(_local("schema.yaml"), _slots(spark, sf))])).drop("prevalence")
 
 
-@query("b12_frozen_schema", _SLOTS)
+@example("b12_frozen_schema", _SLOTS)
 def _(spark, sf):
     path = sinks.freeze_schema(_local("frozen.yaml"), _slots(spark, sf), "someone", "2024-01-01")
     return readers.slots_frame(spark, readers.slots(path)).drop("prevalence")
 
 
-@query("n02_freeze_command", _SLOTS)
+@example("n02_freeze_command", _SLOTS)
 def _(spark, sf):
     import contextlib
     import io
@@ -180,7 +180,7 @@ def _(spark, sf):
     return readers.slots_frame(spark, readers.slots(frozen)).drop("prevalence")
 
 
-@query("c21_schema_problems", "SELECT 'id S' || k || ' is repeated' AS problem FROM (SELECT r_regionkey % 3 AS k FROM region) GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'slot S' || r_regionkey % 3 || ' has no definition' FROM region WHERE r_regionkey % 2 = 1 UNION ALL SELECT 'slot 6 has no id' UNION ALL SELECT 'slot  has no definition'")
+@example("c21_schema_problems", "SELECT 'id S' || k || ' is repeated' AS problem FROM (SELECT r_regionkey % 3 AS k FROM region) GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'slot S' || r_regionkey % 3 || ' has no definition' FROM region WHERE r_regionkey % 2 = 1 UNION ALL SELECT 'slot 6 has no id' UNION ALL SELECT 'slot  has no definition'")
 def _(spark, sf):
     rows = [{"id": f"S{r['r_regionkey'] % 3}", "definition": "" if r["r_regionkey"] % 2 else "d"} for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
     return spark.createDataFrame([(p,) for p in sinks.schema_problems([*rows, {"name": "no id"}])], "problem string")
@@ -282,7 +282,7 @@ def _answering(items):
     return send
 
 
-@query("a22_rest_client", "SELECT n_nationkey::VARCHAR AS id, n_name AS title FROM nation UNION ALL SELECT n_nationkey::VARCHAR, n_name FROM nation WHERE n_regionkey = 1")
+@example("a22_rest_client", "SELECT n_nationkey::VARCHAR AS id, n_name AS title FROM nation UNION ALL SELECT n_nationkey::VARCHAR, n_name FROM nation WHERE n_regionkey = 1")
 def _(spark, sf):
     client = paged.RestClient(_answering(_items(spark, sf)), "https://x.test", "tallyforge-tests", _local("cache"), interval=0.0)
     page, count = client.pages("reports", fields=("title",))
@@ -322,7 +322,7 @@ def _(spark, sf):
     return e.select("event_id", F.col(readers.first_present(e.columns, ("amount", "value", "user_id"))).alias("found"))
 
 
-@query("a29_config", "SELECT r_name AS key, r_regionkey::BIGINT AS value FROM region")
+@example("a29_config", "SELECT r_name AS key, r_regionkey::BIGINT AS value FROM region")
 def _(spark, sf):
     return spark.createDataFrame(list(readers.load_config(_object(spark, sf)[0]).items()) + list(readers.load_config(None).items()), "key string, value long")
 
@@ -419,12 +419,18 @@ def _(spark, sf):
     return I.embed_cached(e, provider, path, "lengths").select(F.col("id").alias("event_id"), F.col("v")[0].alias("v"))
 
 
-@query("k07_score_batch", "SELECT conv_id, turn, NULL::DOUBLE AS bertscore_f1 FROM conversations")
+@query("a17_pdf_texts", r"""SELECT doc_id || '.pdf' AS file, 'Document ' || doc_id AS title, NULL::VARCHAR AS problem, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS digest FROM documents""")
+def _(spark, sf):
+    read = ingest.extract_files(X.pdf_files(spark, sf))
+    return read.select("file", "title", "problem", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("digest"))
+
+
+@example("k07_score_batch", "SELECT conv_id, turn, NULL::DOUBLE AS bertscore_f1 FROM conversations")
 def _(spark, sf):
     return I.score_pairs(table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("candidate")), None).select("conv_id", "turn", "bertscore_f1")
 
 
-@query("b13_work_list", """WITH r AS (SELECT '| 2019-01-0' || n_regionkey || ' | other | ' || n_name || ' | https://x.test/' || n_nationkey || ' |' AS line, n_nationkey + 6 AS at FROM nation)
+@example("b13_work_list", """WITH r AS (SELECT '| 2019-01-0' || n_regionkey || ' | other | ' || n_name || ' | https://x.test/' || n_nationkey || ' |' AS line, n_nationkey + 6 AS at FROM nation)
 SELECT * FROM r UNION ALL SELECT unnest(['# storm-one', '', 'Posts: 12 from 2019-01-01 to 2019-02-01.', '', '| date | kind | title | url |', '| --- | --- | --- | --- |']), unnest(range(6))""")
 def _(spark, sf):
     rows = [{"date": f"2019-01-0{r['n_regionkey']}", "title": r["n_name"], "url": f"https://x.test/{r['n_nationkey']}"} for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows
@@ -451,7 +457,7 @@ def _(spark, sf):
     return sinks.blind_sheet(sample, slots)
 
 
-@query("b17_bootstrapped_manifest", "SELECT true AS made, false AS again, 0::BIGINT AS n")
+@example("b17_bootstrapped_manifest", "SELECT true AS made, false AS again, 0::BIGINT AS n")
 def _(spark, sf):
     path = _local("m/manifest.csv")
     made, again = readers.ensure_manifest(path), readers.ensure_manifest(path)
@@ -501,13 +507,13 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.publication_date(text, name, F.when(k % 4 == 0, "3 February 2018")).alias("date"))
 
 
-@query("c35_headers", "SELECT r_regionkey, r_regionkey * 2.0::DOUBLE AS seconds, CASE WHEN r_regionkey % 2 = 0 THEN 'app-' || r_regionkey END AS app FROM region")
+@example("c35_headers", "SELECT r_regionkey, r_regionkey * 2.0::DOUBLE AS seconds, CASE WHEN r_regionkey % 2 = 0 THEN 'app-' || r_regionkey END AS app FROM region")
 def _(spark, sf):
     rows = [(k, paged.retry_after(str(2 * k)), paged.valid_app_name(f" app-{k} " if k % 2 == 0 else f"app {k}")) for (k,) in table(spark, sf, "region").select("r_regionkey").collect()]  # five rows
     return spark.createDataFrame(rows, "r_regionkey int, seconds double, app string")
 
 
-@query("c38_metrics", "SELECT unnest(['mean', 'top']) AS metric")
+@example("c38_metrics", "SELECT unnest(['mean', 'top']) AS metric")
 def _(spark, sf):
     return spark.createDataFrame([(m,) for m in readers.resolve_metrics([" Mean", "TOP", "mean", " "], ("mean", "top", "other"))], "metric string")
 

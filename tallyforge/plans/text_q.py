@@ -193,6 +193,26 @@ def _(spark, sf):
     return K.cluster(e, 0.6, "topic").select("topic", "id", "label")
 
 
+@query("k03_near_pairs", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) AS ab,
+sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))) AS n FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT label, a, b, round(1 - ab / n, 6) AS distance FROM p WHERE 1 - ab / n < 0.45""")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return K.pairs_below(e, 0.45, "label")
+
+
+#: Five vectors in the order of their ids are a text, and their labels the tokens; a text is compared with the next and the one after.
+@query("k07_token_alignment", """WITH t AS (SELECT vec_id // 5 AS g, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), w AS (SELECT label, ln((1.0 + (SELECT count(DISTINCT g) FROM t)) / (1.0 + count(DISTINCT g))) AS w FROM t GROUP BY label),
+u AS (SELECT g, vec_id, w, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM t JOIN w USING (label)), c AS (SELECT a.g AS id, b.g AS ref, a.vec_id AS i, b.vec_id AS j, a.w AS wi, b.w AS wj, list_sum(list_transform(range(1, 65), lambda k: a.v[k] * b.v[k])) / (a.n * b.n) AS s FROM u a JOIN u b ON b.g IN (a.g + 1, a.g + 2)),
+p AS (SELECT id, ref, sum(s * wi) / sum(wi) AS p FROM (SELECT id, ref, i, any_value(wi) AS wi, max(s) AS s FROM c GROUP BY ALL) GROUP BY ALL), r AS (SELECT id, ref, sum(s * wj) / sum(wj) AS r FROM (SELECT id, ref, j, any_value(wj) AS wj, max(s) AS s FROM c GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT id, ref, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM p JOIN r USING (id, ref)) SELECT id, ref, round(p, 6) AS align_p, round(r, 6) AS align_r, round(f, 6) AS align_f1 FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY f DESC, ref) = 1""")
+def _(spark, sf):
+    t = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("g"), "vec_id", "label", "embedding")
+    rows = t.join(K.token_idf(t, "g", "label"), "label").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("vec_id", "idf", "embedding"))).alias("x"))
+    side = lambda g, v, w: rows.select(F.col("g").alias(g), F.transform("x", lambda e: e["embedding"]).alias(v), F.transform("x", lambda e: e["idf"]).alias(w))
+    pairs = side("id", "candidate", "cw").withColumn("ref", F.explode(F.array(F.col("id") + 1, F.col("id") + 2))).join(side("ref", "reference", "rw"), "ref")
+    return K.best_alignment(K.align_tokens(pairs, weights=("cw", "rw")), ("id",), "ref").select("id", "ref", "align_p", "align_r", "align_f1")
+
+
 def _turns(spark, sf):
     c = table(spark, sf, "conversations")
     u = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))

@@ -14,6 +14,7 @@ from base64 import a85decode
 
 _WHITE, _DELIMITER = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
 _TOKEN = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]+")
+_PLAIN = re.compile(rb"[^()\\]+")
 _ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 #: Glyph names that are not a letter with an accent, with their characters.
 _GLYPHS = {
@@ -117,6 +118,10 @@ class Reader:
     def _string(self) -> bytes:
         data, at, depth, out = self.data, self.at + 1, 1, bytearray()
         while at < len(data):
+            if plain := _PLAIN.match(data, at):
+                out += plain[0]
+                at = plain.end()
+                continue
             c = data[at]
             at += 1
             if c == 92:
