@@ -104,7 +104,7 @@ def plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, weights=(1, 2, 3),
     """The block table: for each (source, block) the passes over it and, in the cut block, the last hash.
 
     ``take`` is the number of whole passes; ``extra`` is 2 when the further pass takes the whole
-    block, 1 when it takes the documents up to ``cut`` in hash order, 0 when it takes none.
+    block, 1 when it takes the documents of at most ``room`` words up to ``cut`` in hash order, 0 when it takes none.
     """
     size = F.greatest(F.lit(block_words), F.ceil(F.col("all_size") / MAX_BLOCKS))
     sources = targets(sized, weights).withColumn("n_blocks", F.greatest(F.ceil(F.col("source_size") / size), F.lit(1)).cast("long"))
@@ -124,13 +124,15 @@ def plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, weights=(1, 2, 3),
         "mix-blocks",
         files=4,
     )
-    # The cut block of each source: documents in hash order while the middle of each is within the rest.
+    # The cut block of each source: documents in hash order while the middle of each is within the rest. One that is
+    # larger than all that is left is passed over, and those behind it are taken.
     cut = blocks.filter("extra = 1").select(
         F.col("b_source").alias("c_source"), F.col("block").alias("c_block"), (F.col("rest") - F.col("before")).alias("left_over")
     )
     by_hash = Window.partitionBy("b_source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
         hashed.join(cut, F.col("b_source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")))
+        .filter("size <= left_over")
         .groupBy("b_source", "block", "h", "left_over")
         .agg(F.sum("size").alias("size"))
         .withColumn("through", F.sum("size").over(by_hash))
@@ -140,7 +142,7 @@ def plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, weights=(1, 2, 3),
     )
     return blocks.join(cuts, F.col("b_source").eqNullSafe(F.col("c_source")), "left").select(
         "b_source", "block", "b_hash", "source_size", "target", "n_blocks", "rank", F.col("passes").alias("take"), "extra",
-        F.when(F.col("extra") == 1, F.coalesce("cut", F.lit(-1))).alias("cut"),
+        F.when(F.col("extra") == 1, F.coalesce("cut", F.lit(-1))).alias("cut"), F.when(F.col("extra") == 1, F.col("rest") - F.col("before")).alias("room"),
     )
 
 
@@ -259,7 +261,7 @@ def mix(
         .agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("copies"))  # at most MAX_REPEATS
     )
     table = blocks.join(placed, F.col("b_source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left").select(
-        "b_source", "block", "source_size", "target", "take", "extra", "cut", "copies"
+        "b_source", "block", "source_size", "target", "take", "extra", "cut", "room", "copies"
     )
     table = stage(table, "mix-table", files=4)
     counts = blocks.select(F.col("b_source").alias("n_source"), "n_blocks").distinct()
@@ -278,7 +280,7 @@ def mix(
             F.transform(
                 F.filter(
                     F.coalesce("copies", F.array().cast("array<struct<copy:int,shard:int>>")),
-                    lambda c: (c["copy"] < F.col("take")) | (F.col("extra") == 2) | (F.col("h") <= F.coalesce("cut", F.lit(-1))),
+                    lambda c: (c["copy"] < F.col("take")) | (F.col("extra") == 2) | ((F.col("h") <= F.coalesce("cut", F.lit(-1))) & (F.col("size") <= F.coalesce("room", F.lit(0.0)))),
                 ),
                 lambda c: F.struct(c["copy"].alias("copy"), c["shard"].alias("shard"), F.xxhash64(F.lit(seed), "h", c["copy"]).alias("place")),
             ).alias("copies"),

@@ -140,11 +140,11 @@ b0 AS (SELECT source, block, sum(size)::BIGINT AS bsize, any_value(passes) AS pa
 b1 AS (SELECT *, sum(bsize) OVER (PARTITION BY source ORDER BY bh, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM b0),
 b AS (SELECT *, CASE WHEN passes >= 3 THEN 0 WHEN after <= rest THEN 2 WHEN after - bsize < rest THEN 1 ELSE 0 END AS extra FROM b1),
 p0 AS (SELECT e.source, e.block, e.h, sum(e.size)::BIGINT AS size, any_value(b.rest - (b.after - b.bsize)) AS left_over
-  FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.block = b.block WHERE b.extra = 1 GROUP BY e.source, e.block, e.h),
+  FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.block = b.block WHERE b.extra = 1 AND e.size <= b.rest - (b.after - b.bsize) GROUP BY e.source, e.block, e.h),
 p1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM p0),
 p AS (SELECT source, max(h) AS cut FROM p1 WHERE 2 * through - size < 2 * left_over GROUP BY source)
 SELECT e.doc_id, e.size, e.source_size, e.target,
-  (e.size * (e.passes + CASE WHEN b.extra = 2 OR (b.extra = 1 AND e.h <= coalesce(p.cut, -1)) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (e.size * (e.passes + CASE WHEN b.extra = 2 OR (b.extra = 1 AND e.h <= coalesce(p.cut, -1) AND e.size <= b.rest - (b.after - b.bsize)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source AND e.block = b.block LEFT JOIN p ON e.source IS NOT DISTINCT FROM p.source
 """
 
