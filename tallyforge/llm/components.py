@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,21 @@ def components(edges: DataFrame, *, max_rounds: int = 60, files: int = 12) -> Da
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return own.union(links.select(F.col("v"), F.col("v"))).distinct()
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of a task's links that are not the smallest of their component: what connects the same
+    nodes in fewer pairs."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .staging import col, drop_path, files_for, lean, stage
+from .staging import col, drop_path, files_for, lean, scanned_bytes, stage
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _KEY = np.dtype("S16")
@@ -30,6 +30,8 @@ _RUNS = "range int, level int, seq long, entries binary"
 _BATCH, _FREQUENT = -1, -2
 #: Entries of a batch before thinning.
 BATCH_LINES = 1 << 18
+#: Bytes of files for which there is a hash range at least: some 2 million keys of 24 bytes.
+RANGE_BYTES = 64 << 20
 #: Frequent lines (24 bytes each) up to which they are broadcast; beyond, documents are shuffled to them.
 BROADCAST_LINES = 1_000_000
 #: The place of a null doc_id in the order of documents: before all others.
@@ -183,8 +185,14 @@ def _frequent(batches):
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(docs)], names=["h1", "h2", "max_doc"])
 
 
+def ranges_for(docs: DataFrame) -> int:
+    """Hash ranges that grow with the input, so that what a task holds of keys does not: one for RANGE_BYTES of files at most."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(scanned_bytes(docs) // RANGE_BYTES, 1 << 20))
+
+
 class LineRuns:
-    """The runs of a growing corpus, in the shared folder."""
+    """The runs of a growing corpus, in the shared folder. ``n_ranges`` stays as it is: choose it for the size that the
+    corpus will have (``ranges_for``)."""
 
     def __init__(self, spark: SparkSession, *, min_chars: int = 40, min_docs: int = 5, fanout: int = 4, n_ranges: int | None = None, batch_lines: int = BATCH_LINES):
         self.spark, self.min_chars, self.min_docs, self.fanout, self.batch_lines = spark, min_chars, min_docs, fanout, batch_lines
@@ -275,6 +283,7 @@ def dedup_lines(
     min_docs: int = 5,
     fanout: int = 4,
     batch_lines: int = BATCH_LINES,
+    n_ranges: int | None = None,
     broadcast_lines: int = BROADCAST_LINES,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -298,7 +307,7 @@ def dedup_lines(
     names = [c for c in docs.columns if c not in counts]
     did = F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID))
     slim = docs.select(did.alias("did"), col(text_col).cast("string").alias("text"))
-    runs = LineRuns(spark, min_chars=min_chars, min_docs=min_docs, fanout=fanout, batch_lines=batch_lines)
+    runs = LineRuns(spark, min_chars=min_chars, min_docs=min_docs, fanout=fanout, batch_lines=batch_lines, n_ranges=n_ranges or ranges_for(slim))
     runs.add(slim)
     frequent = runs.frequent()
     found = frequent.count()

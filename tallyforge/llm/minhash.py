@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .components import components
+from .components import components, spanning
 from .staging import col, files_for, if_small, lean, stage
 
 N_BINS, ROWS = 128, 4
@@ -26,8 +26,10 @@ N_BINS, ROWS = 128, 4
 STAR_ROUNDS = 2
 #: Members of a star that one task confirms.
 STAR_TEXTS = 256
-#: Members of a block when the pairs of a bucket are searched whole.
-BLOCK = 128
+#: Members, and shingles, of a block when the pairs of a bucket are searched whole.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Members of a block that share a shingle from which on the shingle is counted by a product of matrices.
+HOT = 64
 #: Ids up to which a list of them is broadcast to filter texts; beyond, the texts are shuffled to it.
 BROADCAST_IDS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -183,42 +185,94 @@ def _cells(batches):
         yield pa.Table.from_batches(held)
 
 
-def _search(k: int, percent: int):
-    """The links that join the components of a cell. A pair is tested in the first bucket that it shares;
-    one that links of the cell already connect is not tested."""
-
-    def links(cell: pa.Table) -> list[tuple[int, int]]:
-        cell = cell.sort_by("size").combine_chunks()
-        key, node, size, block, component = (cell.column(c).to_numpy() for c in ("key", "node", "size", "block", "component"))
-        bands = np.array(cell.column("bands").to_pylist(), np.int64)
-        text, sets, out = cell.column("text").cast(pa.binary()), {}, []
-        within = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
-        # Components by their place among those of the cell, joined as links are found.
-        group = np.unique(component, return_inverse=True)[1]
-
-        def full(at: int) -> np.ndarray:
-            if at not in sets:
-                sets[at] = shingles(words_of(text[at].as_py()), k)
-            return sets[at]
-
-        for x in range(len(node)):
-            end = np.searchsorted(-100 * size[x] + percent * size, 0, "right")
-            later = np.arange(x + 1, max(x + 1, end))
-            later = later[(group[later] != group[x]) & (within | (block[later] != block[x]))]
-            same = bands[later] == bands[x]
-            first = bands[x][same.argmax(axis=1)]
-            for y in later[same.any(axis=1) & (first == key[0])].tolist():
-                if group[x] == group[y]:
-                    continue
-                if _alike(full(x), full(y), percent):
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
-                    group[group == group[y]] = group[x]
-        return out
+def _sets(k: int):
+    """node, set: the shingle hashes of texts as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(words_of(t), k).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["s_node", "set"])
+
+    return run
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The numbers of shingles that each set on the left shares with each on the right.
+
+    The right sets are inverted once. A shingle of few of them adds to counts by its list; one of many is a row of a
+    0/1 matrix, and the left sets' matrix times it adds all its pairs at once.
+    """
+    shared = np.zeros((len(left), len(right)), np.float32)
+    if not len(left) or not len(right):
+        return shared
+    terms, term = np.unique(np.concatenate(right), return_inverse=True)
+    of = np.repeat(np.arange(len(right)), [len(r) for r in right])
+    order = np.argsort(term, kind="stable")
+    lists, counts = of[order], np.bincount(term, minlength=len(terms))
+    first = np.cumsum(counts) - counts
+    flat = np.concatenate(left)
+    at = np.minimum(np.searchsorted(terms, flat), max(len(terms) - 1, 0))
+    met = terms[at] == flat if len(terms) else np.zeros(len(flat), bool)
+    row, at = np.repeat(np.arange(len(left)), [len(x) for x in left])[met], at[met]
+    hot = np.flatnonzero(counts >= HOT)
+    name = np.full(len(terms), -1)
+    name[hot] = np.arange(len(hot))
+    rare = name[at] < 0
+    for lo in range(0, len(hot), BLOCK):
+        some = hot[lo : lo + BLOCK]
+        ours, theirs = np.zeros((len(left), len(some)), np.float32), np.zeros((len(some), len(right)), np.float32)
+        mine = (name[at] >= lo) & (name[at] < lo + BLOCK)
+        ours[row[mine], name[at[mine]] - lo] = 1
+        held = (name[term] >= lo) & (name[term] < lo + BLOCK)
+        theirs[name[term[held]] - lo, of[held]] = 1
+        shared += ours @ theirs
+    row, at = row[rare], at[rare]
+    if not len(at):
+        return shared
+    sizes = counts[at]
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(ends, np.arange(0, int(sizes.sum()), 1 << 21), "right").tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        n = sizes[lo:hi]
+        place = np.repeat(first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pair = np.repeat(row[lo:hi], n) * len(right) + lists[place]
+        shared += np.bincount(pair, minlength=shared.size).reshape(shared.shape) if len(pair) * 4 > shared.size else _added(shared.shape, pair)
+    return shared
+
+
+def _added(shape: tuple[int, int], pair: np.ndarray) -> np.ndarray:
+    """Few counts as a matrix."""
+    out = np.zeros(shape, np.float32)
+    at, n = np.unique(pair, return_counts=True)
+    out.ravel()[at] = n
+    return out
+
+
+def _search(percent: int):
+    """The links that join the components of a cell, as a spanning forest of them."""
+
+    def links(cell: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+        cell = cell.combine_chunks()
+        node, block, component = (cell.column(c).to_numpy() for c in ("node", "block", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in cell.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        shared = overlaps([sets[x] for x in left], [sets[x] for x in right])
+        found = []
+        for lo in range(0, len(left), 256):
+            rows = left[lo : lo + 256]
+            both = shared[lo : lo + 256].astype(np.int64)
+            close = (100 * both >= percent * (size[rows][:, None] + size[right][None] - both)) & (component[rows][:, None] != component[right][None])
+            p, q = np.nonzero(close)
+            found.append((rows[p], right[q]))
+        a, b = (np.concatenate(side) for side in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
+        return spanning(node[a], node[b]) if len(a) else None
 
     def run(batches):
         for cell in _cells(batches):
-            if out := links(cell):
-                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*out, strict=True)], names=["a", "b"])
+            if (out := links(cell)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(side) for side in out], names=["a", "b"])
 
     return run
 
@@ -335,9 +389,13 @@ def _open_buckets(rest: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
     the numbers of blocks of the members outside and inside it."""
     rows = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.select(F.explode("bands").alias("key"), "node", "size", "component")
-    held = rows.groupBy("key", "component").agg(F.count("*").alias("members"))
-    held = held.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("most"), F.sum("members").alias("all"), F.count("*").alias("parts"))
-    return rows, held.filter("parts > 1").select("k", F.col("most.component").alias("major"), F.ceil((F.col("all") - F.col("most.members")) / BLOCK).alias("low"), F.ceil(F.col("most.members") / BLOCK).alias("high"))
+    held = rows.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("size").alias("total"))
+    held = held.groupBy(F.col("key").alias("k")).agg(
+        F.max(F.struct("members", "component", "total")).alias("most"), F.sum("members").alias("all"), F.sum("total").alias("total"), F.count("*").alias("parts")
+    )
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    low = blocks(F.col("all") - F.col("most.members"), F.col("total") - F.col("most.total"))
+    return rows, held.filter("parts > 1").select("k", F.col("most.component").alias("major"), low.alias("low"), blocks(F.col("most.members"), F.col("most.total")).alias("high"))
 
 
 def _open_nodes(rest: DataFrame, groups: DataFrame, files: int) -> DataFrame:
@@ -352,7 +410,8 @@ def _finish(rest: DataFrame, texts: DataFrame, groups: DataFrame, k: int, percen
 
     Members of a bucket's largest component are compared with the others only, and the others with each other,
     too. Both are cut into blocks by hash, and a cell holds two blocks (or one, against itself), so no task
-    needs a whole bucket. Pairs of one component need no test, and each other pair is tested.
+    needs a whole bucket. Pairs of one component need no test, and each other pair is tested. A node's
+    shingles are hashed once and travel once a bucket and block; in a cell all pairs are counted at once.
     """
     rows, held = _open_buckets(rest, groups)
     rows = rows.join(held, F.col("key") == F.col("k"))
@@ -360,12 +419,14 @@ def _finish(rest: DataFrame, texts: DataFrame, groups: DataFrame, k: int, percen
     at = F.xxhash64("node")
     rows = rows.withColumn("block", F.when(small, F.pmod(at, "low")).otherwise(F.col("low") + F.pmod(at, "high")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(small, F.col("low") + F.col("high")).otherwise(F.col("low")) - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "component")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
     rows = stage(rows, "searched", files=files)
-    bands = rest.select(F.col("node").alias("b_node"), "bands")
-    rows = rows.join(bands, F.col("node") == F.col("b_node")).join(texts, F.col("node") == F.col("did"))
-    cells = rows.select("key", "i", "j", "block", "node", "size", "component", "bands", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    new = stage(cells.mapInArrow(lean(_search(k, percent)), "a long, b long").distinct(), "links", files=files)
+    wanted = stage(rows.select(F.col("node").alias("n")).distinct(), "searched-nodes", files=files)
+    open_texts = texts.join(if_small(wanted, BROADCAST_IDS), F.col("did") == F.col("n"), "left_semi")
+    sets = open_texts.select("did", "text").mapInArrow(lean(_sets(k)), "s_node long, set binary").dropDuplicates(["s_node", "set"])
+    rows = rows.join(stage(sets, "shingle-sets"), F.col("node") == F.col("s_node"))
+    cells = rows.select("key", "i", "j", "block", "node", "component", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    new = stage(cells.mapInArrow(lean(_search(percent)), "a long, b long").distinct(), "links", files=files)
     return stage(_merge(groups, new, files), "components", files=files) if new.limit(1).count() else groups
 
 

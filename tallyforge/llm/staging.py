@@ -96,6 +96,11 @@ def merge_tiny(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8 * df.sparkSession.sparkContext.defaultParallelism, min(size >> 27, 1 << 30)))
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """The bytes that a plan reads, as far as known from its files; more than they are where a plan widens them."""
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+
+
 def files_for(rows: int, rows_a_file: int, least: int = 4) -> int:
     """A number of files that grows with the rows; few files are quicker to create and to list."""
     return max(least, -(-rows // rows_a_file))
