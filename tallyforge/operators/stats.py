@@ -281,6 +281,21 @@ def _draw(n: Column, *parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") % n
 
 
+#: Draws of a row that is dealt to tasks before its draws are made.
+STRETCH = 1 << 16
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all shuffle partitions; what follows makes many of each, and few rows would lie in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _places(sizes: DataFrame, n_boot: int) -> DataFrame:
+    """The rows of sizes(.., n) with every resample b and place j below n, made in stretches that are dealt to all tasks."""
+    stretches = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("__at", F.explode(F.expr(f"sequence(0L, (n - 1) div {STRETCH})")))
+    return _dealt(stretches.filter("n > 0")).withColumn("j", F.explode(F.expr(f"sequence(__at * {STRETCH}, least(n, (__at + 1) * {STRETCH}) - 1)"))).drop("__at")
+
+
 def resampled_means(rows: DataFrame, value: str, order: str, by=(), *, n_boot: int = 200, seed: int = SEED, tag: str = "") -> DataFrame:
     """(by, b, mean): the mean of each resample with replacement.
 
@@ -289,7 +304,7 @@ def resampled_means(rows: DataFrame, value: str, order: str, by=(), *, n_boot: i
     at = Window.partitionBy(*by).orderBy(value, order)
     numbered = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(at) - 1).alias("i"))
     sizes = numbered.groupBy(*by).agg(F.count("*").alias("n"))
-    places = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("j", F.explode(F.expr("sequence(0, cast(n - 1 as int))")))
+    places = _places(sizes, n_boot)
     label = [F.lit(str(seed) + tag), *(F.col(c).cast("string") for c in by), F.col("b").cast("string"), F.col("j").cast("string")]
     drawn = places.withColumn("i", _draw(F.col("n"), *label)).select(*by, "b", "i")
     return drawn.join(numbered, [*by, "i"]).groupBy(*by, "b").agg(F.avg("v").alias("mean"))
@@ -323,7 +338,7 @@ def permutation_test(rows: DataFrame, value: str, group: str, a: str, b: str, or
     """
     pool = rows.filter(F.col(group).isin(a, b)).select(F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("in_a"), F.col(order).cast("string").alias("o"))
     sums = pool.agg(F.count("*").alias("n"), F.count_if("in_a").alias("na"), F.sum("v").alias("sv"), F.sum(F.when(F.col("in_a"), F.col("v"))).alias("sa"))
-    perms = pool.join(F.broadcast(sums.select("na")), how="cross").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))  # one row
+    perms = _dealt(pool).join(F.broadcast(sums.select("na")), how="cross").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))  # one row
     keyed = perms.select("p", "v", "na", F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("p").cast("string"), "o")), "o").alias("key"))
     drawn = least_sums(keyed, "p", "key", "v", "na").join(F.broadcast(sums), how="cross")  # one row
     gap = lambda s: F.abs(F.col(s) / F.col("na") - (F.col("sv") - F.col(s)) / (F.col("n") - F.col("na")))
@@ -335,9 +350,7 @@ def bootstrap_rank_correlation(rows: DataFrame, x: str, y: str, order: str, *, n
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(order).alias("o"))
     numbered = number_rows(pairs, ["o", "x", "y"]).drop("o")
-    n = numbered.agg(F.count("*").alias("n"))
-    places = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("j", F.explode(F.expr("sequence(0, cast(n - 1 as int))")))
-    drawn = places.withColumn("i", _draw(F.col("n"), F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))).join(numbered, "i")
+    drawn = _places(numbered.agg(F.count("*").alias("n")), n_boot).withColumn("i", _draw(F.col("n"), F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))).join(numbered, "i")
     ranked = average_rank(average_rank(drawn, "x", "rx", ("b",)), "y", "ry", ("b",))
     rho = F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
     rhos = ranked.groupBy("b").agg(rho.alias("rho")).filter("rho IS NOT NULL")
