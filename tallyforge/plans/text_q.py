@@ -250,7 +250,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..sources.html import page
 
-    return table(spark, sf, "pages").select("page_id", page(F.col("html")).alias("p")).select("page_id", "p.title", "p.date", "p.url", F.char_length("p.text").alias("chars"), S.sha256("p.text").alias("digest"))
+    return J.spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").select("page_id", page(F.col("html")).alias("p")).select("page_id", "p.title", "p.date", "p.url", F.char_length("p.text").alias("chars"), S.sha256("p.text").alias("digest"))
 
 
 @query("n03_ingest", """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '2024-01-10' WHEN doc_id % 4 = 1 THEN '10 January 2024' WHEN doc_id % 4 = 2 THEN '1999-01-01' ELSE '' END AS d, text FROM documents),
