@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import arm_label
+from ..functions.textops import spread
 from ..operators.judgements import population as _population
 from ..session import table
 
@@ -203,6 +204,6 @@ def pdf_files(spark: SparkSession, sf: str) -> DataFrame:
     def make(i: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([pdf_bytes(text or "", f"Document {n}") for n, text in zip(i, t, strict=True)])
 
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
     return d.select("doc_id", name.alias("path"), name.alias("file"), F.lit("pdf").alias("suffix"), make("doc_id", "text").alias("content"))
