@@ -38,7 +38,7 @@ WORDS = 4_000_000
 #: Frequent pairs, and buckets of triples, up to which they go to all tasks (8 bytes each); beyond, they rule nothing out.
 PAIRS = BUCKETS = 4_000_000
 #: Words of a row of numbered texts; a stretch without a break may be longer.
-ROW_WORDS = 1 << 16
+ROW_WORDS = 1 << 12
 #: Bits of an offset in a range of buckets.
 RANGE_BITS = 16
 #: Rows up to which a table of counts is broadcast.
@@ -204,6 +204,12 @@ def _unpacked(batches, name: str = "ids", kind=np.int32):
             yield np.frombuffer(packed.as_py(), kind)
 
 
+def _joined(batches):
+    """All numbers of a batch of rows at a time, as each row ends with a break."""
+    for batch in batches:
+        yield np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.int32)
+
+
 def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places where pairs end, and the pairs as longs."""
     at = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0)) + 1
@@ -225,7 +231,7 @@ def _summed_by(values, most: int):
 
 def _pair_counts(batches):
     """pair, count."""
-    for pair, count in _summed_by((_pairs(ids)[1] for ids in _unpacked(batches)), HELD_PAIRS):
+    for pair, count in _summed_by((_pairs(ids)[1] for ids in _joined(batches)), HELD_PAIRS):
         yield from _sliced([pa.array(pair), pa.array(count)], ["pair", "count"])
 
 
@@ -266,7 +272,7 @@ def _bucket_counts(known: np.ndarray | None, bits: int, least: int):
     """range, offset, count: a task's buckets in a range, packed; counts up to the threshold, as more says no more."""
 
     def run(batches):
-        for bucket, count in _summed_by((_triples(ids, known, bits)[1] for ids in _unpacked(batches)), HELD_PAIRS):
+        for bucket, count in _summed_by((_triples(ids, known, bits)[1] for ids in _joined(batches)), HELD_PAIRS):
             part, start = np.unique(bucket >> RANGE_BITS, return_index=True)
             offset = (bucket & (1 << RANGE_BITS) - 1).astype(np.uint16)
             count = np.minimum(count, least).astype(np.int32)
@@ -394,7 +400,8 @@ def frequent_phrases(texts: DataFrame, *, depth: int = 5, least: int = 100, shar
     if depth < 2:
         raise ValueError("depth has to be at least 2")
     parts, counted = _parts(texts), "lang string, phrase string, count long"
-    first = texts.mapInArrow(lean(_word_counts(shard)), counted).groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
+    # Tasks have summed what they hold, so rows go to their keys at once instead of into another table of sums.
+    first = texts.mapInArrow(lean(_word_counts(shard)), counted).repartition(parts, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
     first = stage(first.filter((F.col("count") >= least) | F.col("phrase").isNull()), "words")
     singles = first.select("lang", "phrase", F.when(F.col("phrase").isNotNull(), 1).otherwise(0).cast("long").alias("words"), "count")
     known = first.filter("phrase IS NOT NULL").select("lang", "phrase")
@@ -404,7 +411,6 @@ def frequent_phrases(texts: DataFrame, *, depth: int = 5, least: int = 100, shar
     known = known.toArrow().combine_chunks()
     langs, words = (pa.concat_arrays([c.cast(pa.string()) for c in known.column(name).chunks] or [pa.array([], pa.string())]) for name in ("lang", "phrase"))
     texts = stage(texts.mapInArrow(lean(_numbered(langs, words, shard)), "ids binary"), "numbered")
-    # Tasks have summed what they hold, so rows go to their keys at once instead of into another table of sums.
     pairs = texts.mapInArrow(lean(_pair_counts), "pair long, count long").repartition(parts, "pair").groupBy("pair").agg(F.sum("count").alias("count"))
     pairs = stage(pairs.filter(F.col("count") >= least), "pairs")
     shorter = singles.union(stage(pairs.mapInArrow(lean(_pair_texts(langs, words)), "lang string, phrase string, words long, count long"), "pair-texts"))
