@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import random
 from collections.abc import Callable
@@ -10,6 +11,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -345,15 +347,84 @@ def permutation_test(rows: DataFrame, value: str, group: str, a: str, b: str, or
     return drawn.agg(((F.count_if(gap("s") >= gap("sa") - 1e-9) + 1) / F.lit(float(n_perm + 1))).alias("p_value"), F.first(gap("sa")).alias("observed"))
 
 
+#: Draws that a task makes of a resample at once, and rows of the table that are drawn from together, whose places are two bytes.
+DRAWS, DRAWN_FROM = 1 << 20, 1 << 14
+
+
+def _draw_blocks(seed: int, size: int):
+    """Of stretches (b, at, n) of draws: the places drawn from each block of ``size`` rows, as one value of two bytes a draw."""
+
+    def run(batches):
+        for batch in batches:
+            for b, at, n in zip(*(batch.column(c).to_pylist() for c in ("b", "at", "n")), strict=True):
+                head, md5 = f"{seed}|{b}|".encode(), hashlib.md5
+                drawn = b"".join([md5(head + b"%d" % j).digest()[:4] for j in range(at * DRAWS, min(n, (at + 1) * DRAWS))])
+                i = np.frombuffer(drawn, ">u4").astype(np.int64) % n
+                block, first = np.unique(np.sort(i) // size, return_index=True)
+                places = np.split((np.sort(i) % size).astype(np.uint16), first[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.full(len(block), b), pa.int32()), pa.array([p.tobytes() for p in places], pa.binary())], names=["block", "b", "places"])
+
+    return run
+
+
+def _drawn_ranks(size: int):
+    """Of a block of rows (i, x, y) and what was drawn from it: for each resample the rows drawn, with how often."""
+
+    def run(key, drawn: pa.Table, rows: pa.Table) -> pa.Table:
+        at = rows.column("i").to_numpy() % size
+        x, y = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        x[at], y[at] = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        out, of = [], drawn.column("b").to_numpy()
+        order, places = np.argsort(of, kind="stable"), drawn.column("places")
+        for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
+            times = np.bincount(np.frombuffer(b"".join(places[int(k)].as_py() for k in mine), np.uint16), minlength=size)
+            hit = np.flatnonzero(times)
+            out.append((int(of[mine[0]]), x[hit].tobytes(), y[hit].tobytes(), times[hit].astype(np.int32).tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["b", "x", "y", "times"])
+
+    return run
+
+
+def _rank_correlation(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Spearman's rho of a resample by counts of its values; ranks are doubled and from their mean, so they are whole numbers."""
+    x, y, times = (np.frombuffer(b"".join(v.as_py() for v in table.column(c)), np.int32) for c in ("x", "y", "times"))
+    n = int(times.sum())
+
+    def ranks(values):
+        count = np.bincount(values, weights=times)
+        return (2 * np.cumsum(count) - count - n)[values]  # twice the rows below, and the ties, less n
+
+    rx, ry = ranks(x), ranks(y)
+    xx, yy, xy = (float(np.sum(times * a * b)) for a, b in ((rx, rx), (ry, ry), (rx, ry)))
+    rho = xy / math.sqrt(xx) / math.sqrt(yy) if xx and yy else None
+    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rho], pa.float64())], names=["b", "rho"])
+
+
+def _numbered_values(rows: DataFrame, column: str) -> DataFrame:
+    """The column as the place of its value among its different values."""
+    values = number_rows(rows.select(column).distinct(), [column], "__place")
+    return rows.join(values, column).withColumn(column, F.col("__place").cast("int")).drop("__place")
+
+
 def bootstrap_rank_correlation(rows: DataFrame, x: str, y: str, order: str, *, n_boot: int = 200, alpha: float = 0.05, seed: int = SEED) -> DataFrame:
-    """Percentile interval of Spearman's rho over resampled pairs; degenerate resamples drop out."""
+    """Percentile interval of Spearman's rho over resampled pairs; degenerate resamples drop out.
+
+    A draw is never a row. Draws go to the block of rows they are from, as two bytes each; there they are counted by resample
+    and given the places of their values, and a task counts a resample by value, which gives the ranks without a sort.
+    """
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(order).alias("o"))
     numbered = number_rows(pairs, ["o", "x", "y"]).drop("o")
-    drawn = _places(numbered.agg(F.count("*").alias("n")), n_boot).withColumn("i", _draw(F.col("n"), F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))).join(numbered, "i")
-    ranked = average_rank(average_rank(drawn, "x", "rx", ("b",)), "y", "ry", ("b",))
-    rho = F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
-    rhos = ranked.groupBy("b").agg(rho.alias("rho")).filter("rho IS NOT NULL")
+    n = numbered.count()
+    numbered = _numbered_values(_numbered_values(numbered, "x"), "y").withColumn("block", F.expr(f"i div {DRAWN_FROM}"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = rows.sparkSession.range(n_boot * -(-n // DRAWS)).select((F.col("id") % n_boot).cast("int").alias("b"), F.expr(f"id div {n_boot}").alias("at"), F.lit(n).alias("n"))
+    drawn = _dealt(stretches).mapInArrow(_draw_blocks(seed, DRAWN_FROM), "block long, b int, places binary")
+    sides = (side.repartition(parts, "block").groupBy("block") for side in (drawn, numbered.select("block", "i", "x", "y")))
+    counted = functools.reduce(lambda a, b: a.cogroup(b), sides).applyInArrow(_drawn_ranks(DRAWN_FROM), "b int, x binary, y binary, times binary")
+    rhos = counted.repartition(parts, "b").groupBy("b").applyInArrow(_rank_correlation, "b int, rho double").filter("rho IS NOT NULL")
     enough = F.count("*") >= max(2, n_boot // 10)
     return rhos.agg(F.when(enough, percentile("rho", alpha / 2)).alias("ci_lo"), F.when(enough, percentile("rho", 1 - alpha / 2)).alias("ci_hi"), F.count("*").alias("n_usable"))
 
