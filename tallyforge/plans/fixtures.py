@@ -172,15 +172,22 @@ FOUND = TEXTS + """, found AS (SELECT id, event, length(text) AS n_chars, len(re
   ['preliminary', 'modal_may'] || hedges AS hedges, ['since_last_report'] || revisions AS revisions, 1 + as_of AS as_of, 4 + figures AS n_figures, 4 + sourced AS n_sourced FROM texts JOIN variants USING (v))"""
 
 
+_ASCII = {c: c for c in range(127)}
+
+
 def pdf_bytes(text: str, title: str, lines_a_page: int = 40) -> bytes:
     """A PDF of a text with white space collapsed: lines of about 90 characters, characters beyond ASCII by a ToUnicode map."""
-    words, lines = text.split(), [[]]
-    for word in words:
-        if sum(map(len, lines[-1])) > 90:
+    lines, size = [[]], 0
+    for word in text.split():
+        if size > 90:
             lines.append([])
+            size = 0
         lines[-1].append(word)
-    other = {c: 128 + i for i, c in enumerate(sorted({c for c in text if ord(c) > 126})[:127])}
-    code = lambda line: re.sub(rb"([()\\\\])", rb"\\\1", bytes(other.get(c, ord(c) if ord(c) < 127 else 63) for c in " ".join(line)))
+        size += len(word)
+    above = sorted({c for c in set(text) if ord(c) > 126})
+    other = {c: 128 + i for i, c in enumerate(above[:127])}
+    codes = _ASCII | {ord(c): other.get(c, 63) for c in above}
+    code = lambda line: re.sub(rb"([()\\\\])", rb"\\\1", " ".join(line).translate(codes).encode("latin-1"))
     sheets = [lines[i : i + lines_a_page] for i in range(0, len(lines), lines_a_page)]
     packed = lambda data: b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(z := zlib.compress(data)), z)
     maps = b"1 begincodespacerange <00> <FF> endcodespacerange " + b"".join(b"1 beginbfchar <%02X> <%s> endbfchar " % (n, c.encode("utf-16-be").hex().encode()) for c, n in other.items())
